@@ -178,11 +178,10 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 def pooled(net: Network, raw: list[bytes], span: int = SPAN, block: int = BLOCK) -> np.ndarray:
     """Mean of the positions' probabilities of each text (N x L); zeros for empty ones."""
     x, owner = windows_of(raw, span)
-    total = np.zeros((len(raw), len(net.langs)))
+    total, size = np.zeros((len(raw), len(net.langs))), np.array([len(r) for r in raw])
     for at in range(0, len(x), block):
         b = np.ascontiguousarray(x[at : at + block].T)
         p = net.label(b)
-        size = np.array([len(r) for r in raw])
         first = np.searchsorted(owner, owner[at : at + block])
         own = np.clip(size[owner[at : at + block]] - (np.arange(at, at + b.shape[1]) - first) * span, 0, span)
         p *= (np.arange(span)[:, None] < own)[:, None, :]
