@@ -1,7 +1,68 @@
-"""The corpus pipeline."""
-STAGES = []
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read by the next."""
+
+from __future__ import annotations
+
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trackweave.llm import decontaminate, langid, near_dup, packing, secret_scan
+from trackweave.llm.scratch import shared_dir
+
+#: Languages that score less, as a mean over a text's positions, are rejected; four languages share 1.
+LEAST_SCORE = 0.3
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents that have a language: those without letters, or alike unlikely in all, go."""
+    got = langid.identify(docs)
+    return got.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: the one of the least id."""
+    kept = near_dup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
+    few = kept.count() <= near_dup.BROADCAST_IDS
+    rows = docs.join(F.broadcast(kept) if few else kept, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+    return rows.dropDuplicates(["doc_id"]) if _repeats(docs) else rows
+
+
+def _repeats(docs: DataFrame) -> bool:
+    """Whether an id occurs twice; only then rows of one id have to be put together."""
+    ids = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return ids.filter("n > 1").limit(1).count() > 0
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    hit = decontaminate.decontamination_report(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("contaminated")
+    hit = hit.select(F.col("doc_id").alias("__id")).distinct()
+    few = hit.count() <= near_dup.BROADCAST_IDS
+    return docs.join(F.broadcast(hit) if few else hit, docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Credentials that aren't widely copied examples are blotted out; documents stay."""
+    out = secret_scan.redact(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns) if "n_chars" in docs.columns else out.select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 4096 tokens: one row for each piece of a document."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("language ID", language_id), ("near-dedup", near_dedup), ("decontamination", decontamination), ("secret scan", secrets), ("packing", pack)]
+#: SQL can't express the network, the tokenizer and the packing; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to ``documents``; each result is written to the shared folder and read again."""
+    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for i, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+        docs = spark.read.parquet(f"{folder}/{i}")
+    return docs
