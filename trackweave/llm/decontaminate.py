@@ -3,6 +3,8 @@
 Training and test texts are winnowed with the same parameters, the fingerprints are joined, and
 each joined fingerprint is extended to the exact word windows around it. Because ``k + w - 1``
 is the window's length, every shared window holds a shared fingerprint, so none is missed.
+Arrays are exploded by ``explode_outer``: ``explode`` would add a filter on the array's size, which
+the optimizer pushes below the projections and so computes the whole array once more for each step.
 """
 
 from __future__ import annotations
@@ -100,7 +102,7 @@ def decontaminate(
     for n in lengths:
         k, w = scheme(n)
         part = windows.filter(F.col("len") == n).select(F.split("win", " ").alias("words"))
-        part = winnow.fingerprints(part, "words", "f", k, w, short=False).select(F.explode("f").alias("packed"))
+        part = winnow.fingerprints(part, "words", "f", k, w, short=False).select(F.explode_outer("f").alias("packed")).filter("packed IS NOT NULL")
         part = part.select(F.lit(n).alias("len"), winnow.hashed(F.col("packed")).alias("fp"), F.lit(w).alias("w")).distinct()
         test = part if test is None else test.unionByName(part)
     if test is None:
@@ -109,7 +111,7 @@ def decontaminate(
     few = lambda df: df.count() <= broadcast_rows
     near = lambda df: F.broadcast(df) if few(df) else df
     # A row's own mark has length 0 and meets no fingerprint: it carries n_words, each under its own hash.
-    marks = rows.select("id", "th", F.size("words").alias("n_words"), F.explode("marks").alias("mark")).select(
+    marks = rows.select("id", "th", F.size("words").alias("n_words"), F.explode_outer("marks").alias("mark")).select(
         "id", "th", "n_words", F.col("mark.len").alias("len"), winnow.position(F.col("mark.packed")).cast("int").alias("at"),
         F.when(F.col("mark.len") == 0, F.col("th")).otherwise(winnow.hashed(F.col("mark.packed"))).alias("fp"),
     )
@@ -125,7 +127,7 @@ def decontaminate(
     found = None
     for n in lengths:  # the exact words of each start; a text's windows are made once
         part = text.alias("r").join(starts.filter(F.col("len") == n).alias("s"), same("r", "s")).select("r.id", "r.th", "words", "starts")
-        part = _windows(part, "words", n).select("id", "th", F.explode(F.transform("starts", lambda s: F.struct(s.alias("s"), F.get("words", s).alias("win")))).alias("x"))
+        part = _windows(part, "words", n).select("id", "th", F.explode_outer(F.transform("starts", lambda s: F.struct(s.alias("s"), F.get("words", s).alias("win")))).alias("x"))
         part = part.select("id", "th", F.lit(n).alias("len"), "x.s", "x.win")
         found = part if found is None else found.unionByName(part)
     if found is None:
