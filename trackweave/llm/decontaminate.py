@@ -131,7 +131,7 @@ def decontaminate(
         part = part.select("id", "th", F.lit(n).alias("len"), "x.s", "x.win")
         found = part if found is None else found.unionByName(part)
     if found is None:
-        found = docs.sparkSession.createDataFrame([], rows.select("id", "th").schema.add("len", "int").add("s", "int").add("win", "string"))
+        found = starts.select("id", "th", "len", F.lit(0).alias("s"), F.lit("").alias("win")).limit(0)
     hits = found.join(near(windows), ["len", "win"])
     per = hits.groupBy("id", "th").agg(
         F.array_sort(F.collect_set(F.struct(F.col("s").alias("start"), (F.col("s") + F.col("len")).alias("end")))).alias("raw"),

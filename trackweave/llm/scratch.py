@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,9 +22,12 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="trackweave-")
-    spark.conf.set(CHECKPOINT_CONF, own)
-    return own
+    return _local_dir(spark.sparkContext.applicationId)
+
+
+@lru_cache(maxsize=4)
+def _local_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix="trackweave-")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
