@@ -26,19 +26,26 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """The least node of each node's component: ``node``, ``component``; nodes without links are absent.
 
     ``edges`` has columns ``a`` and ``b``. Each round moves neighbours to their least neighbour;
-    aggregates and joins only, so that a node with very many links stays in parts.
+    aggregates and joins only, so that a node with very many links stays in parts. With ``rounds``
+    it stops after so many, and nodes of one component may still have several labels.
     """
     edges = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    before = _digest(edges)
-    while before[0]:
+    before = None if rounds else _digest(edges)
+    while rounds or before and before[0]:
         edges = stored(_small_star(_large_star(edges)), "links")
+        if rounds:
+            rounds -= 1
+            if not rounds:
+                break
+            continue
         after = _digest(edges)
         if after == before:
             break
         before = after
     roots = edges.select(F.col("b").alias("node")).distinct()
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
+    labels = edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
+    return labels.groupBy("node").agg(F.min("component").alias("component"))

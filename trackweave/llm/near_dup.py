@@ -172,7 +172,8 @@ def _links(docs: DataFrame, classes: DataFrame, shingle: int, k: int, least_shar
             new = stored(_confirmed(docs, classes, pairs, shingle, k, least_shared), "confirmed")
             links = new if links is None else links.unionByName(new)
             tested = pairs.select("c1", "c2") if tested is None else tested.unionByName(pairs.select("c1", "c2"))
-            comps = components(links.select("a", "b"))
+            # One round is enough to leave out pairs that a common leader already joins; labels never join too much.
+            comps = components(links.select("a", "b"), rounds=1)
             lists = lists.drop("comp").join(comps, lists["id"] == comps["node"], "left").withColumn("comp", F.coalesce("component", "id")).drop("node", "component")
         # Lists whose members are all leaders by now, or all in one component, are done.
         apart = lists.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("value")
