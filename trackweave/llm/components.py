@@ -33,19 +33,19 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     aggregates and joins only, so that a node with very many links stays in parts. With ``rounds``
     it stops after so many, and nodes of one component may still have several labels.
     """
-    edges = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    before = None if rounds else _digest(edges)
-    while rounds or before and before[0]:
-        edges = stored(_small_star(_large_star(edges)), "links")
-        if rounds:
-            rounds -= 1
-            if not rounds:
+    edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    if rounds:
+        for _ in range(rounds):
+            edges = stored(_small_star(_large_star(edges)), "links")
+    else:
+        edges = stored(edges, "links")
+        before = _digest(edges)
+        while before[0]:
+            edges = stored(_small_star(_large_star(edges)), "links")
+            after = _digest(edges)
+            if after == before:
                 break
-            continue
-        after = _digest(edges)
-        if after == before:
-            break
-        before = after
+            before = after
     roots = edges.select(F.col("b").alias("node")).distinct()
     labels = edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
     return labels.groupBy("node").agg(F.min("component").alias("component"))

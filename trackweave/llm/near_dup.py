@@ -26,7 +26,7 @@ from trackweave.session import reach_workers
 
 SHINGLE, PERCENT = 5, 75
 SKETCH, LEAST_SHARED = 32, 9
-#: Leaders of a list in the second round; four times as many in each later one, until all members are leaders.
+#: Leaders of a list in the second round; as many times more in each later one, until all members are leaders.
 LEADERS = 16
 #: Ids that are broadcast at most to pick texts; beyond, the join shuffles.
 BROADCAST_IDS = 500_000
@@ -180,7 +180,7 @@ def _links(docs: DataFrame, classes: DataFrame, shingle: int, k: int, least_shar
         lists = stored(lists.filter(F.col("m") > (1 if leaders == 1 else leaders)).join(apart, "value", "left_semi"), "lists")
         if not lists.limit(1).count():
             break
-        leaders = LEADERS if leaders == 1 else leaders * 4
+        leaders *= LEADERS
     return links if links is not None else classes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
 
 
