@@ -149,17 +149,31 @@ def _prefix_lists(classes: DataFrame, k: int, least_shared: int) -> DataFrame:
 
 
 def _links(docs: DataFrame, classes: DataFrame, shingle: int, k: int, least_shared: int) -> DataFrame:
-    """Links between classes: ``a`` and ``b``, the classes' least ids."""
+    """Links between classes: ``a`` and ``b``, the classes' least ids.
+
+    Two classes meet in many lists, but make a pair only in the smallest one that they share. Members
+    that lead a list lead their smaller ones too, so no pair waits for a later round because of that;
+    if the smallest list is done by then, the pair was tested there or is in one component.
+    """
     lists = stored(_prefix_lists(classes, k, least_shared), "lists")
-    tested = links = None
+    tested = links = joined = None
     part = F.conv(F.substring(F.hex("class"), 1, 8), 16, 10).cast("bigint") / float(1 << 32)  # uniform: the class is a digest
-    sizes = lists.groupBy("value").agg(F.count(F.lit(1)).alias("m"), F.min("class").alias("first"))
-    lists = stored(lists.join(sizes.filter("m > 1"), "value").withColumn("comp", F.col("id")), "lists")
+    sizes = lists.groupBy("value").agg(F.count(F.lit(1)).alias("m"))
+    lists = lists.join(sizes.filter("m > 1"), "value")
+    per = lists.groupBy("class").agg(F.first("id").alias("id"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("m", "value"))).alias("v"))
+    lists = per.select("class", "id", "n", F.col("id").alias("comp"), F.col("v.value").alias("own"), F.explode("v").alias("v")).select("v.value", "v.m", "class", "id", "n", "comp", "own")
+    lists = stored(lists, "lists")
     leaders = 1
     while True:
-        chief = F.col("class") == F.col("first") if leaders == 1 else part * F.col("m") < leaders
-        heads = lists.filter(chief).select("value", F.col("class").alias("c2"), F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-        pairs = lists.join(heads, "value").filter((F.col("comp") != F.col("comp2")) & (F.col("class") != F.col("c2")) & _similar_sizes(F.col("n"), F.col("n2")))
+        if leaders == 1:
+            heads = lists.groupBy("value").agg(F.min(F.struct("class", "id", "n", "comp", "own")).alias("h")).select("value", "h.*")
+        else:
+            heads = lists.filter(part * F.col("m") < leaders)
+        heads = heads.select("value", F.col("class").alias("c2"), F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("own").alias("own2"))
+        apart = (F.col("comp") != F.col("comp2")) & (F.col("class") != F.col("c2")) & _similar_sizes(F.col("n"), F.col("n2"))
+        if leaders > 1:  # a list's one leader may lead none of its members' smaller lists
+            apart &= F.element_at(F.array_intersect("own", "own2"), 1) == F.col("value")
+        pairs = lists.join(heads, "value").filter(apart)
         low = F.col("class") < F.col("c2")
         pairs = pairs.select(
             F.when(low, F.col("class")).otherwise(F.col("c2")).alias("c1"), F.when(low, F.col("id")).otherwise(F.col("id2")).alias("a"),
@@ -172,12 +186,12 @@ def _links(docs: DataFrame, classes: DataFrame, shingle: int, k: int, least_shar
             new = stored(_confirmed(docs, classes, pairs, shingle, k, least_shared), "confirmed")
             links = new if links is None else links.unionByName(new)
             tested = pairs.select("c1", "c2") if tested is None else tested.unionByName(pairs.select("c1", "c2"))
-            # One round is enough to leave out pairs that a common leader already joins; labels never join too much.
-            comps = components(links.select("a", "b"), rounds=1)
-            lists = lists.drop("comp").join(comps, lists["id"] == comps["node"], "left").withColumn("comp", F.coalesce("component", "id")).drop("node", "component")
+            # Whole components, so that a large group of near copies makes pairs only where it may still be apart.
+            joined = components(new if joined is None else new.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+            lists = lists.drop("comp").join(joined, lists["id"] == joined["node"], "left").withColumn("comp", F.coalesce("component", "id")).drop("node", "component")
         # Lists whose members are all leaders by now, or all in one component, are done.
-        apart = lists.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("value")
-        lists = stored(lists.filter(F.col("m") > (1 if leaders == 1 else leaders)).join(apart, "value", "left_semi"), "lists")
+        unlike = lists.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("value")
+        lists = stored(lists.filter(F.col("m") > leaders).join(unlike, "value", "left_semi"), "lists")
         if not lists.limit(1).count():
             break
         leaders *= LEADERS
