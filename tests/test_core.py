@@ -64,6 +64,36 @@ def test_paths_are_contracted(spark, tmp_path):
     assert got == {i: (0, i) for i in range(21)} | {50: (50, 0), 51: (50, 1)}
 
 
+def _merged_by_brute_force(v, most):
+    groups = [[i] for i in range(len(v))]
+    dist = np.sqrt(((v[:, None] - v[None]) ** 2).sum(-1))
+    while len(groups) > most:
+        _, i, j = min((dist[np.ix_(a, b)].mean(), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j)
+        groups[i] = sorted(groups[i] + groups.pop(j))
+    return groups
+
+
+def test_prototypes_equal_brute_force():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5, 6, 17, 40):
+        v = rng.normal(size=(n, 4))
+        got, want = kernels.prototypes(v), _merged_by_brute_force(v, 5)
+        assert [w for _, w, _ in got] == [len(g) for g in want]
+        assert all(np.allclose(m, v[g].mean(0)) and np.isclose(s, np.sqrt(((v - v[g].mean(0)) ** 2).sum(1)).mean()) for (m, _, s), g in zip(got, want, strict=True))
+
+
+def test_prototypes_hold_every_vector(spark, tmp_path):
+    from trackweave.plans.queries import QUERIES
+
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(90, 3)).round(3)
+    spark.createDataFrame([(i, 1, x.tolist()) for i, x in enumerate(v)], "vec_id int, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = QUERIES["descriptor_prototypes"](spark, str(tmp_path)).orderBy("proto_id").collect()
+    want = _merged_by_brute_force(v.astype("float32").astype(float), 5)
+    assert sum(r["weight"] for r in got) == 90 and [r["weight"] for r in got] == [len(g) for g in want]
+    assert all(np.allclose(r["descriptor"], v[g].mean(0), atol=1e-5) for r, g in zip(got, want, strict=True))
+
+
 def test_cardinalities_fill_each_set():
     areas = {1: 110.0, 2: 85.0, 3: 400.0, 4: 180.0}
     got = kernels.cardinalities([[1, 2, 3], [3, 4]], areas, 2, 100.0)

@@ -534,7 +534,7 @@ def appearance_matrix(spark, d):
 
 @query()
 def descriptor_prototypes(spark, d):
-    """At most five prototypes of each identity's first 60 descriptors."""
+    """At most five prototypes of all descriptors of each identity."""
     reach_workers(spark)
     import numpy as np
 
@@ -542,8 +542,7 @@ def descriptor_prototypes(spark, d):
         got = kernels.prototypes(np.stack(b.sort_values("vec_id")["embedding"].tolist()).astype(float))
         return pd.DataFrame([(int(b["label"].iloc[0]), i, m.tolist(), n, s) for i, (m, n, s) in enumerate(got)], columns=["label", "proto_id", "descriptor", "weight", "std"])
 
-    few = S.table(spark, d, "embeddings").withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).filter("k <= 60").drop("k")
-    return few.groupBy("label").applyInPandas(build, "label int, proto_id int, descriptor array<double>, weight bigint, std double")
+    return S.table(spark, d, "embeddings").groupBy("label").applyInPandas(build, "label int, proto_id int, descriptor array<double>, weight bigint, std double")
 
 
 @query("""WITH b AS (SELECT obj_id, CAST(floor((row_number() OVER (PARTITION BY obj_id ORDER BY region_id) - 1) / 120) AS BIGINT) AS block, y / 100 AS p FROM det), s AS (SELECT obj_id, block, sum(p) AS s1, sum(1 - p) AS s2 FROM b GROUP BY 1, 2)
