@@ -193,6 +193,27 @@ def test_licenses_are_told_apart(spark):
     assert [got[i]["n_blocks"] for i in range(7)] == [1, 1, 1, 1, 1, 0, 0]
 
 
+def test_whole_notices_are_found(spark):
+    from textwrap import wrap
+
+    T = license_scan.TEMPLATES
+    comment = lambda w, mark: "int x;\n" + "\n".join(f"{mark} {x}" for x in wrap(w, 40)) + "\nend"
+    noise = " ".join(f"word{i}" for i in range(400))
+    texts = {
+        **{f"{name}:{i}:{mark}": (comment(w, mark), name) for name, ws in T.items() for i, w in enumerate(ws) for mark in ("#", " *", "//", "")},
+        **{f"{name}:{i}:long": (f"{noise} {w} {noise}", name) for name, ws in T.items() for i, w in enumerate(ws)},
+        "dual": ("Licensed under the Apache License, Version 2.0 or the MIT License, at your option.", "Apache-2.0,MIT"),
+        "dual2": ("Licensed under either of the MIT License or the Apache License, Version 2.0.", "Apache-2.0,MIT"),
+        "lines": ("Released under the MIT License.\nLicensed under CC BY-NC 4.0.", "CC-BY-NC-4.0,MIT"),
+        "lesser": ("This work is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0"),
+        "none": (f"{noise} licence {noise}\ncopyright the licence and redistribution of the permission", ""),
+    }
+    keys = list(texts)
+    got = by_id(license_scan.scan(spark.createDataFrame([(i, texts[k][0]) for i, k in enumerate(keys)], "doc_id bigint, text string")))
+    assert {k: got[i]["licenses"] for i, k in enumerate(keys)} == {k: v for k, (_, v) in texts.items()}
+    assert got[keys.index("MIT:2:#")]["findings"][0]["line"] == 1 and got[keys.index("MIT:2:#")]["n_blocks"] >= 1
+
+
 def test_gradients_of_the_network():
     net, rng = langid.Network.fresh(["a", "b"], 3, 1), np.random.default_rng(0)
     x, y, real = rng.integers(1, 255, (5, 4)).astype(np.uint8), np.array([0, 1, 1, 0]), np.ones((5, 4), np.float32)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
@@ -24,35 +26,102 @@ TEMPLATES = {
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
     ],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
+    "LGPL-2.1": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "LGPL-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "AGPL-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "BSD-2-Clause": ["Released under the BSD 2-Clause License."],
     "BSD-3-Clause": [
         "Released under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     ],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
-    "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License."],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"],
+    "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0."],
+    "CC-BY-SA-4.0": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0."],
+    "CC-BY-ND-4.0": ["This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "Licensed under CC BY-ND 4.0."],
+    "CC-BY-NC-4.0": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC 4.0."],
+    "CC-BY-NC-SA-4.0": ["This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "Licensed under CC BY-NC-SA 4.0."],
+    "CC-BY-NC-ND-4.0": ["This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "Licensed under CC BY-NC-ND 4.0."],
 }
-#: A line with one of these words is a candidate block.
-CUE = r"(?i)licen[sc]|copyright|permission is hereby|redistribut"
-#: Winners that are compared word by word, and the share of a template's words that must be there in order.
-RANKED, LEAST_WORDS = 3, 0.9
-
+#: Names that stand for a licence behind one of the words in LEADS: the further licences of a line that names several.
+NAMES = {
+    "MIT": ["MIT License", "MIT"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0"],
+    "GPL-2.0": ["GNU General Public License, version 2", "GPL version 2", "GPLv2", "GPL-2.0"],
+    "GPL-3.0": ["GNU General Public License, version 3", "GPL version 3", "GPLv3", "GPL-3.0"],
+    "LGPL-2.1": ["GNU Lesser General Public License, version 2.1", "LGPL-2.1"],
+    "LGPL-3.0": ["GNU Lesser General Public License, version 3", "LGPL-3.0"],
+    "AGPL-3.0": ["GNU Affero General Public License, version 3", "AGPL-3.0"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "BSD-2-Clause"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "BSD-3-Clause"],
+    "ISC": ["ISC License"],
+    "MPL-2.0": ["Mozilla Public License, v. 2.0", "Mozilla Public License, version 2.0", "MPL-2.0"],
+    "EPL-2.0": ["Eclipse Public License 2.0", "EPL-2.0"],
+    "CC-BY-4.0": ["CC BY 4.0"], "CC-BY-SA-4.0": ["CC BY-SA 4.0"], "CC-BY-ND-4.0": ["CC BY-ND 4.0"],
+    "CC-BY-NC-4.0": ["CC BY-NC 4.0"], "CC-BY-NC-SA-4.0": ["CC BY-NC-SA 4.0"], "CC-BY-NC-ND-4.0": ["CC BY-NC-ND 4.0"],
+}
+LEADS = ("under", "under the", "of", "of the", "either", "either the", "or", "or the", "and", "and the", "SPDX-License-Identifier:")
+#: A notice has one of these words; those of two words may be wrapped between them.
+CUE = r"(?i)licen[sc]|copyright|permission[^a-z]+is[^a-z]+hereby|is[^a-z]+hereby[^a-z]+granted|redistribut"
+#: Share of a template's words that must be there in order, and words that make another licence where they differ.
+LEAST_WORDS, TELLING = 0.9, frozenset("not lesser library affero noncommercial nc sharealike sa noderivatives noderivs nd".split())
+
+_CUE = re.compile(CUE)
+#: A line's end with the next one's comment mark.
+_BREAK = re.compile(r"\s*(?:\*/|-->)?\s*\n\s*(?:(?:#|//|/\*|<!--|\*|;|--|%|>|!|\.\.|(?:rem|dnl)\b)[#/*;%>!-]*\s*)*", re.IGNORECASE)
 _WORD = re.compile(r"\w+")
 
 
 @lru_cache(maxsize=1)
-def _compressors() -> tuple[zstandard.ZstdCompressor, list[tuple[str, str, zstandard.ZstdCompressor]]]:
-    plain = zstandard.ZstdCompressor(level=9, write_content_size=False)
-    known = []
-    for name, wordings in TEMPLATES.items():
-        for w in wordings:
-            raw = zstandard.ZstdCompressionDict(w.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            known.append((name, w, zstandard.ZstdCompressor(level=9, dict_data=raw, write_content_size=False)))
-    return plain, known
+def _known() -> list[tuple[str, str, tuple[str, ...], int, zstandard.ZstdCompressor]]:
+    """License, wording, its words, how many words may be put in, and a compressor that knows it."""
+    out = []
+    named = [(name, f"{lead} {n}", True) for name, ns in NAMES.items() for n in ns for lead in LEADS]
+    for name, w, exact in [*((name, w, False) for name, ws in TEMPLATES.items() for w in ws), *named]:
+        raw = zstandard.ZstdCompressionDict(w.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        words = tuple(x.lower() for x in _WORD.findall(w))
+        out.append((name, w, words, 0 if exact else max(4, len(words) // 2), zstandard.ZstdCompressor(level=9, dict_data=raw, write_content_size=False)))
+    return out
+
+
+@lru_cache(maxsize=1)
+def _plain() -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=9, write_content_size=False)
+
+
+@lru_cache(maxsize=1)
+def _reach() -> int:
+    """Words of the longest window: no notice reaches further from its cue word."""
+    return max(len(words) + _edits_allowed(words, more) for _, _, words, more, _ in _known())
+
+
+def _edits_allowed(words: tuple[str, ...], more: int) -> int:
+    return len(words) - _least(words) + more
+
+
+def _least(words: tuple[str, ...]) -> int:
+    return int(np.ceil(LEAST_WORDS * len(words) - 1e-9))
+
+
+def _distances(words: tuple[str, ...], text: list[str], anchored: bool) -> np.ndarray:
+    """Word edits between ``words`` and the cheapest part of ``text`` that ends before each place (or the whole part, anchored)."""
+    codes = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    at, place = np.array([codes.get(w, -1) for w in text], int), np.arange(len(text) + 1)
+    row = place.copy() if anchored else np.zeros(len(text) + 1, int)
+    for w in words:
+        new = row + 1
+        new[1:] = np.minimum(new[1:], row[:-1] + (at != codes[w]))
+        row = np.minimum.accumulate(new - place) + place
+    return row
 
 
 def wording_difference(template: str, block: str) -> tuple[float, list[str]]:
@@ -64,51 +133,95 @@ def wording_difference(template: str, block: str) -> tuple[float, list[str]]:
     return same / max(1, len(a)), [f"-{' '.join(a[i1:i2])}+{' '.join(b[j1:j2])}" for tag, i1, i2, j1, j2 in inner if tag != "equal"]
 
 
-@lru_cache(maxsize=50_000)
-def classify_block(block: str) -> tuple[str, float, str] | None:
-    """License, size reduction and differences of the best confirmed template; None if none is confirmed."""
-    plain, known = _compressors()
+def _confirm(wording: str, block: str, known: zstandard.ZstdCompressor) -> tuple[tuple, float, str] | None:
+    """Rank, size reduction and differences of a window if it is the template's licence."""
+    share, differs = wording_difference(wording, block)
+    changed = {w.lower() for d in differs for w in _WORD.findall(d)}
+    # numbers are a licence's version, and some words its kind: a block that changes one is another licence
+    if share < LEAST_WORDS or changed & TELLING or any(re.search(r"\d", w) for w in changed):
+        return None
     raw = block.encode()
-    alone = len(plain.compress(raw))
-    gains = sorted(((1 - len(c.compress(raw)) / alone, name, wording) for name, wording, c in known), key=lambda x: (-x[0], x[1], x[2]))
-    best = None
-    for gain, name, wording in gains[:RANKED]:
-        share, differs = wording_difference(wording, block)
-        # numbers are a licence's version: a block that changes one is another licence
-        if gain <= 0 or share < LEAST_WORDS or any(re.search(r"\d", d) for d in differs):
-            continue
-        key = (-len(differs) == 0, share, gain)
-        if best is None or key > best[0]:
-            best = (key, (name, gain, "; ".join(differs)))
-    return best and best[1]
+    gain = 1 - len(known.compress(raw)) / len(_plain().compress(raw))
+    return ((not differs, share, len(wording), gain), gain, "; ".join(differs)) if gain > 0 else None
+
+
+def notices(text: str) -> tuple[int, list[tuple[int, str, float, str]]]:
+    """Number of candidate blocks, and line, license, size reduction and differences of each notice in a text."""
+    cues = [m.start() for m in _CUE.finditer(text)]
+    if not cues:
+        return 0, []
+    spans = [m.span() for m in _WORD.finditer(text)]
+    starts, ends = np.array([x for x, _ in spans]), [y for _, y in spans]
+    breaks = np.array([m.start() for m in re.finditer("\n", text)], int)
+    lines = np.unique(np.searchsorted(breaks, cues))
+    n_blocks = int(1 + (np.diff(lines) > 1).sum())
+    reach, regions = _reach(), []
+    for i in np.maximum(np.searchsorted(starts, cues, "right") - 1, 0).tolist():
+        lo, hi = max(0, i - reach), min(len(spans), i + reach + 1)
+        if regions and lo <= regions[-1][1]:
+            regions[-1][1] = hi
+        else:
+            regions.append([lo, hi])
+    best: list[tuple[tuple, int, int, str, float, str]] = []
+    for lo, hi in regions:
+        words = [text[x:y].lower() for x, y in spans[lo:hi]]
+        held = set(words)
+        for name, wording, want, more, known in _known():
+            if sum(n for w, n in Counter(want).items() if w not in held) > len(want) - _least(want):
+                continue
+            most = _edits_allowed(want, more)
+            if not most:
+                found = [i + len(want) for i, w in enumerate(words) if w == want[0] and tuple(words[i : i + len(want)]) == want]
+                cost = None
+            else:
+                cost = _distances(want, words, False)
+                low = (cost[1:] <= most) & (cost[1:] <= cost[:-1]) & (cost[1:] <= np.append(cost[2:], len(want) + 1))
+                found = sorted((np.flatnonzero(low) + 1).tolist(), key=lambda j: (cost[j], j))
+            taken: list[tuple[int, int]] = []
+            for end in found:
+                if any(x < end < y + _least(want) for x, y in taken):
+                    continue
+                start = end - len(want)
+                if cost is not None:
+                    start = end - int(_distances(want[::-1], words[max(0, end - len(want) - most) : end][::-1], True).argmin())
+                if start >= end or any(start < y and x < end for x, y in taken):
+                    continue
+                block = _BREAK.sub(" ", text[spans[lo + start][0] : ends[lo + end - 1]])
+                got = _confirm(wording, block, known)
+                if got:
+                    taken.append((start, end))
+                    best.append((got[0], lo + start, lo + end, name, got[1], got[2]))
+    out: list[tuple[int, int, str, float, str]] = []
+    for _, x, y, name, gain, differs in sorted(best, key=lambda b: (b[0], -b[1]), reverse=True):  # wordings of one licence overlap
+        if all(name != o[2] or y <= o[0] or o[1] <= x for o in out):
+            out.append((x, y, name, gain, differs))
+    out.sort(key=lambda o: (o[0], o[2]))
+    return n_blocks, [(int(np.searchsorted(breaks, starts[x])), name, gain, differs) for x, _, name, gain, differs in out]
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Find licence notices; one row for each input row: the id, ``n_blocks``, ``licenses``, ``findings``.
 
-    Candidate blocks are the lines that hold a cue word. Each is compressed with each template as
-    a raw dictionary; templates are ranked by how much that saves, and the best are confirmed by
-    the exact differences in wording. ``findings``: line, license, reduction and differences of
-    each confirmed block; ``licenses``: their sorted identifiers, comma-joined.
+    Words near a cue word are candidates, over line ends and comment marks alike. Each template
+    slides over them; every window with few enough changed words is compressed with the template
+    as a raw dictionary, and confirmed if that saves bytes and the exact differences in wording
+    leave it the same licence. ``findings``: first line, license, reduction and differences of each
+    confirmed notice; ``licenses``: their sorted identifiers, comma-joined.
 
-    Defined cases: a null text has no blocks; blocks that no template confirms count in
-    ``n_blocks`` only; repeated rows each get a row; an empty table gives none; other columns are
-    ignored.
+    Defined cases: a null text has no blocks; ``n_blocks`` counts the runs of consecutive lines
+    that hold a cue word, confirmed or not; repeated rows each get a row; an empty table gives
+    none; other columns are ignored.
     """
     reach_workers(docs.sparkSession)
-    kind = "array<struct<line:int,license:string,reduction:double,differences:string>>"
-
-    @F.pandas_udf(kind)
-    def findings(blocks: pd.Series) -> pd.Series:
-        out = []
-        for row in blocks:
-            got = [(b["line"], classify_block(b["block"])) for b in ([] if row is None else row)]
-            out.append([{"line": line, "license": x[0], "reduction": round(x[1], 6), "differences": x[2]} for line, x in got if x])
-        return pd.Series(out)
-
-    lines = F.transform(F.split(F.col(text_col), "\n"), lambda x, i: F.struct(i.alias("line"), F.trim(x).alias("block")))
-    blocks = F.when(F.col(text_col).rlike(CUE), F.filter(lines, lambda x: x["block"].rlike(CUE)))
-    rows = docs.select(F.col(id_col), blocks.alias("blocks"))
-    rows = rows.select(id_col, F.coalesce(F.size("blocks"), F.lit(0)).cast("bigint").alias("n_blocks"), findings("blocks").alias("findings"))
+
+    @F.pandas_udf("struct<n_blocks:bigint,findings:array<struct<line:int,license:string,reduction:double,differences:string>>>")
+    def found(texts: pd.Series) -> pd.DataFrame:
+        rows = [(0, []) if t is None else notices(t) for t in texts]
+        each = [[{"line": line, "license": name, "reduction": round(gain, 6), "differences": differs} for line, name, gain, differs in got] for _, got in rows]
+        return pd.DataFrame({"n_blocks": [n for n, _ in rows], "findings": each})
+
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col), found(F.when(text.rlike(CUE), text)).alias("x"))
+    rows = rows.select(id_col, "x.n_blocks", "x.findings")
     names = F.array_join(F.array_sort(F.array_distinct(F.transform("findings", lambda x: x["license"]))), ",")
-    return rows.select(id_col, F.greatest("n_blocks", F.lit(0)).alias("n_blocks"), names.alias("licenses"), "findings")
+    return rows.select(id_col, "n_blocks", names.alias("licenses"), "findings")
