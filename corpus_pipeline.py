@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from trackweave.llm import decontaminate, langid, near_dup, packing, secret_scan
 from trackweave.llm.scratch import shared_dir
@@ -21,26 +22,43 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return got.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
 
 
+def _text_hash() -> Column:
+    """A null text counts as an empty one, as in all stages."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one of the least id."""
-    kept = near_dup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
+    """One document of each group of near-duplicates stays: the one of the least id.
+
+    Rows without an id all stay. Rows of one id are one document only if their texts are equal;
+    if they differ, each text is a document of its own.
+    """
+    named = docs.filter("doc_id IS NOT NULL").withColumn("__th", _text_hash())
+    ids = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("__th").alias("lo"), F.max("__th").alias("hi"))
+    repeats, differ = ids.agg(F.max(F.col("n") > 1), F.max(F.col("lo") != F.col("hi"))).first()
+    named = named.withColumn("__key", _ordered_key(docs) if differ else F.col("doc_id"))
+    kept = near_dup.near_duplicates(named, id_col="__key").filter("kept").select("__key").distinct()
     few = kept.count() <= near_dup.BROADCAST_IDS
-    rows = docs.join(F.broadcast(kept) if few else kept, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
-    return rows.dropDuplicates(["doc_id"]) if _repeats(docs) else rows
+    rows = named.join(F.broadcast(kept) if few else kept, "__key", "left_semi")
+    rows = rows.dropDuplicates(["doc_id", "__th"]) if repeats else rows
+    return rows.select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
 
 
-def _repeats(docs: DataFrame) -> bool:
-    """Whether an id occurs twice; only then rows of one id have to be put together."""
-    ids = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return ids.filter("n > 1").limit(1).count() > 0
+def _ordered_key(docs: DataFrame) -> Column:
+    """Id and text hash as one string, in the order of the ids."""
+    if isinstance(docs.schema["doc_id"].dataType, StringType):
+        return F.concat_ws("\0", "doc_id", F.lpad(F.hex("__th"), 16, "0"))
+    unsigned = F.col("doc_id").cast("bigint").bitwiseXOR(F.lit(-(1 << 63)))
+    return F.concat(F.lpad(F.hex(unsigned), 16, "0"), F.lpad(F.hex("__th"), 16, "0"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
-    hit = decontaminate.decontamination_report(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("contaminated")
-    hit = hit.select(F.col("doc_id").alias("__id")).distinct()
+    """Documents that hold a window of a benchmark item go; others of the same id, or without one, stay."""
+    hit = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter(F.size("spans") > 0)
+    hit = hit.select(F.col("doc_id").alias("__id"), F.col("th").alias("__hit")).distinct()
     few = hit.count() <= near_dup.BROADCAST_IDS
-    return docs.join(F.broadcast(hit) if few else hit, docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
+    rows = docs.withColumn("__th", _text_hash())
+    return rows.join(F.broadcast(hit) if few else hit, rows["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__hit")), "left_anti").select(docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

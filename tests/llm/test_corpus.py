@@ -247,3 +247,20 @@ def test_pipeline_stages_keep_columns(spark, docs, tmp_path):
         docs = spark.createDataFrame(out.collect(), docs.schema)
     left = {r["doc_id"] for r in docs.collect()}
     assert 20 not in left and 14 in left and not left & {44, 45, 56, 57, 58}
+
+
+def test_pipeline_keeps_rows_of_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline as P
+
+    text = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcdef"]
+    near = text[0].replace("a20 ", "zz ")
+    rows = [(None, text[0]), (None, text[0]), (None, text[1]), (7, text[2]), (7, text[2]), (7, text[3]), (-1, text[0]), (9, near), (9, text[4]), (None, None), (8, text[5])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    left = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    want = sorted([(None, text[0]), (None, text[0]), (None, text[1]), (None, None), (7, text[2]), (7, text[3]), (-1, text[0]), (9, text[4]), (8, text[5])], key=repr)
+    assert left(P.near_dedup(spark, docs, "")) == want
+    assert left(P.near_dedup(spark, docs.withColumn("doc_id", F.col("doc_id").cast("string")), "")) == sorted([(None if i is None else str(i), t) for i, t in want], key=repr)
+    once = docs.filter("doc_id IS NULL OR doc_id IN (-1, 8)")
+    assert left(P.near_dedup(spark, once, "")) == left(once)
+    spark.createDataFrame([(1, text[1]), (2, text[2])], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert left(P.decontamination(spark, docs, str(tmp_path))) == sorted([r for r in rows if r[1] not in text[1:3]], key=repr)
