@@ -115,6 +115,58 @@ def test_mot_counts():
     assert kernels.clear_mot([(0, {1: (0, 0)}, {}), (1, {}, {3: (0, 0)})], 1.0)["mota"] == -1
 
 
+def _mot_tables(spark, monkeypatch, frames):
+    truth = [(t, i, float(x), float(y)) for t, a, _ in frames for i, (x, y) in a.items()]
+    found = [(t, i, float(x), float(y)) for t, _, b in frames for i, (x, y) in b.items()]
+    kind = "frame int, id int, x double, y double"
+    monkeypatch.setattr(S, "ground_truth", lambda spark, d: spark.createDataFrame(truth, kind))
+    monkeypatch.setattr(S, "predictions", lambda spark, d: spark.createDataFrame(found, kind))
+
+
+def test_mot_is_one_sequence(spark, monkeypatch):
+    from trackweave.plans.queries import QUERIES
+
+    rng, frames = np.random.default_rng(5), []
+    for t in range(100):
+        a = {i: (20.0 * i, t / 9) for i in range(6) if rng.random() < 0.9}
+        shift = 30 <= t < 61  # ids change at the edge of a block of 30 frames
+        frames.append((t, a, {(i + 1) % 6 if shift else i: (x + 1, y) for i, (x, y) in a.items() if rng.random() < (0.9 if i else 0.1)} | {50: (900, 900)}))
+    _mot_tables(spark, monkeypatch, frames)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # frames go over batches
+    got = QUERIES["clear_mot"](spark, "").collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    want = kernels.clear_mot(frames, 5.0)
+    assert len(got) == 1 and want["num_switches"] > 0 and want["num_fragmentations"] > 0
+    assert got[0].asDict().keys() == want.keys() and all(np.isclose(got[0][k], v) for k, v in want.items())
+
+
+def test_a_prediction_has_one_object_in_a_frame():
+    frames = [(0, {1: (0, 0)}, {5: (0, 0)}), (1, {2: (0, 0)}, {5: (0, 0)}), (2, {1: (0, 0), 2: (0, 0)}, {5: (0, 0)})]
+    got = kernels.clear_mot(frames, 1.0)
+    assert (got["num_detections"], got["num_misses"], got["num_false_positives"]) == (3, 1, 0)
+
+
+def test_permuted_identities_score_full(spark, monkeypatch):
+    from trackweave.plans.queries import QUERIES
+
+    frames = [(t, {i: (20 * i, t) for i in range(5)}, {(i + 2) % 5: (20 * i + 1, t) for i in range(5)}) for t in range(70)]
+    _mot_tables(spark, monkeypatch, frames)
+    assert sorted(map(tuple, QUERIES["identity_assignment"](spark, "").collect())) == [(i, (i + 2) % 5, 70) for i in range(5)]
+    r = QUERIES["identity_scores"](spark, "").first()
+    assert (r["n_gt"], r["n_pred"], r["idtp"], r["idf1"]) == (350, 350, 350, 1.0)
+
+
+def test_best_pairs_equal_brute_force():
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        m = rng.integers(0, 6, (4, 5)) * (rng.random((4, 5)) < 0.5)
+        r, c = np.nonzero(m)
+        got = kernels.best_pairs(r.tolist(), c.tolist(), m[r, c].tolist())
+        assert sum(n for _, _, n in got) == max(sum(m[i, p[i]] for i in range(4)) for p in permutations(range(5), 4))
+        assert all(m[i, j] == n > 0 for i, j, n in got)
+
+
 def test_mot_files_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([(1, 1, 2.5, 3.0), (1, 2, None, None)], "frame int, id int, x double, y double")
     S.write_mot(rows, f"{tmp_path}/mot")

@@ -396,47 +396,89 @@ def trajectory_grid(spark, d):
 c AS (SELECT (SELECT count(*) FROM gt) AS n_gt, (SELECT count(*) FROM pred) AS n_pred, (SELECT count(*) FROM m) AS idtp)
 SELECT n_gt, n_pred, idtp, n_pred - idtp AS idfp, n_gt - idtp AS idfn, round(idtp / n_pred, 6) AS idp, round(idtp / n_gt, 6) AS idr, round(2 * idtp / (n_gt + n_pred), 6) AS idf1 FROM c""", "gt pred")
 def identity_scores(spark, d):
-    """Identity precision, recall and F1 for identities named alike."""
-    g, p = S.ground_truth(spark, d), S.predictions(spark, d).select("frame", "id", F.col("x").alias("px"), F.col("y").alias("py"))
-    j = g.join(p, ["frame", "id"], "full").agg(
-        F.count("x").alias("n_gt"), F.count("px").alias("n_pred"), F.count_if((F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2 <= 25).alias("idtp"),
-    )
+    """Identity precision, recall and F1 under the one assignment of predicted to true ids that matches most."""
+    g, p = S.ground_truth(spark, d), S.predictions(spark, d)
+    n = g.agg(F.count(F.lit(1)).alias("n_gt")).crossJoin(p.agg(F.count(F.lit(1)).alias("n_pred")))
+    j = n.crossJoin(_assigned(spark, g, p).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("idtp")))
     return j.selectExpr("n_gt", "n_pred", "idtp", "n_pred - idtp AS idfp", "n_gt - idtp AS idfn", "round(idtp / n_pred, 6) AS idp", "round(idtp / n_gt, 6) AS idr", "round(2 * idtp / (n_gt + n_pred), 6) AS idf1")
 
 
-@query()
-def clear_mot(spark, d):
-    """CLEAR-MOT metrics of each block of 30 frames, matched frame by frame."""
+def _assigned(spark, g, p):
+    """One assignment of predicted to true ids over all frames: ``id``, ``h`` and their common frames within 5 pixels, ``n``.
+
+    Spark counts the frames; the assignment is one task over the counts of pairs of identities.
+    """
     reach_workers(spark)
-    g = S.ground_truth(spark, d).selectExpr("frame", "id", "x", "y", "true AS truth")
-    rows = g.unionByName(S.predictions(spark, d).selectExpr("frame", "id", "x", "y", "false AS truth")).withColumn("block", F.floor(F.col("frame") / 30).cast("int"))
-    names = ["num_matches", "num_switches", "num_false_positives", "num_misses", "num_objects", "num_predictions", "num_fragmentations", "num_detections", "mostly_tracked", "mostly_lost", "partially_tracked", "mota", "motp", "motp_px", "precision", "recall"]
+    cell, step = lambda c: F.floor(F.col(c) / 6), F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
+    p = p.select("frame", F.col("id").alias("h"), F.col("x").alias("px"), F.col("y").alias("py")).withColumns({"cx": cell("px"), "cy": cell("py")})
+    g = g.withColumn("i", step).withColumn("j", step).withColumns({"cx": cell("x") + F.col("i"), "cy": cell("y") + F.col("j")})
+    near = g.join(p, ["frame", "cx", "cy"]).filter((F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2 <= 25)
+    votes = near.groupBy("id", "h").agg(F.count(F.lit(1)).alias("n"))
 
-    def score(b: pd.DataFrame) -> pd.DataFrame:
-        frames = []
-        for f, x in b.groupby("frame", sort=True):
-            side = lambda t, x=x: {i: (u, v) for i, u, v in x.loc[x["truth"] == t, ["id", "x", "y"]].itertuples(index=False)}
-            frames.append((f, side(True), side(False)))
-        got = kernels.clear_mot(frames, 5.0)
-        return pd.DataFrame([{"block": b["block"].iloc[0], **{k: float(got[k]) for k in names}}])
+    def assign(b: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(kernels.best_pairs(b["id"].tolist(), b["h"].tolist(), b["n"].tolist()), columns=["id", "h", "n"])
 
-    return rows.groupBy("block").applyInPandas(score, "block int, " + ", ".join(f"{k} double" for k in names))
+    return votes.groupBy().applyInPandas(assign, "id int, h int, n bigint")
 
 
 @query()
-def identity_assignment(spark, d):
-    """Predicted ids assigned to true ids by co-occurrence, in blocks of 30 frames."""
+def clear_mot(spark, d):
+    """CLEAR-MOT metrics of the whole sequence, matched frame by frame.
+
+    Each frame needs the one before, so one task reads the sorted frames as a stream and holds a
+    frame and the last pairs; its matches are counted by Spark.
+    """
     reach_workers(spark)
-    g, p = S.ground_truth(spark, d), S.predictions(spark, d).select("frame", F.col("id").alias("h"), F.col("x").alias("px"), F.col("y").alias("py"))
-    near = g.join(p, "frame").filter((F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2 <= 25)
-    votes = near.groupBy(F.floor(F.col("frame") / 30).cast("int").alias("block"), "id", "h").agg(F.count(F.lit(1)).alias("n"))
+    g = S.ground_truth(spark, d).selectExpr("frame", "id", "x", "y", "true AS truth")
+    rows = g.unionByName(S.predictions(spark, d).selectExpr("frame", "id", "x", "y", "false AS truth"))
+
+    def match(batches):
+        matcher, rest = kernels.MotMatcher(5.0), None
+
+        def step(x: pd.DataFrame) -> pd.DataFrame:
+            side = lambda t: {i: (u, v) for i, u, v in x.loc[x["truth"] == t, ["id", "x", "y"]].itertuples(index=False)}
+            out = pd.DataFrame(matcher.step(side(True), side(False)), columns=["id", "h", "sq", "switched"])
+            return out.assign(frame=x["frame"].iloc[0]).astype({"id": "Int32", "h": "Int32", "sq": "float64"})[["frame", "id", "h", "sq", "switched"]]
+
+        for b in batches:
+            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+            if not len(b):
+                continue
+            whole = b["frame"] != b["frame"].iloc[-1]  # the last frame may go on in the next batch
+            for _, x in b[whole].groupby("frame", sort=True):
+                yield step(x)
+            rest = b[~whole]
+        if rest is not None and len(rest):
+            yield step(rest)
+
+    pairs = rows.repartition(1).sortWithinPartitions("frame").mapInPandas(match, "frame int, id int, h int, sq double, switched boolean")
+    # predictions without a partner have no true id; they are spread by their own
+    pairs = pairs.withColumn("lone", F.when(F.col("id").isNull(), F.col("h")))
+    w, hit = Window.partitionBy("id", "lone").orderBy("frame"), F.col("h").isNotNull()
+    pairs = pairs.withColumns({"hit": hit, "lost": F.col("id").isNotNull() & hit & ~F.lead(hit).over(w)})
+    per = pairs.groupBy("id", "lone").agg(
+        F.count("id").alias("objects"), F.count("h").alias("predictions"), F.count("sq").alias("detections"), F.count_if("switched").alias("switches"), F.sum("sq").alias("sq"),
+        F.count_if("lost").alias("lost"), F.max_by("hit", "frame").alias("last"),
+    )
+    true, ratio = F.col("id").isNotNull(), F.col("detections") / F.nullif(F.col("objects"), F.lit(0))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("double")
+    t = per.agg(
+        total(F.col("detections") - F.col("switches")).alias("num_matches"), total("switches").alias("num_switches"), total(F.col("predictions") - F.col("detections")).alias("num_false_positives"),
+        total(F.col("objects") - F.col("detections")).alias("num_misses"), total("objects").alias("num_objects"), total("predictions").alias("num_predictions"),
+        total(F.when(true, F.col("lost") - (~F.col("last") & (F.col("detections") > 0)).cast("int"))).alias("num_fragmentations"), total("detections").alias("num_detections"),
+        F.count_if(true & (ratio >= 0.8)).cast("double").alias("mostly_tracked"), F.count_if(true & (ratio < 0.2)).cast("double").alias("mostly_lost"),
+        F.count_if(true & (ratio >= 0.2) & (ratio < 0.8)).cast("double").alias("partially_tracked"), total("sq").alias("sq"),
+    )
+    return t.selectExpr(
+        "* EXCEPT (sq)", "1 - (num_misses + num_switches + num_false_positives) / greatest(1, num_objects) AS mota", "sq / greatest(1, num_detections) AS motp", "sqrt(sq / greatest(1, num_detections)) AS motp_px",
+        "num_detections / greatest(1, num_detections + num_false_positives) AS precision", "num_detections / greatest(1, num_objects) AS recall",
+    )
 
-    def assign(b: pd.DataFrame) -> pd.DataFrame:
-        m = b.pivot_table(index="id", columns="h", values="n", fill_value=0)
-        pairs = kernels.assignment(-m.to_numpy())
-        return pd.DataFrame([(b["block"].iloc[0], m.index[r], m.columns[c], int(m.iat[r, c])) for r, c in pairs if m.iat[r, c] > 0], columns=["block", "id", "h", "n"])
 
-    return votes.groupBy("block").applyInPandas(assign, "block int, id int, h int, n bigint")
+@query()
+def identity_assignment(spark, d):
+    """Predicted ids assigned to true ids by co-occurrence over all frames."""
+    return _assigned(spark, S.ground_truth(spark, d), S.predictions(spark, d))
 
 
 @query("""SELECT a.tracklet_id AS a, b.tracklet_id AS b, count(*) AS n, round(min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)), 4) AS min_dist FROM tre a JOIN tre b ON a.frame = b.frame AND a.obj_id = 1 AND b.obj_id > 1 GROUP BY 1, 2""", "tre")
