@@ -270,9 +270,9 @@ def tracklet_statistics(spark, d):
 
 @query("SELECT f.frame, t.tracklet_id FROM (SELECT DISTINCT frame FROM du WHERE frame % 10 = 0) f JOIN tr t ON t.start_frame <= f.frame AND f.frame <= t.end_frame", "tr")
 def tracklets_in_frame(spark, d):
-    """Tracklets present at given frames: a point-in-interval join."""
+    """Tracklets present at each frame: a point-in-interval join."""
     rows = S.unique_detections(spark, d)
-    f = rows.select("frame").distinct().filter("frame % 10 = 0").select(F.col("frame").alias("start_frame"), F.col("frame").alias("end_frame"))
+    f = rows.select("frame").distinct().select(F.col("frame").alias("start_frame"), F.col("frame").alias("end_frame"))
     return intervals.overlap_join(f, intervals.islands(rows).select("tracklet_id", "start_frame", "end_frame")).select(F.col("start_frame").alias("frame"), F.col("tracklet_id2").alias("tracklet_id"))
 
 
@@ -384,11 +384,17 @@ def region_cardinalities(spark, d):
 
 
 @query("""SELECT f.frame, o.obj_id AS id, d.x, d.y FROM (SELECT DISTINCT frame FROM du WHERE frame % 5 = 0) f CROSS JOIN (SELECT DISTINCT obj_id FROM du) o LEFT JOIN du d ON d.frame = f.frame AND d.obj_id = o.obj_id""", "du")
-def trajectory_grid(spark, d):
-    """The dense grid of frames and identities, missing cells null."""
+def trajectory_grid(spark, d, step=1):
+    """The dense grid of frames and identities, missing cells null (X1, D17); every ``step``-th frame for X79.
+
+    Identities are dealt to parts by their hash, and each part meets all frames: none is held whole in one place.
+    """
     r = S.unique_detections(spark, d)
-    ids = r.agg(F.array_sort(F.collect_set("obj_id")).alias("ids"))  # the animals of one video: a small set
-    grid = r.select("frame").distinct().filter("frame % 5 = 0").crossJoin(F.broadcast(ids)).select("frame", F.explode("ids").alias("id"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ids = r.select(F.col("obj_id").alias("id")).distinct().withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+    frames = r.select("frame").distinct()
+    frames = (frames.filter(F.col("frame") % step == 0) if step > 1 else frames).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    grid = ids.join(frames, "part").select("frame", "id")
     return grid.join(r.select("frame", F.col("obj_id").alias("id"), "x", "y"), ["frame", "id"], "left")
 
 
@@ -624,9 +630,9 @@ def shared_tracks(spark, d):
 
 @query("""SELECT t.region_id FROM du t WHERE NOT EXISTS (SELECT 1 FROM tr WHERE tr.tracklet_id = t.region_id) AND t.frame % 7 = 0""", "tr")
 def inner_regions(spark, d):
-    """Regions that start no tracklet, in every seventh frame."""
+    """Regions that start no tracklet."""
     r = S.unique_detections(spark, d)
-    return r.filter("frame % 7 = 0").join(intervals.islands(r).select(F.col("tracklet_id").alias("region_id")), "region_id", "left_anti").select("region_id")
+    return r.join(intervals.islands(r).select(F.col("tracklet_id").alias("region_id")), "region_id", "left_anti").select("region_id")
 
 
 @query("""SELECT user_id, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s""")
