@@ -229,3 +229,53 @@ def test_every_frame_is_there(spark, name, step):
         assert compare(spark, _duck(), name, lambda s, d: QUERIES[name](s, d, step=5), SQL[name], d) == ""
     elif name == "tracklets_in_frame":
         assert compare(spark, _duck(), name, lambda s, d: QUERIES[name](s, d).filter("frame % 10 = 0"), SQL[name], d) == ""
+
+
+def _paths(spark):
+    rng, rows = np.random.default_rng(7), []
+    for i in range(25):
+        at = int(rng.integers(0, 40))
+        for k in range(int(rng.integers(1, 12))):
+            rows.append((100 - i, at + k, k, float(rng.integers(0, 9)), float(rng.integers(0, 9))))
+    return rows, spark.createDataFrame([*rows, (500, 900, 0, 0.0, 0.0)], "tracklet_id int, frame int, pos int, x double, y double")
+
+
+def test_overlaps_of_any_length_equal_brute_force(spark):
+    rows, df = _paths(spark)
+    held = {}
+    for t, f, *_ in rows:
+        held.setdefault(t, set()).add(f)
+    want = {t: [u for u in held if u != t and held[t] & held[u]] for t in held}
+    got = {r["tracklet_id"]: (r["n"], r["lo"], r["hi"]) for r in intervals.overlap_summary(df).collect()}
+    assert got == {t: (len(u), min(u), max(u)) for t, u in want.items() if u}
+
+
+def test_distances_of_any_two_paths(spark):
+    rows, df = _paths(spark)
+    at = {}
+    for t, f, _, x, y in rows:
+        at.setdefault(t, {})[f] = (x, y)
+    at[500] = {900: (0.0, 0.0)}
+
+    def brute(a, b):
+        d = [(np.hypot(at[a][f][0] - at[b][f][0], at[a][f][1] - at[b][f][1]), f) for f in at[a].keys() & at[b].keys()]
+        return (len(d), *min(d, default=(99999.0, -1)))
+
+    every = [(a, b) for a in at for b in at if a != b]
+    got = {(r["a"], r["b"]): (r["n"], r["min_dist"], r["min_frame"]) for r in intervals.path_distances(df).collect()}
+    assert got.keys() == {p for p in every if p[0] < p[1] and brute(*p)[0]} and all(np.allclose(v, brute(*p)) for p, v in got.items())
+    asked = {(r["a"], r["b"]): (r["n"], r["min_dist"], r["min_frame"]) for r in intervals.path_distances(df, spark.createDataFrame(every, "a int, b int")).collect()}
+    assert asked.keys() == set(every) and all(np.allclose(v, brute(*p)) for p, v in asked.items())
+
+
+def test_overlap_queries_hold_all_tracklets(spark):
+    from trackweave.plans.queries import QUERIES, SQL
+
+    d, con = "/root/testdata/sf0.001", _duck()
+    whole = SQL["overlapping_singles"].replace(" AND b.n = 1", "")
+    assert sorted(map(tuple, QUERIES["overlapping_singles"](spark, d).collect())) == sorted(con.execute(whole).fetchall())
+    got = {(r["a"], r["b"]): (r["n"], r["min_dist"]) for r in QUERIES["common_frame_distance"](spark, d).collect()}
+    whole = SQL["common_frame_distance"].replace("a.obj_id = 1 AND b.obj_id > 1", "a.tracklet_id < b.tracklet_id")
+    assert got == {(a, b): (n, m) for a, b, n, m in con.execute(whole).fetchall()}
+    part = con.execute(SQL["common_frame_distance"]).fetchall()  # the SQL's part: the paths of one object
+    assert part and all(got[min(a, b), max(a, b)] == (n, m) for a, b, n, m in part)

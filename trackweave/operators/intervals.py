@@ -48,6 +48,44 @@ def overlap_join(a: DataFrame, b: DataFrame, *, on: list[str] | None = None, buc
     return x.join(y, same & hit & (F.col("__bucket") == F.greatest("__first", "__first2"))).drop("__first", "__first2", "__bucket", "__bucket2")
 
 
+def overlap_summary(rows: DataFrame) -> DataFrame:
+    """For each tracklet with overlaps: their number ``n``, least and greatest id ``lo`` and ``hi``, itself not counted.
+
+    ``rows`` has a row for each frame of a tracklet (``tracklet_id``, ``frame``, ``pos`` from 0). Overlapping tracklets are
+    those active at its start and those that start later within it, so no pairs are made: each frame gives its counts
+    and its two least and greatest ids, one of which isn't the tracklet's own.
+    """
+    rows = rows.select("tracklet_id", "frame", "pos")
+    per = rows.groupBy("frame").agg(F.count(F.lit(1)).alias("active"), F.count_if(F.col("pos") == 0).alias("starts"), F.min("tracklet_id").alias("lo1"), F.max("tracklet_id").alias("hi1"))
+    met = rows.join(per, "frame")
+    inner = lambda f, end: f(F.when(F.col("tracklet_id") != F.col(end), F.col("tracklet_id")))
+    second = met.groupBy("frame").agg(inner(F.min, "lo1").alias("lo2"), inner(F.max, "hi1").alias("hi2"))
+    met = met.join(second, "frame")
+    other = lambda k: F.when(F.col(f"{k}1") != F.col("tracklet_id"), F.col(f"{k}1")).otherwise(F.col(f"{k}2"))
+    n = F.sum(F.when(F.col("pos") == 0, F.col("active")).otherwise(F.col("starts"))) - 1
+    return met.groupBy("tracklet_id").agg(n.alias("n"), F.min(other("lo")).alias("lo"), F.max(other("hi")).alias("hi")).filter("n > 0")
+
+
+def path_distances(rows: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """Common frames ``n``, least distance ``min_dist`` and its first frame ``min_frame`` of two tracklets ``a`` and ``b``.
+
+    All pairs that share a frame, a < b; or the given ``pairs`` in their own order, with 0, 99999 and -1 if they share none.
+    """
+    one = rows.select(F.col("tracklet_id").alias("a"), "frame", "x", "y")
+    two = rows.select(F.col("tracklet_id").alias("b"), "frame", F.col("x").alias("bx"), F.col("y").alias("by"))
+    if pairs is None:
+        met = one.join(two, "frame").filter("a < b")
+    else:
+        pairs = pairs.select("a", "b").distinct()
+        met = pairs.join(one, "a").join(two, ["b", "frame"])
+    dist = F.sqrt((F.col("x") - F.col("bx")) ** 2 + (F.col("y") - F.col("by")) ** 2)
+    got = met.withColumn("dist", dist).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("dist", "frame")).alias("m"))
+    got = got.select("a", "b", "n", F.col("m.dist").alias("min_dist"), F.col("m.frame").alias("min_frame"))
+    if pairs is None:
+        return got
+    return pairs.join(got, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("min_dist", F.lit(99999.0)).alias("min_dist"), F.coalesce("min_frame", F.lit(-1)).alias("min_frame"))
+
+
 def active_counts(intervals: DataFrame) -> DataFrame:
     """Number of intervals that hold each stretch of frames between events: start, end, ``active``."""
     steps = intervals.selectExpr("start_frame AS frame", "1 AS step").unionByName(intervals.selectExpr("end_frame + 1 AS frame", "-1 AS step"))

@@ -278,10 +278,8 @@ def tracklets_in_frame(spark, d):
 
 @query("SELECT a.tracklet_id, count(*) AS n, min(b.tracklet_id) AS lo, max(b.tracklet_id) AS hi FROM tr a JOIN tr b ON a.start_frame <= b.end_frame AND b.start_frame <= a.end_frame AND a.tracklet_id <> b.tracklet_id AND b.n = 1 GROUP BY 1", "tr")
 def overlapping_singles(spark, d):
-    """Short tracklets that each tracklet overlaps."""
-    t = intervals.islands(S.unique_detections(spark, d)).select("tracklet_id", "start_frame", "end_frame", "n")
-    j = intervals.overlap_join(t, t.filter("n = 1")).filter("tracklet_id <> tracklet_id2")
-    return j.groupBy("tracklet_id").agg(F.count(F.lit(1)).alias("n"), F.min("tracklet_id2").alias("lo"), F.max("tracklet_id2").alias("hi"))
+    """Tracklets that each tracklet overlaps, of any length: number, least and greatest (J3, J4 without its class filter)."""
+    return intervals.overlap_summary(intervals.tracklet_regions(S.unique_detections(spark, d)))
 
 
 _SWEEP = """st AS (SELECT frame, sum(s) AS s FROM (SELECT start_frame AS frame, 1 AS s FROM tr UNION ALL SELECT end_frame + 1, -1 FROM tr) GROUP BY frame),
@@ -489,11 +487,11 @@ def identity_assignment(spark, d):
 
 @query("""SELECT a.tracklet_id AS a, b.tracklet_id AS b, count(*) AS n, round(min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)), 4) AS min_dist FROM tre a JOIN tre b ON a.frame = b.frame AND a.obj_id = 1 AND b.obj_id > 1 GROUP BY 1, 2""", "tre")
 def common_frame_distance(spark, d):
-    """Least distance of two tracklets over their common frames."""
-    t = intervals.tracklet_regions(S.unique_detections(spark, d)).select("tracklet_id", "obj_id", "frame", "x", "y")
-    b = t.filter("obj_id > 1").select(F.col("tracklet_id").alias("b"), "frame", F.col("x").alias("bx"), F.col("y").alias("by"))
-    j = t.filter("obj_id = 1").join(b, "frame")
-    return j.groupBy(F.col("tracklet_id").alias("a"), "b").agg(F.count(F.lit(1)).alias("n"), _r(F.min(F.sqrt((F.col("x") - F.col("bx")) ** 2 + (F.col("y") - F.col("by")) ** 2))).alias("min_dist"))
+    """Least distance of any two tracklets over their common frames, and its first frame (J17); a is the lesser id.
+
+    Pairs that share no frame have no row: ``intervals.path_distances`` gives their 99999 and -1 for pairs that are asked for.
+    """
+    return intervals.path_distances(intervals.tracklet_regions(S.unique_detections(spark, d))).withColumn("min_dist", _r(F.col("min_dist")))
 
 
 @query("SELECT obj_id, CAST(n AS BIGINT) AS support, CAST(row_number() OVER (ORDER BY n DESC, obj_id) - 1 AS INT) AS new_id FROM (SELECT obj_id, count(*) AS n FROM du GROUP BY obj_id)", "du")
