@@ -279,3 +279,19 @@ def test_overlap_queries_hold_all_tracklets(spark):
     assert got == {(a, b): (n, m) for a, b, n, m in con.execute(whole).fetchall()}
     part = con.execute(SQL["common_frame_distance"]).fetchall()  # the SQL's part: the paths of one object
     assert part and all(got[min(a, b), max(a, b)] == (n, m) for a, b, n, m in part)
+
+
+def test_z_cases_need_a_fork(spark, monkeypatch):
+    from trackweave.plans import queries as Q
+
+    # 1 -> 10 <- 2 -> 11: a z; 3 -> 12 <- 4: none, as 4 has one successor; 5 -> 13 <- 6 -> 14, 15: none, as 6 has three
+    edges = [(1, 10), (2, 10), (2, 11), (3, 12), (4, 12), (5, 13), (6, 13), (6, 14), (6, 15)]
+    monkeypatch.setattr(Q, "_edges", lambda spark, d: spark.createDataFrame(edges, "src int, dst int"))
+    assert [tuple(r) for r in Q.QUERIES["z_cases"](spark, "").collect()] == [(1, 10, 1)]
+
+
+def test_nearest_predecessors_equal_sql(spark):
+    from tests.oracle import compare
+    from trackweave.plans.queries import QUERIES, SQL
+
+    assert compare(spark, _duck(), "", QUERIES["nearest_predecessors"], SQL["nearest_predecessors"], "/root/testdata/sf0.001") == ""

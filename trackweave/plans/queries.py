@@ -246,9 +246,10 @@ def confirmed_edges(spark, d):
 
 @query("""SELECT z.src AS a, z.dst AS b, count(*) AS rivals FROM (SELECT src, dst FROM edges QUALIFY count(*) OVER (PARTITION BY src) = 1) z JOIN edges r ON r.dst = z.dst AND r.src <> z.src GROUP BY 1, 2 HAVING count(*) = 1""", "edges")
 def z_cases(spark, d):
-    """A region's only successor has exactly one other predecessor."""
+    """A region's only successor has exactly one other predecessor, and that one two successors."""
     e = _edges(spark, d).withColumns({"o": F.count(F.lit(1)).over(Window.partitionBy("src")), "i": F.count(F.lit(1)).over(Window.partitionBy("dst"))})
-    return e.filter("o = 1 AND i = 2").select(F.col("src").alias("a"), F.col("dst").alias("b"), (F.col("i") - 1).alias("rivals"))
+    e = e.withColumn("other", F.sum("o").over(Window.partitionBy("dst")) - F.col("o"))
+    return e.filter("o = 1 AND i = 2 AND other = 2").select(F.col("src").alias("a"), F.col("dst").alias("b"), (F.col("i") - 1).alias("rivals"))
 
 
 # Intervals
@@ -295,7 +296,7 @@ def active_tracklets(spark, d):
 @query(f"""WITH {_SWEEP}, k AS (SELECT max(active) AS k FROM act) SELECT a.start_frame, a.end_frame, count(*) AS n, min(t.tracklet_id) AS lo, CAST(sum(t.tracklet_id) AS BIGINT) AS total FROM act a JOIN k ON a.active = k.k
 JOIN tr t ON t.start_frame <= a.end_frame AND a.start_frame <= t.end_frame WHERE a.end_frame IS NOT NULL GROUP BY 1, 2""", "tr")
 def complete_sets(spark, d):
-    """Stretches in which the most tracklets are active, with their members."""
+    """Stretches in which the most tracklets are active, with their members."""
     t = intervals.islands(S.unique_detections(spark, d))
     k = intervals.active_counts(t).agg(F.max("active")).first()[0] or 0
     c = intervals.complete_stretches(t, k)
@@ -331,12 +332,26 @@ def identity_sets(spark, d):
 
 @query("SELECT a.tracklet_id, count(b.tracklet_id) AS n_before, min(b.tracklet_id) AS first_before FROM tr a LEFT JOIN tr b ON b.end_frame + 1 = a.start_frame GROUP BY 1", "tr")
 def predecessors(spark, d):
-    """Tracklets that end just before each one starts."""
+    """Tracklets that end just before each one starts."""
     t = intervals.islands(S.unique_detections(spark, d))
     b = t.select(F.col("tracklet_id").alias("b"), (F.col("end_frame") + 1).alias("start_frame"))
     return t.join(b, "start_frame", "left").groupBy("tracklet_id").agg(F.count("b").alias("n_before"), F.min("b").alias("first_before"))
 
 
+@query("""WITH e AS (SELECT t.tracklet_id, t.start_frame, t.end_frame, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM tr t JOIN du a ON a.obj_id = t.obj_id AND a.frame = t.start_frame JOIN du b ON b.obj_id = t.obj_id AND b.frame = t.end_frame)
+SELECT a.tracklet_id, b.tracklet_id AS nearest, round(sqrt((a.x1 - b.x2) ** 2 + (a.y1 - b.y2) ** 2), 4) AS dist FROM e a JOIN e b ON b.end_frame + 1 = a.start_frame QUALIFY row_number() OVER (PARTITION BY a.tracklet_id ORDER BY (a.x1 - b.x2) ** 2 + (a.y1 - b.y2) ** 2, b.tracklet_id) = 1""", "tr")
+def nearest_predecessors(spark, d):
+    """Of the tracklets that end just before each one starts, the one whose end is nearest to its start."""
+    at = F.struct("x", "y")
+    t = intervals.tracklet_regions(S.unique_detections(spark, d)).groupBy("tracklet_id").agg(
+        F.min("frame").alias("start_frame"), F.max("frame").alias("end_frame"), F.min_by(at, "frame").alias("first"), F.max_by(at, "frame").alias("last"),
+    )
+    b = t.select(F.col("tracklet_id").alias("b"), (F.col("end_frame") + 1).alias("start_frame"), "last")
+    sq = (F.col("first.x") - F.col("last.x")) ** 2 + (F.col("first.y") - F.col("last.y")) ** 2
+    near = t.drop("last").join(b, "start_frame").groupBy("tracklet_id").agg(F.min(F.struct(sq.alias("sq"), "b")).alias("m"))
+    return near.select("tracklet_id", F.col("m.b").alias("nearest"), _r(F.sqrt("m.sq")).alias("dist"))
+
+
 @query("SELECT frame, lag(frame) OVER (ORDER BY frame) AS prev_frame, lead(frame) OVER (ORDER BY frame) AS next_frame, n FROM (SELECT frame, count(*) AS n FROM det GROUP BY frame)", "det")
 def frame_index(spark, d):
     """Frames that have data, with their neighbours and sizes."""
@@ -510,7 +525,7 @@ def majority_class(spark, d):
 
 @query("""SELECT * FROM ((SELECT 'longest' AS kind, tracklet_id, n FROM tr ORDER BY n DESC, tracklet_id LIMIT 10) UNION ALL (SELECT 'shortest', tracklet_id, n FROM tr ORDER BY n, tracklet_id LIMIT 10))""", "tr")
 def extreme_tracklets(spark, d):
-    """The ten longest and ten shortest tracklets (K4-K7)."""
+    """The ten longest and ten shortest tracklets (K6)."""
     t = intervals.islands(S.unique_detections(spark, d)).select("tracklet_id", "n")
     top = lambda kind, o: t.orderBy(o, "tracklet_id").limit(10).select(F.lit(kind).alias("kind"), "tracklet_id", "n")
     return top("longest", F.col("n").desc()).union(top("shortest", F.col("n")))
@@ -524,7 +539,7 @@ def background_levels(spark, d):
 
 @query("""SELECT least(9, CAST(floor(x / (SELECT max(x) FROM det) * 10) AS INT)) AS bx, least(9, CAST(floor(y / 100 * 10) AS INT)) AS by, count(*) AS n FROM det GROUP BY 1, 2""", "det")
 def position_histogram(spark, d):
-    """Two-dimensional histogram, last bin closed."""
+    """Two-dimensional histogram, last bin closed."""
     r = S.detections(spark, d)
     top = r.agg(F.max("x").alias("top"))
     b = lambda c: F.least(F.lit(9), F.floor(c * 10).cast("int"))
