@@ -295,3 +295,17 @@ def test_nearest_predecessors_equal_sql(spark):
     from trackweave.plans.queries import QUERIES, SQL
 
     assert compare(spark, _duck(), "", QUERIES["nearest_predecessors"], SQL["nearest_predecessors"], "/root/testdata/sf0.001") == ""
+
+
+@pytest.mark.parametrize("name", ["remapped_ids", "active_tracklets", "frame_index"])
+def test_orders_are_made_in_ranges(spark, name):
+    from tests.oracle import compare
+    from trackweave.plans.queries import QUERIES, SQL
+
+    d, key = "/root/testdata/sf0.001", "spark.sql.adaptive.coalescePartitions.enabled"
+    assert compare(spark, _duck(), name, QUERIES[name], SQL[name], d) == ""
+    spark.conf.set(key, "false")  # else small results are put together
+    try:
+        assert QUERIES[name](spark, d).select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.unset(key)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -86,18 +88,46 @@ def path_distances(rows: DataFrame, pairs: DataFrame | None = None) -> DataFrame
     return pairs.join(got, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("min_dist", F.lit(99999.0)).alias("min_dist"), F.coalesce("min_frame", F.lit(-1)).alias("min_frame"))
 
 
-def active_counts(intervals: DataFrame) -> DataFrame:
+def ordered_parts(df: DataFrame, keys: list[str | Column], written: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows with the number ``part`` of their range of the sort keys; written, so that the ranges stay the same."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(df.repartitionByRange(parts, *keys).withColumn("part", F.spark_partition_id()))
+
+
+def numbered(df: DataFrame, keys: list[str | Column], written: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows with their place ``k`` in the order of the keys, from 0: numbered in ranges that are laid end to end."""
+    rows = ordered_parts(df, keys, written)
+    until = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("size")).select("part", F.coalesce(F.sum("size").over(until), F.lit(0)).alias("offset"))
+    k = F.col("offset") + F.row_number().over(Window.partitionBy("part").orderBy(*keys)) - 1
+    return rows.join(F.broadcast(sizes), "part").withColumn("k", k).drop("part", "offset")
+
+
+def neighbours(df: DataFrame, key: str, written: Callable[[DataFrame], DataFrame], total: str | None = None) -> DataFrame:
+    """Rows with the key's values before and behind, ``prev`` and ``next``; with ``total``, that column's running sum ``running``."""
+    rows = ordered_parts(df, [key], written)
+    w, inner = Window.orderBy("part"), Window.partitionBy("part").orderBy(key)  # the first has one row for each range
+    step = F.col(total) if total else F.lit(0)
+    ends = rows.groupBy("part").agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.sum(step).alias("sum"))
+    before = F.coalesce(F.sum("sum").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = ends.select("part", F.lag("hi").over(w).alias("before"), F.lead("lo").over(w).alias("behind"), before.alias("offset"))
+    rows = rows.join(F.broadcast(ends), "part").withColumns({
+        "prev": F.coalesce(F.lag(key).over(inner), "before"), "next": F.coalesce(F.lead(key).over(inner), "behind"),
+        "running": F.col("offset") + F.sum(step).over(inner.rowsBetween(Window.unboundedPreceding, 0)),
+    })
+    return rows.drop("part", "before", "behind", "offset", *([] if total else ["running"]))
+
+
+def active_counts(intervals: DataFrame, written: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Number of intervals that hold each stretch of frames between events: start, end, ``active``."""
     steps = intervals.selectExpr("start_frame AS frame", "1 AS step").unionByName(intervals.selectExpr("end_frame + 1 AS frame", "-1 AS step"))
-    steps = steps.groupBy("frame").agg(F.sum("step").alias("step"))
-    w = Window.orderBy("frame")  # one row for each frame at which something changes
-    rows = steps.select(F.col("frame").alias("start_frame"), (F.lead("frame").over(w) - 1).alias("end_frame"), F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("active"))
-    return rows.filter("end_frame IS NOT NULL")
+    rows = neighbours(steps.groupBy("frame").agg(F.sum("step").alias("step")), "frame", written, "step")
+    return rows.filter("next IS NOT NULL").select(F.col("frame").alias("start_frame"), (F.col("next") - 1).alias("end_frame"), F.col("running").alias("active"))
 
 
-def complete_stretches(intervals: DataFrame, k: int) -> DataFrame:
+def complete_stretches(intervals: DataFrame, k: int, written: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Stretches of frames in which exactly ``k`` intervals are active, with the sorted ids of their members."""
-    full = active_counts(intervals).filter(F.col("active") == k)
+    full = active_counts(intervals, written).filter(F.col("active") == k)
     hits = overlap_join(full.select("start_frame", "end_frame"), intervals.select("tracklet_id", "start_frame", "end_frame"))
     return hits.groupBy("start_frame", "end_frame").agg(F.array_sort(F.collect_list("tracklet_id2")).alias("members"))
 

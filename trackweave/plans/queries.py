@@ -290,7 +290,7 @@ act AS (SELECT frame AS start_frame, lead(frame) OVER (ORDER BY frame) - 1 AS en
 @query(f"WITH {_SWEEP} SELECT * FROM act WHERE end_frame IS NOT NULL", "tr")
 def active_tracklets(spark, d):
     """Number of tracklets over time by a sweep."""
-    return intervals.active_counts(intervals.islands(S.unique_detections(spark, d)))
+    return intervals.active_counts(intervals.islands(S.unique_detections(spark, d)), _written(spark))
 
 
 @query(f"""WITH {_SWEEP}, k AS (SELECT max(active) AS k FROM act) SELECT a.start_frame, a.end_frame, count(*) AS n, min(t.tracklet_id) AS lo, CAST(sum(t.tracklet_id) AS BIGINT) AS total FROM act a JOIN k ON a.active = k.k
@@ -298,8 +298,8 @@ JOIN tr t ON t.start_frame <= a.end_frame AND a.start_frame <= t.end_frame WHERE
 def complete_sets(spark, d):
     """Stretches in which the most tracklets are active, with their members."""
     t = intervals.islands(S.unique_detections(spark, d))
-    k = intervals.active_counts(t).agg(F.max("active")).first()[0] or 0
-    c = intervals.complete_stretches(t, k)
+    k = intervals.active_counts(t, _written(spark)).agg(F.max("active")).first()[0] or 0
+    c = intervals.complete_stretches(t, k, _written(spark))
     return c.select("start_frame", "end_frame", F.size("members").cast("bigint").alias("n"), F.array_min("members").alias("lo"), F.aggregate("members", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("total"))
 
 
@@ -356,8 +356,7 @@ def nearest_predecessors(spark, d):
 def frame_index(spark, d):
     """Frames that have data, with their neighbours and sizes."""
     f = S.detections(spark, d).groupBy("frame").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy("frame")  # one row for each frame
-    return f.select("frame", F.lag("frame").over(w).alias("prev_frame"), F.lead("frame").over(w).alias("next_frame"), "n")
+    return intervals.neighbours(f, "frame", _written(spark)).select("frame", F.col("prev").alias("prev_frame"), F.col("next").alias("next_frame"), "n")
 
 
 @query("""WITH g AS (SELECT obj_id, tracklet_id, end_frame, lead(start_frame) OVER w AS s2, lead(tracklet_id) OVER w AS t2 FROM tr WINDOW w AS (PARTITION BY obj_id ORDER BY start_frame)),
@@ -513,7 +512,7 @@ def common_frame_distance(spark, d):
 def remapped_ids(spark, d):
     """Identities renumbered by falling support."""
     s = S.unique_detections(spark, d).groupBy("obj_id").agg(F.count(F.lit(1)).alias("support"))
-    return s.withColumn("new_id", F.row_number().over(Window.orderBy(F.col("support").desc(), "obj_id")) - 1)  # one row for each identity
+    return intervals.numbered(s, [F.col("support").desc(), F.col("obj_id")], _written(spark)).select("obj_id", "support", F.col("k").cast("int").alias("new_id"))
 
 
 @query("""SELECT obj_id, label, n FROM (SELECT obj_id, label, count(*) AS n FROM reg GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY obj_id ORDER BY n DESC, label) = 1""", "reg")
