@@ -1,35 +1,46 @@
 """Near-duplicates by bottom-k sketches from one hash function (operator 7).
 
-Documents with the same shingle set are one class. Each class keeps its ``k`` least shingle
-hashes. If two sets have a Jaccard similarity of ``t``, each of the ``k`` least hashes of their
-union lies in both sketches with probability ``t``; ``least_shared`` of them do but for a chance
-below 1e-8 (at k = 32). So, by the prefix principle, two such classes meet in the inverted list of
-one of their rarest values, and common lines don't make long lists. Lists yield pairs in rounds:
-first with one leader of each list, later only between components that are still apart, with
-more leaders, until each list is done. Pairs whose union sketch shares too little are dropped, and
-the full sets decide the rest.
+Documents with the same shingle set are one class. Each class keeps the ``k`` least hashes of its
+set, so a set of at most ``k`` shingles is kept whole. Three steps find all links between classes:
+
+1. Screening. If two sets are alike enough, at least ``least_shared(SCREEN)`` of the ``SCREEN``
+   least hashes are in both. Classes that share fewer with the whole corpus have no partner.
+2. Inverted lists. The remaining classes order their kept values by rarity. Two classes that share
+   at least ``t`` of ``h`` values meet in the first ``h - t + 1`` of them (the prefix principle), so
+   only those make lists, and common passages make none. At the first value that a pair shares, the
+   values behind it must still reach the overlap; that drops nearly all pairs that aren't alike.
+3. Decisions. Small sets are in the sketches and decide at once. For others the union sketch
+   estimates, and the full sets decide.
+
+Lists yield pairs twice: first every member with the list's leader, then, once components are
+known, the members outside of the leader's component with all others. Where sketches aren't whole
+sets, bounds are binomial quantiles with a chance below ``TAIL`` to lose a link.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
+from math import comb
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackweave.llm.components import components
-from trackweave.llm.scratch import stored
+from trackweave.llm.scratch import dropped, stored
 from trackweave.session import reach_workers
 
 SHINGLE, PERCENT = 5, 75
-SKETCH, LEAST_SHARED = 32, 9
-#: Leaders of a list in the second round; as many times more in each later one, until all members are leaders.
-LEADERS = 16
-#: Ids that are broadcast at most to pick texts; beyond, the join shuffles.
+#: Values of a class in its sketch, and of those the least that the screening looks at.
+SKETCH, SCREEN = 256, 32
+TAIL = 5e-9
+#: Ids that are broadcast at most to pick rows; beyond, the join shuffles.
 BROADCAST_IDS = 500_000
+#: Bytes of a text that are hashed at a time.
+CHUNK = 1 << 20
 
 _BASE, _MIX1, _MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 _SPACE = np.zeros(256, bool)
@@ -42,33 +53,44 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int, known: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse (modulo 2**64), at least ``n`` of each."""
-    if len(known[0]) < n:
-        n = 1 << n.bit_length()
-        for i, x in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(n, x, np.uint64)
-            steps[0] = 1
-            known[i] = np.multiply.accumulate(steps)
-    return known[0], known[1]
+@lru_cache(maxsize=4)
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse (modulo 2**64), ``2**bits`` of each."""
+    out = []
+    for x in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(1 << bits, x, np.uint64)
+        steps[0] = 1
+        out.append(np.multiply.accumulate(steps))
+    return out[0], out[1]
 
 
-_KNOWN = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def shingle_hashes(text: str, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles; a text of fewer words has one, without words none."""
-    raw = np.frombuffer(text.encode().lower(), np.uint8)  # bytes.lower() changes A-Z only
-    if not len(raw):
-        return np.empty(0, np.uint64)
+def _word_hashes(raw: np.ndarray) -> np.ndarray:
+    """Hash of each run of bytes that are no white space."""
     inside = np.concatenate(([False], ~_SPACE[raw], [False]))
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edge[::2], edge[1::2]
     if not len(start):
         return np.empty(0, np.uint64)
-    up, down = _powers(len(raw) + 1, _KNOWN)
+    bits = len(raw).bit_length()
+    # texts of a longest word beyond a chunk are rare: their powers aren't remembered
+    up, down = _powers(bits) if bits <= CHUNK.bit_length() else _powers.__wrapped__(bits)
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)])))
-    words = _mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    return _mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+
+
+def shingle_hashes(text: str, size: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's shingles; a text of fewer words has one, without words none."""
+    raw = np.frombuffer(text.encode().lower(), np.uint8)  # bytes.lower() changes A-Z only
+    parts, at = [], 0
+    while at < len(raw):
+        end = at + CHUNK
+        while end < len(raw) and not _SPACE[raw[end]]:  # a chunk ends before white space
+            end += 1
+        parts.append(_word_hashes(raw[at:end]))
+        at = end
+    words = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+    if not len(words):
+        return words
     n = min(size, len(words))
     out = np.zeros(len(words) - n + 1, np.uint64)
     for i in range(n):
@@ -76,40 +98,66 @@ def shingle_hashes(text: str, size: int = SHINGLE) -> np.ndarray:
     return np.unique(out)
 
 
+def least_shared(k: int, likely: float = PERCENT / 100) -> int:
+    """The number of successes of ``k`` draws that is missed with a chance of at most ``TAIL``."""
+    chance, x = 0.0, 0
+    while x < k:
+        chance += comb(k, x) * likely**x * (1 - likely) ** (k - x)
+        if chance > TAIL:
+            break
+        x += 1
+    return x
+
+
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
+def _long_lists(sets: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+    values = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+
+
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time, so that a batch of long texts isn't doubled in memory as Python strings and sets."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def _rows(docs: DataFrame, shingle: int, k: int) -> DataFrame:
-    """Each row's class (a digest of its set), set size and sketch."""
+    """Each row's id, class (a digest of its set), set size and sketch. Ids pass as Arrow values, so null ids change none."""
     kind = docs.schema["id"].dataType.simpleString()
 
-    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sets = [shingle_hashes(t, shingle) for t in b["text"]]
-            yield pd.DataFrame({
-                "id": b["id"], "class": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
-                "n": [len(s) for s in sets], "sketch": [s[:k].view(np.int64) for s in sets],
-            })
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _sliced(batches):
+            classes, sizes, least = [], [], []
+            for t in b.column("text"):
+                s = shingle_hashes(t.as_py(), shingle)
+                classes.append(_digest(s))
+                sizes.append(len(s))
+                least.append(s[:k].copy())
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(classes, pa.binary()), pa.array(sizes, pa.int64()), _long_lists(least)], ["id", "class", "n", "sketch"])
 
-    return docs.mapInPandas(sketch, f"id {kind}, class binary, n bigint, sketch array<bigint>")
+    return docs.mapInArrow(sketch, f"id {kind}, class binary, n bigint, sketch array<bigint>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """Whole shingle sets of the wanted classes (``id``, ``class``): made anew from their texts."""
+    """Whole shingle sets of the wanted classes (``c``, ``id``, ``class``): made anew from their texts."""
 
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sets = [shingle_hashes(t, shingle) for t in b["text"]]
-            yield pd.DataFrame({"class": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], "set": [s.view(np.int64) for s in sets]})
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _sliced(batches, 100):
+            sets = [shingle_hashes(t.as_py(), shingle) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array(list(map(_digest, sets)), pa.binary()), _long_lists(sets)], ["class", "set"])
 
     ids = wanted.select("id").distinct()
     texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
-    return texts.mapInPandas(build, "class binary, set array<bigint>").join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"])
-
-
-def _similar_sizes(x: Column, y: Column) -> Column:
-    return F.least(x, y) * 100 >= F.greatest(x, y) * PERCENT
+    return texts.mapInArrow(build, "class binary, set array<bigint>").join(wanted.select("c", "class"), "class").dropDuplicates(["class"]).select("c", "set")
 
 
 def near_duplicates(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, k: int = SKETCH, least_shared: int = LEAST_SHARED,
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, k: int = SKETCH, screen: int = SCREEN,
 ) -> DataFrame:
     """Group near-duplicates; one row for each input row: the id, ``n_shingles``, ``component_id``, ``kept``.
 
@@ -124,93 +172,118 @@ def near_duplicates(
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = stored(_rows(docs, shingle, k), "sketches")
     named = rows.filter("n > 0 AND id IS NOT NULL")
-    classes = stored(named.groupBy("class").agg(F.min("id").alias("id"), F.min_by(F.struct("n", "sketch"), "id").alias("x")).select("class", "id", "x.n", "x.sketch"), "classes")
-    links = stored(_links(docs, classes, shingle, k, least_shared), "class-links")
-    copies = named.select("class", F.col("id").alias("b")).distinct().join(classes.select("class", F.col("id").alias("a")), "class").select("a", "b")
-    found = components(links.select("a", "b").unionByName(copies))
-    return rows.join(found, rows["id"] == found["node"], "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"),
-        F.coalesce(F.col("id") == F.coalesce("component", "id"), F.lit(True)).alias("kept"),
+    # Exact copies meet in each task before they are shuffled, and only the screened part of a sketch is.
+    first = named.groupBy("class").agg(F.min("id").alias("id"), F.min_by(F.struct("n", F.slice("sketch", 1, screen).alias("least")), "id").alias("x"))
+    classes = stored(first.select(F.monotonically_increasing_id().alias("c"), "class", "id", "x.n", "x.least"), "classes")
+    links = _links(docs, rows, classes, shingle, k, screen)
+    # An id with several texts is one node: it links the classes of all of them.
+    several = named.groupBy("id").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select("id", "lo")
+    numbers = classes.select("class", "c")
+    same = named.select("id", "class").join(several, "id").filter("class <> lo").select("class", "lo").distinct()
+    same = same.join(numbers.select("class", F.col("c").alias("a")), "class").join(numbers.select(F.col("class").alias("lo"), F.col("c").alias("b")), "lo").select("a", "b")
+    found = components(links.unionByName(same))
+    member = classes.join(found, classes["c"] == found["node"], "left").select("class", "id", F.coalesce("component", "c").alias("comp"))
+    least = member.groupBy("comp").agg(F.min("id").alias("component_id"))
+    of_class = member.join(least, "comp").select(F.col("class").alias("__class"), "component_id")
+    out = rows.join(of_class, (rows["class"] == F.col("__class")) & rows["id"].isNotNull() & (rows["n"] > 0), "left")
+    return out.select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"),
+        F.coalesce(F.col("id") == F.coalesce("component_id", "id"), F.lit(True)).alias("kept"),
     )
 
 
-def _prefix_lists(classes: DataFrame, k: int, least_shared: int) -> DataFrame:
-    """Inverted lists of each class's rarest retained values: ``value``, ``class``, ``id``, ``n``."""
-    held = F.size("sketch")
-    # A set of at most 3/4 k shingles meets its partners with whole sets: the overlap is at least 3/4 of it.
-    shared = F.when(F.col("n") * 100 <= k * PERCENT, F.ceil(F.col("n") * PERCENT / 100).cast("int")).otherwise(F.least(F.lit(least_shared), held))
-    values = classes.select("class", "id", "n", (held - shared + 1).alias("prefix"), held.alias("held"), F.explode("sketch").alias("value"))
-    often = classes.select(F.explode("sketch").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    met = values.join(often, "value")
+def _required(n: Column, k: int) -> Column:
+    """The least number of kept values that a class of ``n`` shingles shares with any class that is alike.
+
+    Up to ``k`` shingles the overlap is at least 3/4 of the set; a larger partner has up to n / 3
+    shingles that its own sketch may lack. Beyond, the overlap in the sketches is a random draw.
+    """
+    whole = F.ceil(n * PERCENT / 100)
+    return F.when(n * 100 <= k * PERCENT, whole).when(n <= k, F.least(whole, k - F.floor(n / 3))).otherwise(F.lit(least_shared(k))).cast("int")
+
+
+def _met(values: DataFrame) -> DataFrame:
+    """Values (``value``, ...) that several classes hold, with their number of classes ``df``."""
+    often = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    return values.join(often.hint("shuffle_hash"), "value")
+
+
+def _screened(classes: DataFrame, screen: int) -> DataFrame:
+    """Classes that share as many of their least values with the corpus as a partner asks for."""
+    met = _met(classes.select("c", F.explode("least").alias("value"))).groupBy("c").agg(F.count(F.lit(1)).alias("met"))
+    some = classes.select("c", "class", "id", "n").join(met, "c")
+    return some.filter(F.col("met") >= _required(F.col("n"), screen)).drop("met")
+
+
+def _prefix_lists(sketches: DataFrame, k: int) -> DataFrame:
+    """Inverted lists of each class's rarest kept values: ``value``, ``c``, ``n``, ``left`` (values from it on)."""
+    held = F.least(F.col("n"), F.lit(k))
+    met = _met(sketches.select("c", "n", F.explode("sketch").alias("value")))
+    per = met.groupBy("c", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("v"))
     # Values that no other class holds are the rarest; they take their places in the prefix and make no list.
-    per = met.groupBy("class").agg(F.first("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("held").alias("held"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("v"))
-    first = F.slice("v", F.lit(1), F.greatest(F.lit(0), F.col("prefix") - (F.col("held") - F.size("v"))))
-    return per.select("class", "id", "n", F.explode(first).alias("v")).select("v.value", "class", "id", "n")
+    alone = held - F.size("v")
+    prefix = F.slice("v", F.lit(1), F.greatest(F.lit(0), held - _required(F.col("n"), k) + 1 - alone).cast("int"))
+    return per.select("c", "n", F.posexplode(prefix).alias("at", "v"), alone.alias("alone"), held.alias("held")).select(
+        F.col("v.value").alias("value"), "c", F.col("n").cast("int").alias("n"), (F.col("held") - F.col("alone") - F.col("at")).cast("int").alias("left"),
+    )
 
 
-def _links(docs: DataFrame, classes: DataFrame, shingle: int, k: int, least_shared: int) -> DataFrame:
-    """Links between classes: ``a`` and ``b``, the classes' least ids.
+def _may_reach(k: int) -> Column:
+    """Whether two list entries (n, left) and (n2, left2) can share enough if this is the first value they share.
 
-    Two classes meet in many lists, but make a pair only in the smallest one that they share. Members
-    that lead a list lead their smaller ones too, so no pair waits for a later round because of that;
-    if the smallest list is done by then, the pair was tested there or is in one component.
+    Whole sets: 7 * overlap >= 3 * (n + n2). Otherwise each kept value of the larger set is shared
+    with a chance of at least overlap / larger, and the quantile of that chance is asked for.
     """
-    lists = stored(_prefix_lists(classes, k, least_shared), "lists")
-    tested = links = joined = None
-    part = F.conv(F.substring(F.hex("class"), 1, 8), 16, 10).cast("bigint") / float(1 << 32)  # uniform: the class is a digest
-    sizes = lists.groupBy("value").agg(F.count(F.lit(1)).alias("m"))
-    lists = lists.join(sizes.filter("m > 1"), "value")
-    per = lists.groupBy("class").agg(F.first("id").alias("id"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("m", "value"))).alias("v"))
-    lists = per.select("class", "id", "n", F.col("id").alias("comp"), F.col("v.value").alias("own"), F.explode("v").alias("v")).select("v.value", "v.m", "class", "id", "n", "comp", "own")
+    large, both = F.greatest("n", "n2"), F.col("n") + F.col("n2")
+    steps = 50
+    least = F.array(*[F.lit(least_shared(k, PERCENT / 100 + i * (6 / 7 - PERCENT / 100) / steps)) for i in range(steps + 1)])
+    share = (both * 3 / (large * 7) - PERCENT / 100) / (6 / 7 - PERCENT / 100)
+    drawn = F.element_at(least, F.greatest(F.lit(0), F.least(F.lit(steps), F.floor(share * steps - 1e-6))).cast("int") + 1)
+    reach = F.least("left", "left2")
+    return (F.least("n", "n2") * 100 >= large * PERCENT) & F.when(large <= k, reach * 7 >= both * 3).otherwise(reach >= drawn)
+
+
+def _links(docs: DataFrame, rows: DataFrame, classes: DataFrame, shingle: int, k: int, screen: int) -> DataFrame:
+    """Links between classes: ``a`` and ``b``, their numbers; all that components need."""
+    active = stored(_screened(classes, screen), "active")
+    key = active.select(F.col("class").alias("__class"), F.col("id").alias("__id"), "c")
+    picked = rows.join(F.broadcast(key) if key.count() <= BROADCAST_IDS else key, (rows["class"] == F.col("__class")) & (rows["id"] == F.col("__id")))
+    sketches = stored(picked.select("c", "class", "id", "n", "sketch").dropDuplicates(["c"]), "active-sketches")
+    lists = _prefix_lists(sketches, k)
     lists = stored(lists, "lists")
-    leaders = 1
-    while True:
-        if leaders == 1:
-            heads = lists.groupBy("value").agg(F.min(F.struct("class", "id", "n", "comp", "own")).alias("h")).select("value", "h.*")
-        else:
-            heads = lists.filter(part * F.col("m") < leaders)
-        heads = heads.select("value", F.col("class").alias("c2"), F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("own").alias("own2"))
-        apart = (F.col("comp") != F.col("comp2")) & (F.col("class") != F.col("c2")) & _similar_sizes(F.col("n"), F.col("n2"))
-        if leaders > 1:  # a list's one leader may lead none of its members' smaller lists
-            apart &= F.element_at(F.array_intersect("own", "own2"), 1) == F.col("value")
-        pairs = lists.join(heads, "value").filter(apart)
-        low = F.col("class") < F.col("c2")
-        pairs = pairs.select(
-            F.when(low, F.col("class")).otherwise(F.col("c2")).alias("c1"), F.when(low, F.col("id")).otherwise(F.col("id2")).alias("a"),
-            F.when(low, F.col("c2")).otherwise(F.col("class")).alias("c2"), F.when(low, F.col("id2")).otherwise(F.col("id")).alias("b"),
-        ).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["c1", "c2"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        if pairs.limit(1).count():
-            new = stored(_confirmed(docs, classes, pairs, shingle, k, least_shared), "confirmed")
-            links = new if links is None else links.unionByName(new)
-            tested = pairs.select("c1", "c2") if tested is None else tested.unionByName(pairs.select("c1", "c2"))
-            # Whole components, so that a large group of near copies makes pairs only where it may still be apart.
-            joined = components(new if joined is None else new.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-            lists = lists.drop("comp").join(joined, lists["id"] == joined["node"], "left").withColumn("comp", F.coalesce("component", "id")).drop("node", "component")
-        # Lists whose members are all leaders by now, or all in one component, are done.
-        unlike = lists.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("value")
-        lists = stored(lists.filter(F.col("m") > leaders).join(unlike, "value", "left_semi"), "lists")
-        if not lists.limit(1).count():
-            break
-        leaders *= LEADERS
-    return links if links is not None else classes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-
-
-def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int, k: int, least_shared: int) -> DataFrame:
-    """Pairs that pass the union sketch and whose full sets are similar enough."""
-    sketch = lambda c: classes.select(F.col("class").alias(f"c{c}"), F.col("sketch").alias(f"s{c}"), F.col("n").alias(f"n{c}"))
-    near = pairs.join(sketch(1), "c1").join(sketch(2), "c2")
+    heads = lists.groupBy("value").agg(F.min(F.struct("c", "n", "left")).alias("h"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("value", "h.*")
+    heads = stored(heads.select("value", F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("left").alias("left2")), "heads")
+    ordered = [F.least("c", "c2").alias("a"), F.greatest("c", "c2").alias("b")]
+    near = lambda pairs, name: stored(pairs.select(*ordered).distinct(), name)
+    tested = near(lists.join(heads, "value").filter((F.col("c") != F.col("c2")) & _may_reach(k)), "leader-pairs")
+    links = stored(_confirmed(docs, sketches, tested, shingle, k), "leader-links")
+    joined = stored(components(links), "leader-components")
+    # Members of one component need no more pairs; of two members, one at least isn't in the leader's component.
+    named = lists.join(joined.select(F.col("node").alias("c"), "component"), "c", "left").withColumn("comp", F.coalesce("component", "c")).drop("component")
+    lead = heads.select("value", F.col("c2").alias("c")).join(joined.select(F.col("node").alias("c"), "component"), "c", "left").select("value", F.coalesce("component", "c").alias("lead"))
+    named = stored(named.join(lead, "value"), "component-lists")
+    outside = named.filter("comp <> lead").select("value", F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("left").alias("left2"), F.col("comp").alias("comp2"))
+    apart = named.join(outside, "value").filter((F.col("comp") != F.col("comp2")) & _may_reach(k))
+    rest = near(apart, "apart-pairs").join(tested, ["a", "b"], "left_anti")
+    more = stored(_confirmed(docs, sketches, stored(rest, "rest-pairs"), shingle, k), "apart-links")
+    dropped(active, sketches, lists, heads, joined, named)
+    return links.unionByName(more)
+
+
+def _confirmed(docs: DataFrame, sketches: DataFrame, pairs: DataFrame, shingle: int, k: int) -> DataFrame:
+    """Pairs whose sets are similar enough: by whole sketches, or by the union sketch and then the full sets."""
+    side = lambda x, i: sketches.select(F.col("c").alias(x), F.col("sketch").alias(f"s{i}"), F.col("n").alias(f"n{i}"))
+    near = pairs.join(side("a", 1), "a").join(side("b", 2), "b")
+    enough = lambda both: both * 100 >= (F.col("n1") + F.col("n2") - both) * PERCENT
     # Sketches are in unsigned order; flipping the sign bit gives the same order to signed numbers.
     flip = lambda s: F.transform(s, lambda x: x.bitwiseXOR(F.lit(-(1 << 63))))
     union = F.slice(F.array_sort(F.array_union(flip("s1"), flip("s2"))), 1, k)
     common = F.size(F.array_intersect(union, flip(F.array_intersect("s1", "s2"))))
-    small = F.greatest("n1", "n2") <= k  # then the sketches are the sets, and their overlap is exact
-    enough = F.when(small, F.size(F.array_intersect("s1", "s2")) * 100 >= PERCENT * F.size(F.array_union("s1", "s2"))).otherwise(common >= least_shared)
-    near = stored(near.filter(enough).select("c1", "a", "n1", "c2", "b", "n2"), "near")
-    wanted = near.select(F.col("c1").alias("class"), F.col("a").alias("id")).unionByName(near.select(F.col("c2").alias("class"), F.col("b").alias("id"))).distinct()
+    small = F.greatest("n1", "n2") <= k
+    near = stored(near.filter(F.when(small, enough(F.size(F.array_intersect("s1", "s2")))).otherwise(common >= least_shared(k))).select("a", "b", "n1", "n2"), "near")
+    large = near.filter(~small)
+    wanted = large.select(F.col("a").alias("c")).unionByName(large.select(F.col("b").alias("c"))).distinct().join(sketches.select("c", "class", "id"), "c")
     sets = stored(_sets(docs, wanted, shingle), "sets")
-    full = near.join(sets.select(F.col("class").alias("c1"), F.col("set").alias("x")), "c1").join(sets.select(F.col("class").alias("c2"), F.col("set").alias("y")), "c2")
-    both = F.size(F.array_intersect("x", "y"))
-    return full.filter(both * 100 >= (F.col("n1") + F.col("n2") - both) * PERCENT).select("a", "b")
+    full = large.join(sets.select(F.col("c").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("c").alias("b"), F.col("set").alias("y")), "b")
+    full = full.filter(enough(F.size(F.array_intersect("x", "y"))))
+    return near.filter(small).select("a", "b").unionByName(full.select("a", "b"))
