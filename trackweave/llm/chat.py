@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,14 +43,18 @@ def unescaped(text: str) -> str:
     return _MAYBE.sub(lambda m: m[0][0] + m[0][2:] if m[0][1] == "\\" else m[0], text)
 
 
+def _turn(m: re.Match) -> tuple[str, str]:
+    """Role and text of a matched turn."""
+    return unescaped(m["name"]) if m.lastgroup == "other" else m.lastgroup, unescaped(m[m.lastgroup])
+
+
 def parse(text: str) -> list[tuple[str, str, int, int]]:
     """Role, text, and the raw text's start and end of each turn of a formatted conversation."""
     out, at = [], 0
     while at < len(text):
         if not (m := _TURN.match(text, at)):
             raise ParseError(f"no turn at {at}")
-        kind = m.lastgroup
-        out.append((unescaped(m["name"]) if kind == "other" else kind, unescaped(m[kind]), *m.span(kind)))
+        out.append((*_turn(m), *m.span(m.lastgroup)))
         at = m.end()
     return out
 
@@ -84,22 +89,29 @@ def formatted_turns(conversations: DataFrame) -> DataFrame:
 
 
 class _Reader:
-    """Reads a conversation's segments as they come; keeps digests, never the text."""
+    """Reads a conversation's text as it comes, whatever the pieces; keeps digests and the turn that isn't closed yet."""
 
     def __init__(self, key):
-        self.key, self.n, self.chars, self.loss_chars = key, 0, 0, 0
+        self.key, self.n, self.chars, self.loss_chars, self.pending = key, 0, 0, 0, ""
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
 
-    def feed(self, segment: str) -> None:
-        self.chars += len(segment)
-        for role, text, _, _ in parse(segment):
+    def feed(self, text: str) -> None:
+        self.chars += len(text)
+        self.pending += text
+        at = 0
+        while m := _TURN.match(self.pending, at):
+            at = m.end()
+            role, said = _turn(m)
             self.n += 1
-            self.turns.update(f"{role}\n{text}\n".encode())
+            self.turns.update(f"{role}\n{said}\n".encode())
             if role == LOSS_ROLE:
-                self.loss_chars += len(text)
-                self.loss.update(text.encode())
+                self.loss_chars += len(said)
+                self.loss.update(said.encode())
+        self.pending = self.pending[at:]
 
     def row(self) -> tuple:
+        if self.pending:
+            raise ParseError("the last turn isn't closed")
         return self.key, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
 
 
@@ -113,19 +125,22 @@ def read_back(segments: DataFrame) -> DataFrame:
     kind = segments.schema["conv_id"].dataType.simpleString()
     schema = f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader, names = None, [c.split()[0] for c in schema.split(", ")]
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, names, ids = None, [c.split()[0] for c in schema.split(", ")], None
+        counts = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        packed = lambda done: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), [ids, *counts], strict=True)], names)
         for b in batches:
-            done = []
-            for key, segment in zip(b["conv_id"].astype(object).where(b["conv_id"].notna(), None), b["segment"], strict=True):
+            ids, done = b.schema.field("conv_id").type, []
+            for key, segment in zip(b.column("conv_id"), b.column("segment"), strict=True):
+                key = key.as_py()  # exact, also where other ids are null
                 if reader is None or key != reader.key:
                     if reader is not None:
                         done.append(reader.row())
                     reader = _Reader(key)
-                reader.feed(segment)
+                reader.feed(segment.as_py())
             if done:
-                yield pd.DataFrame(done, columns=names)
+                yield packed(done)
         if reader is not None:
-            yield pd.DataFrame([reader.row()], columns=names)
+            yield packed([reader.row()])
 
-    return segments.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "segment").mapInPandas(read, schema)
+    return segments.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "segment").mapInArrow(read, schema)

@@ -12,8 +12,8 @@ set, so a set of at most ``k`` shingles is kept whole. Three steps find all link
 3. Decisions. Small sets are in the sketches and decide at once. For others the union sketch
    estimates, and the full sets decide.
 
-Lists yield pairs twice: first every member with the list's leader, then, once components are
-known, the members outside of the leader's component with all others. Where sketches aren't whole
+Lists yield pairs in rounds: first every member with the list's leader, then, once components are
+known, the members outside of the list's main component with all others. Where sketches aren't whole
 sets, bounds are binomial quantiles with a chance below ``TAIL`` to lose a link.
 """
 
@@ -37,6 +37,8 @@ SHINGLE, PERCENT = 5, 75
 #: Values of a class in its sketch, and of those the least that the screening looks at.
 SKETCH, SCREEN = 256, 32
 TAIL = 5e-9
+#: Rounds of leaders at most before all remaining pairs are looked at, and the latter at once if they are so many times the lists' rows.
+LEADER_ROUNDS, FEW_PAIRS = 3, 4
 #: Ids that are broadcast at most to pick rows; beyond, the join shuffles.
 BROADCAST_IDS = 500_000
 #: Bytes of a text that are hashed at a time.
@@ -249,25 +251,48 @@ def _links(docs: DataFrame, rows: DataFrame, classes: DataFrame, shingle: int, k
     key = active.select(F.col("class").alias("__class"), F.col("id").alias("__id"), "c")
     picked = rows.join(F.broadcast(key) if key.count() <= BROADCAST_IDS else key, (rows["class"] == F.col("__class")) & (rows["id"] == F.col("__id")))
     sketches = stored(picked.select("c", "class", "id", "n", "sketch").dropDuplicates(["c"]), "active-sketches")
-    lists = _prefix_lists(sketches, k)
-    lists = stored(lists, "lists")
-    heads = lists.groupBy("value").agg(F.min(F.struct("c", "n", "left")).alias("h"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("value", "h.*")
-    heads = stored(heads.select("value", F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("left").alias("left2")), "heads")
-    ordered = [F.least("c", "c2").alias("a"), F.greatest("c", "c2").alias("b")]
-    near = lambda pairs, name: stored(pairs.select(*ordered).distinct(), name)
-    tested = near(lists.join(heads, "value").filter((F.col("c") != F.col("c2")) & _may_reach(k)), "leader-pairs")
-    links = stored(_confirmed(docs, sketches, tested, shingle, k), "leader-links")
-    joined = stored(components(links), "leader-components")
-    # Members of one component need no more pairs; of two members, one at least isn't in the leader's component.
-    named = lists.join(joined.select(F.col("node").alias("c"), "component"), "c", "left").withColumn("comp", F.coalesce("component", "c")).drop("component")
-    lead = heads.select("value", F.col("c2").alias("c")).join(joined.select(F.col("node").alias("c"), "component"), "c", "left").select("value", F.coalesce("component", "c").alias("lead"))
-    named = stored(named.join(lead, "value"), "component-lists")
-    outside = named.filter("comp <> lead").select("value", F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("left").alias("left2"), F.col("comp").alias("comp2"))
-    apart = named.join(outside, "value").filter((F.col("comp") != F.col("comp2")) & _may_reach(k))
-    rest = near(apart, "apart-pairs").join(tested, ["a", "b"], "left_anti")
-    more = stored(_confirmed(docs, sketches, stored(rest, "rest-pairs"), shingle, k), "apart-links")
-    dropped(active, sketches, lists, heads, joined, named)
-    return links.unionByName(more)
+    lists = stored(_prefix_lists(sketches, k), "lists")
+    size, hub = lists.count(), F.min(F.struct(F.least("n", F.lit(k)) - F.col("left"), "c", "n", "left"))
+    links, tested, inside, idle = None, [], None, False
+    for turn in range(LEADER_ROUNDS + 1):
+        if turn == 0:
+            these, last = lists.withColumn("comp", F.col("c")), False
+        else:
+            these, work = _apart(lists, components(links))
+            these = stored(these, "lists-apart")
+            last = turn == LEADER_ROUNDS or idle or work.first()[0] <= FEW_PAIRS * size
+        outside = these if turn == 0 else these.filter("comp <> main")
+        if not last:
+            # The member with the fewest values of its own comes first: what others were copied from, if it is there.
+            lead = outside.groupBy("value").agg(hub.alias("h"), F.min_by("comp", F.struct(F.least("n", F.lit(k)) - F.col("left"), "c", "n", "left")).alias("comp"))
+            outside = lead.select("value", "h.c", "h.n", "h.left", "comp")
+        others = outside.select("value", F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("left").alias("left2"), F.col("comp").alias("comp2"))
+        pairs = these.join(others, "value").filter((F.col("comp") != F.col("comp2")) & _may_reach(k))
+        pairs = pairs.select(F.least("c", "c2").alias("a"), F.greatest("c", "c2").alias("b")).distinct()
+        for old in tested:
+            pairs = pairs.join(old, ["a", "b"], "left_anti")
+        tested.append(stored(pairs, "pairs"))
+        new = stored(_confirmed(docs, sketches, tested[-1], shingle, k), "pair-links")
+        links, idle = new if links is None else links.unionByName(new), not new.limit(1).count()
+        if inside is not None:
+            dropped(inside)
+        inside = these if turn else None
+        if last:
+            break
+    dropped(active, sketches, lists, *tested, *([inside] if inside is not None else []))
+    return links
+
+
+def _apart(lists: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lists with members of several components: each with its component and the list's main one; and the pairs left to look at.
+
+    Members of one component need no pair, and of two members of different ones at least one is outside of the main.
+    """
+    named = lists.join(found.select(F.col("node").alias("c"), "component"), "c", "left").withColumn("comp", F.coalesce("component", "c")).drop("component")
+    parts = named.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("m"))
+    several = parts.groupBy("value").agg(F.sum("m").alias("m"), F.max(F.struct("m", "comp")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    several = stored(several.select("value", "m", F.col("main.comp").alias("main"), F.col("main.m").alias("most")), "lists-parts")
+    return named.join(several.select("value", "main"), "value"), several.agg(F.coalesce(F.sum(F.col("m") * (F.col("m") - F.col("most"))), F.lit(0)))
 
 
 def _confirmed(docs: DataFrame, sketches: DataFrame, pairs: DataFrame, shingle: int, k: int) -> DataFrame:

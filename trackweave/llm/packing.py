@@ -6,7 +6,8 @@ import zlib
 from collections.abc import Iterator
 from struct import pack as to_bytes
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ WINDOW = 4096
 END_ID = 2
 #: Pieces of a bucket on average. A bucket is packed by one task, and buckets are all packed alike.
 BUCKET_PIECES = 2048
+#: Documents of which a task holds the ids at a time.
+BATCH_ROWS = 500
 
 
 class BestFit:
@@ -69,19 +72,24 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str, text_
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, n bigint" + ", ids binary" * keep_ids
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = 0
-        for b in batches:
-            out = []
-            for key, text in zip(b["id"], b["text"], strict=True):
-                ids = token_memo.dropped_space_ids(tokenizer_path, text) + to_bytes("<I", end_id)
-                for at in range(0, len(ids), 4 * window):
-                    piece = ids[at : at + 4 * window]
-                    out.append((key, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, n, piece)[: 6 + keep_ids])
-                    n += 1
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")]).astype({"id": b["id"].dtype} if b["id"].notna().all() else {"id": object})
-
-    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(cut, schema)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, names = 0, [c.split()[0] for c in schema.split(", ")]
+        for whole in batches:
+            for first in range(0, whole.num_rows, BATCH_ROWS):
+                b, out, at_row = whole.slice(first, BATCH_ROWS), [], []
+                for row, text in enumerate(b.column("text")):
+                    ids = token_memo.dropped_space_ids(tokenizer_path, text.as_py()) + to_bytes("<I", end_id)
+                    for at in range(0, len(ids), 4 * window):
+                        piece = ids[at : at + 4 * window]
+                        out.append((at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, n, piece))
+                        at_row.append(row)
+                        n += 1
+                columns = [pa.array(c, pa.int64()) for c in list(zip(*out, strict=True))[:5]]
+                binary = [pa.array([x[5] for x in out], pa.binary())] if keep_ids else []
+                # ids pass as Arrow values: a null id among them changes no other
+                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at_row, pa.int64())), *columns, *binary], names)
+
+    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(cut, schema)
 
 
 def pack(
@@ -106,14 +114,14 @@ def pack(
     pieces = stored(tokenized_pieces(docs, tokenizer_path, id_col=id_col, text_col=text_col, window=window, end_id=end_id, keep_ids=keep_ids), "pieces")
     buckets = max(1, round(pieces.count() / bucket_pieces))
 
-    def fill(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values(["length", "id", "start", "ids_crc32", "n"], ascending=[False, True, True, True, True], kind="stable", ignore_index=True)
-        fit = BestFit(window)
-        placed = [fit.put(n) for n in b["length"].tolist()]
-        b["sequence_id"] = [(bucket << 24) + w for bucket, (w, _) in zip(b["bucket"].tolist(), placed, strict=True)]
-        b["offset"] = [o for _, o in placed]
-        return b.drop(columns=["bucket", "n"])
+    def fill(b: pa.Table) -> pa.Table:
+        order = [("length", "descending"), *((c, "ascending") for c in ("id", "start", "ids_crc32", "n"))]
+        b = b.take(pc.sort_indices(b, sort_keys=order))
+        fit, bucket = BestFit(window), b.column("bucket")[0].as_py()
+        placed = [fit.put(n) for n in b.column("length").to_pylist()]
+        b = b.append_column("sequence_id", pa.array([(bucket << 24) + w for w, _ in placed], pa.int64()))
+        return b.append_column("offset", pa.array([o for _, o in placed], pa.int64())).drop_columns(["bucket", "n"])
 
     schema = f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids binary" * keep_ids + ", sequence_id bigint, offset bigint"
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("id", "start", "ids_crc32", "n"), F.lit(buckets)).cast("bigint"))
-    return dealt.groupBy("bucket").applyInPandas(fill, schema).withColumnRenamed("id", id_col)
+    return dealt.groupBy("bucket").applyInArrow(fill, schema).withColumnRenamed("id", id_col)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from array import array
 from functools import lru_cache
 from pathlib import Path
@@ -44,6 +45,11 @@ def version(path: str) -> str:
     return hashlib.sha256(Path(path).read_bytes() + tokenizers.__version__.encode()).hexdigest()
 
 
+def _stays_letters(head: str) -> bool:
+    """Letters that lower-casing and composing leave letters: some, like U+0130, decompose into a letter and a mark."""
+    return head.isalpha() and (max(head) < "\u0100" or unicodedata.normalize("NFC", head.lower()).isalpha())
+
+
 class _Memo(dict):
     """From a piece to its value; a miss asks the library.
 
@@ -65,7 +71,7 @@ class _Memo(dict):
             if piece.isalpha() and max(piece) < "\u0100":
                 word = piece.lower() if self.folds else piece
                 got = self.value([t.id for t in self.model(self.letter + word.encode().decode("latin-1").translate(BYTES))])
-            elif head != piece and head.isalpha():
+            elif head != piece and _stays_letters(head):
                 got = self[head] + _memo(self.path, "", self.value, self.folds)[piece[len(head) :]]
             else:
                 got = self.value(self.encode(self.before + piece, add_special_tokens=False).ids)
