@@ -1,11 +1,11 @@
 """Near-duplicates by bottom-k sketches from one hash function (operator 7).
 
-Documents with the same shingle set are one class. Each class keeps the ``k`` least hashes of its
-set, so a set of at most ``k`` shingles is kept whole. Three steps find all links between classes:
+Documents with the same shingle set are one class. Three steps find all links between classes:
 
-1. Screening. If two sets are alike enough, at least ``least_shared(SCREEN)`` of the ``SCREEN``
+1. Screening. If two sets are alike enough, at least ``least_shared(SCREEN)`` of their ``SCREEN``
    least hashes are in both. Classes that share fewer with the whole corpus have no partner.
-2. Inverted lists. The remaining classes order their kept values by rarity. Two classes that share
+2. Inverted lists. The remaining classes keep their ``k`` least hashes, so a set of at most ``k``
+   shingles is kept whole, and order them by rarity. Two classes that share
    at least ``t`` of ``h`` values meet in the first ``h - t + 1`` of them (the prefix principle), so
    only those make lists, and common passages make none. At the first value that a pair shares, the
    values behind it must still reach the overlap; that drops nearly all pairs that aren't alike.
@@ -34,8 +34,8 @@ from trackweave.llm.scratch import dropped, stored
 from trackweave.session import reach_workers
 
 SHINGLE, PERCENT = 5, 75
-#: Values of a class in its sketch, and of those the least that the screening looks at.
-SKETCH, SCREEN = 256, 32
+#: Values of a class that passes the screening, and those that the screening looks at.
+SKETCH, SCREEN = 512, 32
 TAIL = 5e-9
 #: Rounds of leaders at most before all remaining pairs are looked at, and the latter at once if they are so many times the lists' rows.
 LEADER_ROUNDS, FEW_PAIRS = 3, 4
@@ -145,17 +145,19 @@ def _rows(docs: DataFrame, shingle: int, k: int) -> DataFrame:
     return docs.mapInArrow(sketch, f"id {kind}, class binary, n bigint, sketch array<bigint>")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """Whole shingle sets of the wanted classes (``c``, ``id``, ``class``): made anew from their texts."""
+def _sets(docs: DataFrame, wanted: DataFrame, shingle: int, k: int | None = None) -> DataFrame:
+    """Shingle sets (``c``, ``set``) of the wanted classes (``c``, ``id``, ``class``), or their ``k`` least values: made anew from their texts."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _sliced(batches, 100):
             sets = [shingle_hashes(t.as_py(), shingle) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array(list(map(_digest, sets)), pa.binary()), _long_lists(sets)], ["class", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(map(_digest, sets)), pa.binary()), _long_lists([s[:k] for s in sets])], ["class", "set"])
 
-    ids = wanted.select("id").distinct()
-    texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
-    return texts.mapInArrow(build, "class binary, set array<bigint>").join(wanted.select("c", "class"), "class").dropDuplicates(["class"]).select("c", "set")
+    ids, numbers = wanted.select("id").distinct(), wanted.select("c", "class")
+    if ids.count() <= BROADCAST_IDS:
+        ids, numbers = F.broadcast(ids), F.broadcast(numbers)
+    texts = docs.join(ids, "id", "left_semi")
+    return texts.mapInArrow(build, "class binary, set array<bigint>").join(numbers, "class").dropDuplicates(["c"]).select("c", "set")
 
 
 def near_duplicates(
@@ -172,12 +174,12 @@ def near_duplicates(
     """
     reach_workers(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = stored(_rows(docs, shingle, k), "sketches")
+    rows = stored(_rows(docs, shingle, screen), "sketches")
     named = rows.filter("n > 0 AND id IS NOT NULL")
-    # Exact copies meet in each task before they are shuffled, and only the screened part of a sketch is.
-    first = named.groupBy("class").agg(F.min("id").alias("id"), F.min_by(F.struct("n", F.slice("sketch", 1, screen).alias("least")), "id").alias("x"))
+    # Exact copies meet in each task before they are shuffled.
+    first = named.groupBy("class").agg(F.min("id").alias("id"), F.min_by(F.struct("n", F.col("sketch").alias("least")), "id").alias("x"))
     classes = stored(first.select(F.monotonically_increasing_id().alias("c"), "class", "id", "x.n", "x.least"), "classes")
-    links = _links(docs, rows, classes, shingle, k, screen)
+    links = _links(docs, classes, shingle, k, screen)
     # An id with several texts is one node: it links the classes of all of them.
     several = named.groupBy("id").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select("id", "lo")
     numbers = classes.select("class", "c")
@@ -218,7 +220,7 @@ def _screened(classes: DataFrame, screen: int) -> DataFrame:
 
 
 def _prefix_lists(sketches: DataFrame, k: int) -> DataFrame:
-    """Inverted lists of each class's rarest kept values: ``value``, ``c``, ``n``, ``left`` (values from it on)."""
+    """Inverted lists of each class's rarest kept values: ``value``, ``df``, ``c``, ``n``, ``left`` (values from it on)."""
     held = F.least(F.col("n"), F.lit(k))
     met = _met(sketches.select("c", "n", F.explode("sketch").alias("value")))
     per = met.groupBy("c", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("v"))
@@ -226,10 +228,18 @@ def _prefix_lists(sketches: DataFrame, k: int) -> DataFrame:
     alone = held - F.size("v")
     prefix = F.slice("v", F.lit(1), F.greatest(F.lit(0), held - _required(F.col("n"), k) + 1 - alone).cast("int"))
     return per.select("c", "n", F.posexplode(prefix).alias("at", "v"), alone.alias("alone"), held.alias("held")).select(
-        F.col("v.value").alias("value"), "c", F.col("n").cast("int").alias("n"), (F.col("held") - F.col("alone") - F.col("at")).cast("int").alias("left"),
+        "v.value", "v.df", "c", F.col("n").cast("int").alias("n"), (F.col("held") - F.col("alone") - F.col("at")).cast("int").alias("left"),
     )
 
 
+def _distinct_lists(lists: DataFrame) -> DataFrame:
+    """Of lists with the same members the first in the order of values: it is where each pair of them meets first."""
+    members = [F.bit_xor(F.xxhash64("c", F.lit(seed))).alias(f"s{seed}") for seed in (1, 2)]
+    each = lists.groupBy("value").agg(F.min("df").alias("df"), F.count(F.lit(1)).alias("m"), *members).filter("m > 1")
+    kept = each.groupBy("m", "s1", "s2").agg(F.min(F.struct("df", "value")).alias("v")).select("v.value")
+    return lists.join(kept, "value", "left_semi").drop("df")
+
+
 def _may_reach(k: int) -> Column:
     """Whether two list entries (n, left) and (n2, left2) can share enough if this is the first value they share.
 
@@ -245,13 +255,12 @@ def _may_reach(k: int) -> Column:
     return (F.least("n", "n2") * 100 >= large * PERCENT) & F.when(large <= k, reach * 7 >= both * 3).otherwise(reach >= drawn)
 
 
-def _links(docs: DataFrame, rows: DataFrame, classes: DataFrame, shingle: int, k: int, screen: int) -> DataFrame:
+def _links(docs: DataFrame, classes: DataFrame, shingle: int, k: int, screen: int) -> DataFrame:
     """Links between classes: ``a`` and ``b``, their numbers; all that components need."""
     active = stored(_screened(classes, screen), "active")
-    key = active.select(F.col("class").alias("__class"), F.col("id").alias("__id"), "c")
-    picked = rows.join(F.broadcast(key) if key.count() <= BROADCAST_IDS else key, (rows["class"] == F.col("__class")) & (rows["id"] == F.col("__id")))
-    sketches = stored(picked.select("c", "class", "id", "n", "sketch").dropDuplicates(["c"]), "active-sketches")
-    lists = stored(_prefix_lists(sketches, k), "lists")
+    kept = _sets(docs, active, shingle, k).withColumnRenamed("set", "sketch")
+    sketches = stored(kept.join(active, "c").select("c", "class", "id", "n", "sketch"), "active-sketches")
+    lists = stored(_distinct_lists(stored(_prefix_lists(sketches, k), "all-lists")), "lists")
     size, hub = lists.count(), F.min(F.struct(F.least("n", F.lit(k)) - F.col("left"), "c", "n", "left"))
     links, tested, inside, idle = None, [], None, False
     for turn in range(LEADER_ROUNDS + 1):
