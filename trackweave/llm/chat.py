@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackweave.llm.scratch import lean
 from trackweave.session import reach_workers
 
 #: What opens and closes a turn of each role; any other role's name stands in its opening.
@@ -143,4 +144,4 @@ def read_back(segments: DataFrame) -> DataFrame:
         if reader is not None:
             yield packed([reader.row()])
 
-    return segments.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "segment").mapInArrow(read, schema)
+    return segments.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "segment").mapInArrow(lean(read), schema)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trackweave.llm.scratch import lean
 from trackweave.session import reach_workers
 
 #: Bytes of a window: the states start anew in each. A text's windows cover all of it.
@@ -21,6 +22,8 @@ SAMPLE_TEXTS, SAMPLE_CHARS = 400, 512
 STEPS, BATCH, RATE, SEED = 500, 256, 0.02, 7
 #: Windows that a task runs at a time.
 BLOCK = 2048
+#: Texts whose bytes are held as windows at a time.
+TEXTS = 500
 UNKNOWN = "und"
 
 
@@ -199,16 +202,19 @@ def predict(docs: DataFrame, net: Network | None, *, id_col: str = "doc_id", tex
     reach_workers(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
 
-    @F.pandas_udf("lang string, score double")
-    def guess(texts: pd.Series) -> pd.DataFrame:
+    def label(texts: pd.Series) -> pd.DataFrame:
         out = pd.DataFrame({"lang": [UNKNOWN] * len(texts), "score": np.zeros(len(texts))})
         some = np.flatnonzero(texts.notna().to_numpy())
         if net and len(some):
-            p = pooled(net, [texts.iloc[i].encode() for i in some])
+            p = np.concatenate([pooled(net, [texts.iloc[i].encode() for i in some[at : at + TEXTS]]) for at in range(0, len(some), TEXTS)])
             out.loc[some, "lang"] = [net.langs[i] for i in p.argmax(axis=1)]
             out.loc[some, "score"] = np.minimum(1.0, p.max(axis=1))
         return out
 
+    @F.pandas_udf("lang string, score double")
+    def guess(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from lean(lambda xs: map(label, xs))(batches)
+
     letter = has_letter(F.col(text_col))
     got = docs.withColumn("__guess", guess(F.when(letter, F.col(text_col))))
     return got.withColumns({"lang_pred": F.col("__guess.lang"), "score": F.col("__guess.score")}).drop("__guess")

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackweave.llm.components import components
-from trackweave.llm.scratch import dropped, stored
+from trackweave.llm.scratch import dropped, lean, stored
 from trackweave.session import reach_workers
 
 SHINGLE, PERCENT = 5, 75
@@ -142,7 +142,7 @@ def _rows(docs: DataFrame, shingle: int, k: int) -> DataFrame:
                 least.append(s[:k].copy())
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(classes, pa.binary()), pa.array(sizes, pa.int64()), _long_lists(least)], ["id", "class", "n", "sketch"])
 
-    return docs.mapInArrow(sketch, f"id {kind}, class binary, n bigint, sketch array<bigint>")
+    return docs.mapInArrow(lean(sketch), f"id {kind}, class binary, n bigint, sketch array<bigint>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, shingle: int, k: int | None = None) -> DataFrame:
@@ -157,7 +157,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int, k: int | None = None
     if ids.count() <= BROADCAST_IDS:
         ids, numbers = F.broadcast(ids), F.broadcast(numbers)
     texts = docs.join(ids, "id", "left_semi")
-    return texts.mapInArrow(build, "class binary, set array<bigint>").join(numbers, "class").dropDuplicates(["c"]).select("c", "set")
+    return texts.mapInArrow(lean(build), "class binary, set array<bigint>").join(numbers, "class").dropDuplicates(["c"]).select("c", "set")
 
 
 def near_duplicates(

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackweave.llm import token_memo
-from trackweave.llm.scratch import stored
+from trackweave.llm.scratch import lean, stored
 from trackweave.session import reach_workers
 
 WINDOW = 4096
@@ -89,7 +89,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str, text_
                 # ids pass as Arrow values: a null id among them changes no other
                 yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at_row, pa.int64())), *columns, *binary], names)
 
-    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(cut, schema)
+    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(lean(cut), schema)
 
 
 def pack(

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackweave.llm import token_memo
+from trackweave.llm.scratch import lean
 from trackweave.session import reach_workers
 
 CACHE_SCHEMA = "digest string, tokenizer string, n_tokens bigint"
@@ -51,6 +52,6 @@ def count_tokens(docs: DataFrame, cache: str, tokenizer_path: str, *, id_col: st
 
     texts = docs.select(digest, text.alias("text")).dropDuplicates(["digest"])
     misses = texts.join(cached_counts(spark, cache, version), "digest", "left_anti")
-    new = misses.mapInPandas(encode, "digest string, n_tokens bigint")
+    new = misses.mapInPandas(lean(encode), "digest string, n_tokens bigint")
     new.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     return rows.join(cached_counts(spark, cache, version), "digest").select(id_col, "n_bytes", "n_tokens")
