@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trackweave.llm.scratch import lean
+from trackweave.llm.scratch import lean, small_batches
 from trackweave.session import reach_workers
 
 #: Bytes of a window: the states start anew in each. A text's windows cover all of it.
@@ -200,6 +200,7 @@ def predict(docs: DataFrame, net: Network | None, *, id_col: str = "doc_id", tex
     Columns of the names ``lang_pred`` and ``score`` are replaced.
     """
     reach_workers(docs.sparkSession)
+    small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
 
     def label(texts: pd.Series) -> pd.DataFrame:
@@ -216,8 +217,11 @@ def predict(docs: DataFrame, net: Network | None, *, id_col: str = "doc_id", tex
         yield from lean(lambda xs: map(label, xs))(batches)
 
     letter = has_letter(F.col(text_col))
-    got = docs.withColumn("__guess", guess(F.when(letter, F.col(text_col))))
-    return got.withColumns({"lang_pred": F.col("__guess.lang"), "score": F.col("__guess.score")}).drop("__guess")
+    name = "__guess"
+    while name in docs.columns:
+        name += "_"
+    got = docs.withColumn(name, guess(F.when(letter, F.col(text_col))))
+    return got.withColumns({"lang_pred": F.col(f"{name}.lang"), "score": F.col(f"{name}.score")}).drop(name)
 
 
 def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:

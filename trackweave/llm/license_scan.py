@@ -13,6 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackweave.llm.scratch import small_batches
 from trackweave.session import reach_workers
 
 #: Wordings of common notices, by identifier.
@@ -213,6 +214,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     none; other columns are ignored.
     """
     reach_workers(docs.sparkSession)
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("struct<n_blocks:bigint,findings:array<struct<line:int,license:string,reduction:double,differences:string>>>")
     def found(texts: pd.Series) -> pd.DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackweave.llm.components import components
-from trackweave.llm.scratch import dropped, lean, stored
+from trackweave.llm.scratch import dropped, lean, small_batches, stored
 from trackweave.session import reach_workers
 
 SHINGLE, PERCENT = 5, 75
@@ -173,6 +173,7 @@ def near_duplicates(
     each and are one node; an empty table gives no rows; other columns are ignored.
     """
     reach_workers(docs.sparkSession)
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = stored(_rows(docs, shingle, screen), "sketches")
     named = rows.filter("n > 0 AND id IS NOT NULL")

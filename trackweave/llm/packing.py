@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackweave.llm import token_memo
-from trackweave.llm.scratch import lean, stored
+from trackweave.llm.scratch import lean, small_batches, stored
 from trackweave.session import reach_workers
 
 WINDOW = 4096
@@ -110,6 +110,7 @@ def pack(
     their pieces; an empty table gives none; other columns are ignored.
     """
     reach_workers(docs.sparkSession)
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     pieces = stored(tokenized_pieces(docs, tokenizer_path, id_col=id_col, text_col=text_col, window=window, end_id=end_id, keep_ids=keep_ids), "pieces")
     buckets = max(1, round(pieces.count() / bucket_pieces))

@@ -16,14 +16,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents. A table of so few row groups that cores would idle is dealt out anew; larger ones are read as they lie."""
+    docs, cores = _table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.decontamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontaminate.decontamination_report(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cache begins empty, so that each run counts all texts."""
     cache = f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}"
-    counts = token_count.count_tokens(_table(spark, sf_dir, "documents"), cache, public_tokenizers.path("byte_bpe_50k.json"))
+    counts = token_count.count_tokens(_documents(spark, sf_dir), cache, public_tokenizers.path("byte_bpe_50k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
@@ -32,7 +38,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint.edit_report(_table(spark, sf_dir, "documents"))
+    return fingerprint.edit_report(_documents(spark, sf_dir))
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +49,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.scan_report(_table(spark, sf_dir, "documents"))
+    return secret_scan.scan_report(_documents(spark, sf_dir))
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +61,7 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:

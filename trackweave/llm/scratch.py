@@ -54,6 +54,19 @@ def dropped(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows and bytes of an Arrow batch: texts may be long, and a batch is held by the executor and by its Python worker.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session send few texts at a time to Python; a session that asks for still smaller batches keeps them."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(name, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
+
+
 def lean(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A Python task that gives its free memory back at its end: workers wait for further tasks, beside other stages."""
 

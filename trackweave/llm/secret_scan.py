@@ -45,44 +45,54 @@ def _spans(text: Column, rank: int, pattern: str, group: int = 0) -> Column:
     return F.aggregate(hits, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
 
 
-def detect(docs: DataFrame, id_col: str, text_col: str, owner_col: str | None) -> DataFrame:
-    """Each row's ``id``, ``th`` (hash of its text), ``owner``, ``base`` spans and ``more`` candidates."""
+def _named(docs: DataFrame, column: str | None) -> Column | None:
+    return F.coalesce(F.col(column).cast("string"), F.lit("")) if column and column in docs.columns else None
+
+
+def detect(docs: DataFrame, id_col: str, text_col: str, owner_col: str | None, repo_col: str | None = None) -> DataFrame:
+    """Each row's ``id``, ``th`` (hash of its text), ``owner``, ``repo``, ``base`` spans and ``more`` candidates."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     none = F.array().cast(f"array<{SPAN}>")
-    owner = F.coalesce(F.col(owner_col).cast("string"), F.lit("")) if owner_col and owner_col in docs.columns else F.lit("")
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), owner.alias("owner"), text.alias("text"))
+    owner, repo = _named(docs, owner_col), _named(docs, repo_col)
+    owner = F.lit("") if owner is None else owner
+    repo = F.xxhash64(F.col(id_col), text).cast("string") if repo is None else repo
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), owner.alias("owner"), repo.alias("repo"), text.alias("text"))
     assign = F.filter(_spans(F.col("text"), 0, ASSIGN, 1), lambda x: F.length(x["value"]) >= ASSIGN_LEAST)
     base = F.array_sort(F.concat(assign, _spans(F.col("text"), 1, ACCESS), _spans(F.col("text"), 2, HEX)))
     more = F.filter(_spans(F.col("text"), 3, RUN), lambda x: x["value"].rlike(MIXED))
     rows = rows.withColumn("base", F.when(F.col("text").rlike(HINT), base).otherwise(none))
     rows = rows.withColumn("more", F.when(F.col("text").rlike(RUN), more).otherwise(none)).drop("text")
+    # From here on a value is known by its digest only: no credential is written or shuffled.
+    keyed = lambda c: F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), F.sha2(x["value"], 256).alias("key")))
+    rows = rows.withColumns({"base": keyed("base"), "more": keyed("more")})
     free = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
     return rows.withColumn("more", F.filter("more", free))
 
 
 def scan(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str | None = "source", example_owners: int = EXAMPLE_OWNERS,
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str | None = "source", repo_col: str | None = None, example_owners: int = EXAMPLE_OWNERS,
 ) -> DataFrame:
     """Find credentials; one row for each input row: the id, ``th``, and ``spans``.
 
     A span has ``start``, ``rank`` (place in KINDS), ``end`` (code points, end exclusive),
-    ``value``, ``owners`` and ``documents`` (distinct ones over the corpus that hold the value), and
-    ``example``: whether at least ``example_owners`` owners hold it. All base spans stay; of the
-    added kind only those that are no examples do.
+    ``key`` (SHA-256 of the value), ``owners`` and ``repos`` (distinct ones over the corpus that
+    hold the value), and ``example``: whether at least ``example_owners`` owners hold it. All base
+    spans stay; of the added kind only those that are no examples do. Without ``repo_col`` each
+    document is a repository of its own.
 
     Defined cases: a null text is empty; null owners are one owner, as all are if the column is
-    missing; rows with a null id have spans as well, and count as one document for each text;
+    missing; rows with a null id have spans as well, and are one repository for each text;
     repeated rows each get a row; an empty table gives none; other columns are ignored.
     """
-    found = stored(detect(docs, id_col, text_col, owner_col), "secrets")
-    each = found.select("id", "th", "owner", F.explode(F.concat("base", "more")).alias("x")).select("id", "th", "owner", "x.*")
-    # Copies of a value within an owner and document are put together before the value's rows meet.
-    documents = each.groupBy("value", "owner", "id", "th").agg(F.count(F.lit(1)).alias("n"))
-    owners = documents.groupBy("value", "owner").agg(F.count(F.lit(1)).alias("n"))
-    owned = owners.groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("documents"))
-    spans = each.select("id", "th", "start", "rank", "end", "value").distinct().join(owned, "value").withColumn("example", F.col("owners") >= example_owners)
+    found = stored(detect(docs, id_col, text_col, owner_col, repo_col), "secrets")
+    each = found.select("id", "th", "owner", "repo", F.explode(F.concat("base", "more")).alias("x")).select("id", "th", "owner", "repo", "x.*")
+    # Copies of a value within an owner and repository are put together before the value's rows meet.
+    repos = each.groupBy("key", "owner", "repo").agg(F.count(F.lit(1)).alias("n"))
+    owners = repos.groupBy("key", "owner").agg(F.count(F.lit(1)).alias("n"))
+    owned = owners.groupBy("key").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("repos"))
+    spans = each.select("id", "th", "start", "rank", "end", "key").distinct().join(owned, "key").withColumn("example", F.col("owners") >= example_owners)
     spans = spans.filter((F.col("rank") < 3) | ~F.col("example"))
-    per = spans.groupBy("id", "th").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", "value", "owners", "documents", "example"))).alias("spans"))
+    per = spans.groupBy("id", "th").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", "key", "owners", "repos", "example"))).alias("spans"))
     per = per.select(F.col("id").alias("hid"), F.col("th").alias("hth"), "spans")
     rows = found.select("id", "th").join(per, F.col("id").eqNullSafe(F.col("hid")) & (F.col("th") == F.col("hth")), "left")
     kind = per.schema["spans"].dataType.simpleString()
@@ -105,20 +115,22 @@ def scan_report(docs: DataFrame, **options) -> DataFrame:
 def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Put ``[SECRET]`` in place of all spans that are no examples; rows and columns stay.
 
-    A null text stays null. Overlapping spans are replaced as one.
+    A null text stays null; overlapping spans are replaced as one; repeated rows and rows without
+    an id are each redacted; an empty table gives none; other columns may have any names.
     """
     found = scan(docs, id_col=id_col, text_col=text_col, **options)
     live = found.select(F.col(id_col).alias("__id"), F.col("th").alias("__th"), F.filter("spans", lambda x: ~x["example"]).alias("__spans")).filter(F.size("__spans") > 0)
     live = stored(live.dropDuplicates(["__id", "__th"]), "live")
     if live.count() <= BROADCAST_ROWS:
         live = F.broadcast(live)
-    text = F.col(text_col)
+    text = F.col(f"d.{text_col}")
 
     def step(acc: Column, x: Column) -> Column:
         gap = F.substring(text, acc["at"] + 1, x["start"] - acc["at"])
         out = F.when(x["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(REDACTED))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
 
-    clean = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    joined = docs.join(live, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("__th")), "left")
-    return joined.withColumn(text_col, F.when(F.col("__spans").isNotNull(), clean).otherwise(text)).drop("__id", "__th", "__spans")
+    clean = F.aggregate("l.__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    same = F.col(f"d.{id_col}").eqNullSafe(F.col("l.__id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("l.__th"))
+    joined = docs.alias("d").join(live.alias("l"), same, "left")
+    return joined.select(*[F.when(F.col("l.__spans").isNotNull(), clean).otherwise(text).alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns])

@@ -16,6 +16,8 @@ VALUE_BITS, TEXT_BITS, ROW_BITS = 22, 20, 20
 PASS_BITS = 11
 #: A cut is fine enough if the range around it holds this share of a shard's bytes.
 TOLERANCE = 0.0005
+#: Groups of equal texts up to this share of a shard's bytes stay in one shard; larger ones are cut like other rows.
+WHOLE_SHARE = 0.05
 #: Rows that are numbered by one task.
 RUN_ROWS = 20_000
 
@@ -24,7 +26,7 @@ def _scaled(docs: DataFrame, dims: list[str]) -> dict[str, Column]:
     """Values from 0 to 1: numbers by range, others by a hash (null is 0)."""
     kinds = dict(docs.dtypes)
     numbers = [d for d in dims if kinds[d] in ("tinyint", "smallint", "int", "bigint", "float", "double") or kinds[d].startswith("decimal")]
-    clean = {d: F.when(~F.isnan(F.col(d).cast("double")), F.col(d).cast("double")) for d in numbers}
+    clean = {d: F.when(F.abs(F.col(d).cast("double")) < float("inf"), F.col(d).cast("double")) for d in numbers}
     ends = docs.agg(*[f(c).alias(f"{f.__name__}_{d}") for d, c in clean.items() for f in (F.min, F.max)]).first() if numbers else {}
     out = {}
     for d in dims:
@@ -51,25 +53,35 @@ def shard(
     A k-d tree: each node is cut along the dimension of ``dims`` in which its bytes spread the
     widest, at the weighted quantile that gives both sides bytes in proportion to their shards.
     Quantiles come from histograms of bytes, refined in passes; the driver sees a bounded table for
-    each. Rows of one value are cut by their text's hash, so that copies stay close, and then by
-    a hash of the row, so that no hot value or copy makes a shard larger.
+    each. Equal texts share their group's least place in each dimension, and rows of one value are
+    cut by their text's hash, so a group stays in one shard, unless its bytes are more than
+    ``WHOLE_SHARE`` of a shard: then a hash of the id cuts it, so that no hot value or copy makes
+    a shard larger. Shards depend on the rows, not on the order in which they come; only rows of
+    one id and text that such a cut parts are told apart by their order.
 
-    Defined cases: null texts have no bytes and the CRC of the empty text; null values of a
-    dimension count as 0; repeated rows each get a slot; an empty table gives none; dimensions
-    that the table lacks are left out; with fewer rows than shards some shards stay empty.
+    Defined cases: null texts have no bytes and the CRC of the empty text; null ids are ids like
+    others; null, NaN and infinite values of a dimension count as 0; repeated rows each get a slot; an empty table gives none; dimensions
+    that the table lacks are left out, other columns are ignored; with fewer rows than shards some shards stay empty.
     """
     dims = [d for d in dims if d in docs.columns]
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     scaled = _scaled(docs, dims) or {"none": F.lit(0.0)}
-    text_part = F.pmod(F.xxhash64(text), F.lit(1 << TEXT_BITS))
     base = docs.select(
         F.col(id_col).alias("id"), (F.octet_length(text) + ROW_BYTES).cast("bigint").alias("size"), F.crc32(text).alias("crc"),
-        F.monotonically_increasing_id().alias("row"), text_part.alias("text_part"), *[c.alias(f"x{i}") for i, c in enumerate(scaled.values())],
+        F.monotonically_increasing_id().alias("row"), F.xxhash64(text).alias("th"), *[c.alias(f"x{i}") for i, c in enumerate(scaled.values())],
     )
-    rows = stored(base.withColumn("node", F.lit(0)), "shard-rows")
+    rows = stored(base, "shard-rows")
     total = rows.agg(F.sum("size")).first()[0] or 0
+    xs = [f"x{i}" for i in range(len(scaled))]
+    groups = rows.groupBy("th").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), *[F.min(x).alias(f"g{x}") for x in xs])
+    groups = groups.filter((F.col("n") > 1) & (F.col("bytes") <= WHOLE_SHARE * total / shards)).drop("n", "bytes")
+    whole, apart = F.col(f"g{xs[0]}").isNotNull(), F.pmod(F.xxhash64("id"), F.lit(1 << (ROW_BITS - 8))) * 256 + F.pmod(F.xxhash64("row"), F.lit(256))
+    rows = rows.join(groups, "th", "left").select(
+        "id", "size", "crc", "row", F.pmod("th", F.lit(1 << TEXT_BITS)).alias("text_part"), F.when(whole, F.lit(0)).otherwise(apart).cast("bigint").alias("row_part"),
+        *[F.coalesce(f"g{x}", x).alias(x) for x in xs], F.lit(0).alias("node"),
+    )
+    rows = stored(rows, "shard-rows")
     nodes = {0: shards}  # first shard of each node, and its number of shards
-    row_part = F.pmod(F.xxhash64("row"), F.lit(1 << ROW_BITS))
     while any(n > 1 for n in nodes.values()):
         cut = {lo: n for lo, n in nodes.items() if n > 1}
         spread = [F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("size") * F.col(f"x{i}") ** 2) / F.sum("size") - (F.sum(F.col("size") * F.col(f"x{i}")) / F.sum("size")) ** 2)) for i in range(len(scaled))]
@@ -77,7 +89,7 @@ def shard(
         dim = {r["node"]: max(range(len(scaled)), key=lambda i, r=r: (r[f"s{i}"], -i)) for r in stats}
         goal = {r["node"]: r["bytes"] * (cut[r["node"]] // 2) / cut[r["node"]] for r in stats if r["node"] in cut}
         value = F.element_at(F.array(*[F.col(f"x{i}") for i in range(len(scaled))]), _looked_up({lo: dim.get(lo, 0) + 1 for lo in nodes}, "node", "int"))
-        place = F.shiftleft(F.least(F.floor(value * (1 << VALUE_BITS)), F.lit((1 << VALUE_BITS) - 1)), TEXT_BITS + ROW_BITS).bitwiseOR(F.shiftleft(F.col("text_part"), ROW_BITS)).bitwiseOR(row_part)
+        place = F.shiftleft(F.least(F.floor(value * (1 << VALUE_BITS)), F.lit((1 << VALUE_BITS) - 1)), TEXT_BITS + ROW_BITS).bitwiseOR(F.shiftleft(F.col("text_part"), ROW_BITS)).bitwiseOR(F.col("row_part"))
         start, before, last, width = dict.fromkeys(goal, 0), dict.fromkeys(goal, 0), dict.fromkeys(goal, 0), VALUE_BITS + TEXT_BITS + ROW_BITS
         while width:
             step = min(PASS_BITS, width)

@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackweave.llm import token_memo
-from trackweave.llm.scratch import lean
+from trackweave.llm.scratch import lean, small_batches
 from trackweave.session import reach_workers
 
-CACHE_SCHEMA = "digest string, tokenizer string, n_tokens bigint"
+#: Each tokenizer version is a partition of the stored table, so another version's counts aren't read.
+CACHE_SCHEMA = "digest string, n_tokens bigint, tokenizer string"
 
 
 def cached_counts(spark: SparkSession, cache: str, version: str) -> DataFrame:
@@ -41,6 +42,7 @@ def count_tokens(docs: DataFrame, cache: str, tokenizer_path: str, *, id_col: st
     """
     spark = docs.sparkSession
     reach_workers(spark)
+    small_batches(spark)
     version = token_memo.version(tokenizer_path)
     text = F.coalesce(F.col(text_col), F.lit(""))
     digest = F.sha2(text, 256).alias("digest")
@@ -53,5 +55,5 @@ def count_tokens(docs: DataFrame, cache: str, tokenizer_path: str, *, id_col: st
     texts = docs.select(digest, text.alias("text")).dropDuplicates(["digest"])
     misses = texts.join(cached_counts(spark, cache, version), "digest", "left_anti")
     new = misses.mapInPandas(lean(encode), "digest string, n_tokens bigint")
-    new.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
+    new.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").partitionBy("tokenizer").parquet(cache)
     return rows.join(cached_counts(spark, cache, version), "digest").select(id_col, "n_bytes", "n_tokens")

@@ -15,7 +15,7 @@ from functools import lru_cache
 from pathlib import Path
 
 #: Pieces that one generation of a worker's memo holds; two generations live. Results do not depend on it.
-MEMO_PIECES = 300_000
+MEMO_PIECES = 150_000
 #: Longer pieces are encoded each time.
 MEMO_CHARS = 40
 #: A run of these marks behind letters is a pre-token of its own for both tokenizers.
