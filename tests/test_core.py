@@ -193,17 +193,18 @@ def test_a_stream_closes_the_same_tracklets(spark, tmp_path):
     assert sorted(map(tuple, spark.table("closed").collect())) == sorted(map(tuple, want.collect()))
 
 
-@pytest.mark.parametrize("name", ["contracted_tracklets", "complete_sets", "nearest_matches", "filled_gaps", "appearance_matrix"])
-def test_queries_equal_sql(spark, name):
-    import duckdb
+def _with_sql():
+    import __spark_entry__ as e
+
+    return [n for n in e.oracle_sql() if not n.startswith("op") and n != "pipeline"]
+
 
+@pytest.mark.parametrize("name", _with_sql())
+def test_queries_equal_sql(spark, name):
     import __spark_entry__ as e
-    from tests.oracle import TABLES, compare
+    from tests.oracle import compare
 
-    con, d = duckdb.connect(), "/root/testdata/sf0.001"
-    for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
-    assert compare(spark, con, name, e.queries()[name], e.oracle_sql()[name], d) == ""
+    assert compare(spark, _duck(), name, e.queries()[name], e.oracle_sql()[name], "/root/testdata/sf0.001") == ""
 
 
 def _duck(d="/root/testdata/sf0.001"):
@@ -217,18 +218,13 @@ def _duck(d="/root/testdata/sf0.001"):
     return con
 
 
-@pytest.mark.parametrize(("name", "step"), [("tracklets_in_frame", " WHERE frame % 10 = 0"), ("trajectory_grid", " WHERE frame % 5 = 0"), ("inner_regions", " AND t.frame % 7 = 0")])
-def test_every_frame_is_there(spark, name, step):
-    from tests.oracle import compare
-    from trackweave.plans.queries import QUERIES, SQL
+def test_a_grid_can_take_steps(spark):
+    from trackweave.plans.queries import QUERIES
 
-    assert step in SQL[name]  # the registered SQL asks for some frames only; without that it is the whole job
     d = "/root/testdata/sf0.001"
-    assert compare(spark, _duck(), name, QUERIES[name], SQL[name].replace(step, ""), d) == ""
-    if name == "trajectory_grid":
-        assert compare(spark, _duck(), name, lambda s, d: QUERIES[name](s, d, step=5), SQL[name], d) == ""
-    elif name == "tracklets_in_frame":
-        assert compare(spark, _duck(), name, lambda s, d: QUERIES[name](s, d).filter("frame % 10 = 0"), SQL[name], d) == ""
+    whole, part = ({tuple(r) for r in QUERIES["trajectory_grid"](spark, d, step=step).collect()} for step in (1, 5))
+    assert part == {r for r in whole if r[0] % 5 == 0}
+    assert {r["frame"] for r in QUERIES["tracklets_in_frame"](spark, d).select("frame").distinct().collect()} == {r[0] for r in whole}
 
 
 def _paths(spark):
@@ -268,19 +264,6 @@ def test_distances_of_any_two_paths(spark):
     assert asked.keys() == set(every) and all(np.allclose(v, brute(*p)) for p, v in asked.items())
 
 
-def test_overlap_queries_hold_all_tracklets(spark):
-    from trackweave.plans.queries import QUERIES, SQL
-
-    d, con = "/root/testdata/sf0.001", _duck()
-    whole = SQL["overlapping_singles"].replace(" AND b.n = 1", "")
-    assert sorted(map(tuple, QUERIES["overlapping_singles"](spark, d).collect())) == sorted(con.execute(whole).fetchall())
-    got = {(r["a"], r["b"]): (r["n"], r["min_dist"]) for r in QUERIES["common_frame_distance"](spark, d).collect()}
-    whole = SQL["common_frame_distance"].replace("a.obj_id = 1 AND b.obj_id > 1", "a.tracklet_id < b.tracklet_id")
-    assert got == {(a, b): (n, m) for a, b, n, m in con.execute(whole).fetchall()}
-    part = con.execute(SQL["common_frame_distance"]).fetchall()  # the SQL's part: the paths of one object
-    assert part and all(got[min(a, b), max(a, b)] == (n, m) for a, b, n, m in part)
-
-
 def test_z_cases_need_a_fork(spark, monkeypatch):
     from trackweave.plans import queries as Q
 
@@ -290,11 +273,74 @@ def test_z_cases_need_a_fork(spark, monkeypatch):
     assert [tuple(r) for r in Q.QUERIES["z_cases"](spark, "").collect()] == [(1, 10, 1)]
 
 
-def test_nearest_predecessors_equal_sql(spark):
-    from tests.oracle import compare
-    from trackweave.plans.queries import QUERIES, SQL
+def test_sets_are_matched_as_by_brute_force(spark):
+    from itertools import permutations
+
+    import pandas as pd
+
+    from trackweave.operators import kernels
+
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 4):
+        p = pd.DataFrame(rng.random((n + 1, n + 1)), index=[7, *range(n)], columns=[7, *range(10, 10 + n)])
+        pairs, least, mean = kernels.match_sets(p)
+        rest = p.drop(index=7, columns=7).to_numpy()
+        best = max(sum(rest[i, q[i]] for i in range(n)) for q in permutations(range(n)))
+        assert pairs[0] == (7, 7) and mean * n == pytest.approx(best) and least == pytest.approx(min(p.at[a, b] for a, b in pairs[1:]))
+    assert kernels.match_sets(pd.DataFrame([[1.0]], index=[4], columns=[4])) == ([(4, 4)], 1.0, 1.0)
+
+
+def test_matched_sets_follow_their_matrices(spark):
+    from trackweave.plans.queries import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    cells = {(r["cs"], r["a"], r["b"]): r["p"] for r in QUERIES["spatial_matching"](spark, d).collect()}
+    rows = QUERIES["matched_sets"](spark, d).collect()
+    firsts = [(r["cs"], r["a"]) for r in rows]
+    assert rows and len(set(firsts)) == len(rows) and {(r["cs"], r["a"], r["b"]) for r in rows} <= set(cells)
+    for cs, a, b in cells:
+        if a == b:
+            assert (cs, a, b) in {(r["cs"], r["a"], r["b"]) for r in rows}
+    tracks = QUERIES["sequential_tracks"](spark, d).collect()
+    assert len({r["tracklet_id"] for r in tracks}) == len(tracks) and all((r["place"] == 0) == (r["tracklet_id"] == r["track_id"]) for r in tracks)
+
+
+def test_components_and_small_matchings_equal_brute_force():
+    from itertools import permutations
+
+    from trackweave.operators import kernels
+
+    rng = np.random.default_rng(12)
+    edges = sorted({(int(a), int(b)) for a, b in rng.integers(0, 30, (35, 2))})
+    reach = {i: {i} for i in range(30)}  # sources that each source reaches
+    for _ in range(30):
+        for a, b in edges:
+            for c, e in edges:
+                if b == e:
+                    reach[a] |= reach[c]
+    assert kernels.bipartite_components(*map(list, zip(*edges, strict=True))) == [min(reach[a]) for a, _ in edges]
+    for n in (2, 3, 4):
+        score = {(i, 10 + j): float(rng.random()) for i in range(n) for j in range(n) if rng.random() < 0.7 or i == j}
+        sums = sorted({(sum(score.get((i, t), -9) for i, t in enumerate(p) if t is not None), p) for p in set(permutations([*range(10, 10 + n), *[None] * n], n))}, key=lambda x: -x[0])
+        cert, pairs = kernels.best_matching([(a, b, s) for (a, b), s in score.items()])
+        assert dict(pairs) == {i: t for i, t in enumerate(sums[0][1]) if t is not None} and cert == pytest.approx(sums[0][0] / n * (sums[0][0] - sums[1][0]))
+
+
+def test_headings_are_the_cheapest(spark):
+    from itertools import product
+
+    from trackweave.operators import kernels
+
+    rng = np.random.default_rng(8)
+    x, y, theta, major = rng.random(7) * 3, rng.random(7) * 3, rng.random(7) * np.pi, 2 + rng.random(7)
+
+    def travel(turned):
+        hx, hy = x + major * np.cos(-(theta + np.pi * turned)), y + major * np.sin(-(theta + np.pi * turned))
+        return np.hypot(np.diff(hx), np.diff(hy)).sum()
 
-    assert compare(spark, _duck(), "", QUERIES["nearest_predecessors"], SQL["nearest_predecessors"], "/root/testdata/sf0.001") == ""
+    best = min(travel(np.array(t)) for t in product((0, 1), repeat=7))  # no step is longer than five pixels
+    got = np.round(np.mod(kernels.orient(x, y, theta, major) - theta, 2 * np.pi) / np.pi)
+    assert travel(got) == pytest.approx(best)
 
 
 @pytest.mark.parametrize("name", ["remapped_ids", "active_tracklets", "frame_index"])

@@ -18,12 +18,14 @@ def movement_score(dist: Column, max_distance: float) -> Column:
 def candidate_edges(rows: DataFrame, max_distance: float = MAX_DISTANCE, score: Callable[[Column, float], Column] = movement_score) -> DataFrame:
     """Edges from each region to those of the next frame within ``max_distance`` in x and in y.
 
-    An equi-join on the frame and a grid cell: each region also visits the neighbouring cells.
+    An equi-join on the frame and a grid cell of twice the distance: a region goes to the four cells
+    that its reach covers (a little more, for rounding), and those of the next frame to their own.
     """
-    cell = lambda c: F.floor(F.col(c) / max_distance).cast("int")
-    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    a = rows.select(F.col("region_id").alias("src"), (F.col("frame") + 1).alias("f"), F.col("x").alias("x1"), F.col("y").alias("y1"), cell("x").alias("cx"), cell("y").alias("cy"))
-    a = a.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near)).withColumns({"cx": F.col("cx") + F.col("dx"), "cy": F.col("cy") + F.col("dy")})
+    reach = max_distance * 1.001
+    cell = lambda c: F.floor(F.col(c) / (2 * reach)).cast("int")
+    sides = lambda c: F.explode(F.sequence(F.floor((F.col(c) - reach) / (2 * reach)).cast("int"), F.floor((F.col(c) + reach) / (2 * reach)).cast("int")))
+    a = rows.select(F.col("region_id").alias("src"), (F.col("frame") + 1).alias("f"), F.col("x").alias("x1"), F.col("y").alias("y1"))
+    a = a.withColumn("cx", sides("x1")).withColumn("cy", sides("y1"))
     b = rows.select(F.col("region_id").alias("dst"), F.col("frame").alias("f"), F.col("x").alias("x2"), F.col("y").alias("y2"), cell("x").alias("cx"), cell("y").alias("cy"))
     hit = a.join(b, ["f", "cx", "cy"]).filter((F.abs(F.col("x1") - F.col("x2")) <= max_distance) & (F.abs(F.col("y1") - F.col("y2")) <= max_distance))
     dist = F.sqrt((F.col("x1") - F.col("x2")) ** 2 + (F.col("y1") - F.col("y2")) ** 2)

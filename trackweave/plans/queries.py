@@ -98,11 +98,19 @@ def velocities(spark, d):
 greatest(a.roi_y + a.roi_h, b.roi_y + b.roi_h) - least(a.roi_y, b.roi_y) AS uh, b.x BETWEEN a.roi_x AND a.roi_x + a.roi_w - 1 AND b.y BETWEEN a.roi_y AND a.roi_y + a.roi_h - 1 AS holds
 FROM reg a JOIN reg b ON a.frame = b.frame AND a.region_id < b.region_id AND a.roi_x <= b.roi_x + b.roi_w AND a.roi_x + a.roi_w >= b.roi_x AND a.roi_y <= b.roi_y + b.roi_h AND a.roi_y + a.roi_h >= b.roi_y""", "reg")
 def touching_boxes(spark, d):
-    """Boxes of one frame that intersect or touch, their union, and containment."""
+    """Boxes of one frame that intersect or touch, their union, and containment.
+
+    Boxes go to the grid cells that they cover, edges included; a pair is taken in the cell of the
+    lower corner of what they share, so it comes once.
+    """
     r = S.regions(spark, d).select("region_id", "frame", "x", "y", "roi_x", "roi_y", "roi_w", "roi_h")
-    b = r.select(*[F.col(c).alias(f"{c}2") for c in r.columns])
     one, two = [F.col(c) for c in ("roi_x", "roi_y", "roi_w", "roi_h")], [F.col(c) for c in ("roi_x2", "roi_y2", "roi_w2", "roi_h2")]
-    j = r.join(b, (F.col("frame") == F.col("frame2")) & (F.col("region_id") < F.col("region_id2")) & G.boxes_touch(*one, *two))
+    cells = lambda at, size: F.explode(F.sequence(F.floor(F.col(at) / 20), F.floor((F.col(at) + F.col(size)) / 20)))
+    b = r.select(*[F.col(c).alias(f"{c}2") for c in r.columns]).withColumn("cx", cells("roi_x2", "roi_w2")).withColumn("cy", cells("roi_y2", "roi_h2"))
+    a = r.withColumn("cx", cells("roi_x", "roi_w")).withColumn("cy", cells("roi_y", "roi_h"))
+    corner = lambda at: F.floor(F.greatest(at, f"{at}2") / 20)
+    j = a.join(b.withColumnRenamed("frame2", "frame"), ["frame", "cx", "cy"])
+    j = j.filter((F.col("region_id") < F.col("region_id2")) & G.boxes_touch(*one, *two) & (F.col("cx") == corner("roi_x")) & (F.col("cy") == corner("roi_y")))
     return j.select(F.col("region_id").alias("a"), F.col("region_id2").alias("b"), G.box_union(*one, *two).alias("u"), G.box_holds(F.col("x2"), F.col("y2"), *one).alias("holds")).select("a", "b", F.col("u.x").alias("ux"), F.col("u.y").alias("uy"), F.col("u.w").alias("uw"), F.col("u.h").alias("uh"), "holds")
 
 
@@ -244,7 +252,8 @@ def confirmed_edges(spark, d):
     return graph.confirm_greedily(_edges(spark, d).select("src", "dst", F.round("score", 6).alias("score")), _written(spark))
 
 
-@query("""SELECT z.src AS a, z.dst AS b, count(*) AS rivals FROM (SELECT src, dst FROM edges QUALIFY count(*) OVER (PARTITION BY src) = 1) z JOIN edges r ON r.dst = z.dst AND r.src <> z.src GROUP BY 1, 2 HAVING count(*) = 1""", "edges")
+@query("""WITH e AS (SELECT src, dst, count(*) OVER (PARTITION BY src) AS o, count(*) OVER (PARTITION BY dst) AS i FROM edges)
+SELECT z.src AS a, z.dst AS b, z.i - 1 AS rivals FROM e z JOIN e r ON r.dst = z.dst AND r.src <> z.src WHERE z.o = 1 AND z.i = 2 AND r.o = 2""", "edges")
 def z_cases(spark, d):
     """A region's only successor has exactly one other predecessor, and that one two successors."""
     e = _edges(spark, d).withColumns({"o": F.count(F.lit(1)).over(Window.partitionBy("src")), "i": F.count(F.lit(1)).over(Window.partitionBy("dst"))})
@@ -269,7 +278,7 @@ def tracklet_statistics(spark, d):
     return t.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("n"), 6).alias("mean_len"), F.median("n").alias("median_len"), F.max("n").alias("max_len"), F.sum("n").alias("total"), F.round(cover, 6).alias("coverage"))
 
 
-@query("SELECT f.frame, t.tracklet_id FROM (SELECT DISTINCT frame FROM du WHERE frame % 10 = 0) f JOIN tr t ON t.start_frame <= f.frame AND f.frame <= t.end_frame", "tr")
+@query("SELECT f.frame, t.tracklet_id FROM (SELECT DISTINCT frame FROM du) f JOIN tr t ON t.start_frame <= f.frame AND f.frame <= t.end_frame", "tr")
 def tracklets_in_frame(spark, d):
     """Tracklets present at each frame: a point-in-interval join."""
     rows = S.unique_detections(spark, d)
@@ -277,7 +286,7 @@ def tracklets_in_frame(spark, d):
     return intervals.overlap_join(f, intervals.islands(rows).select("tracklet_id", "start_frame", "end_frame")).select(F.col("start_frame").alias("frame"), F.col("tracklet_id2").alias("tracklet_id"))
 
 
-@query("SELECT a.tracklet_id, count(*) AS n, min(b.tracklet_id) AS lo, max(b.tracklet_id) AS hi FROM tr a JOIN tr b ON a.start_frame <= b.end_frame AND b.start_frame <= a.end_frame AND a.tracklet_id <> b.tracklet_id AND b.n = 1 GROUP BY 1", "tr")
+@query("SELECT a.tracklet_id, count(*) AS n, min(b.tracklet_id) AS lo, max(b.tracklet_id) AS hi FROM tr a JOIN tr b ON a.start_frame <= b.end_frame AND b.start_frame <= a.end_frame AND a.tracklet_id <> b.tracklet_id GROUP BY 1", "tr")
 def overlapping_singles(spark, d):
     """Tracklets that each tracklet overlaps, of any length: number, least and greatest (J3, J4 without its class filter)."""
     return intervals.overlap_summary(intervals.tracklet_regions(S.unique_detections(spark, d)))
@@ -305,11 +314,11 @@ def complete_sets(spark, d):
 
 @query("SELECT f.frame, count(*) AS n, min(t.tracklet_id) AS lo, max(t.tracklet_id) AS hi FROM (SELECT start_frame AS frame FROM tr UNION SELECT end_frame FROM tr) f JOIN tr t ON t.start_frame <= f.frame AND f.frame <= t.end_frame GROUP BY f.frame", "tr")
 def collateral_sets(spark, d):
-    """Tracklets present at each start or end of one."""
-    t = intervals.islands(S.unique_detections(spark, d))
-    f = t.select(F.col("start_frame").alias("f")).union(t.select("end_frame")).distinct().select(F.col("f").alias("start_frame"), F.col("f").alias("end_frame"))
-    j = intervals.overlap_join(f, t.select("tracklet_id", "start_frame", "end_frame"))
-    return j.groupBy(F.col("start_frame").alias("frame")).agg(F.count(F.lit(1)).alias("n"), F.min("tracklet_id2").alias("lo"), F.max("tracklet_id2").alias("hi"))
+    """Tracklets present at each start or end of one (W15, U5): those that have a row in the frame."""
+    rows = intervals.tracklet_regions(S.unique_detections(spark, d))
+    rows = rows.withColumn("last", F.lead("pos").over(Window.partitionBy("tracklet_id").orderBy("pos")).isNull())
+    per = rows.groupBy("frame").agg(F.count(F.lit(1)).alias("n"), F.min("tracklet_id").alias("lo"), F.max("tracklet_id").alias("hi"), F.max((F.col("pos") == 0) | F.col("last")).alias("end"))
+    return per.filter("end").drop("end")
 
 
 @query("SELECT obj_id, frame, count(*) AS n FROM det GROUP BY obj_id, frame HAVING count(*) > 1", "det")
@@ -334,8 +343,8 @@ def identity_sets(spark, d):
 def predecessors(spark, d):
     """Tracklets that end just before each one starts."""
     t = intervals.islands(S.unique_detections(spark, d))
-    b = t.select(F.col("tracklet_id").alias("b"), (F.col("end_frame") + 1).alias("start_frame"))
-    return t.join(b, "start_frame", "left").groupBy("tracklet_id").agg(F.count("b").alias("n_before"), F.min("b").alias("first_before"))
+    b = t.groupBy((F.col("end_frame") + 1).alias("start_frame")).agg(F.count(F.lit(1)).alias("n_before"), F.min("tracklet_id").alias("first_before"))
+    return t.join(b, "start_frame", "left").select("tracklet_id", F.coalesce("n_before", F.lit(0)).alias("n_before"), "first_before")
 
 
 @query("""WITH e AS (SELECT t.tracklet_id, t.start_frame, t.end_frame, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM tr t JOIN du a ON a.obj_id = t.obj_id AND a.frame = t.start_frame JOIN du b ON b.obj_id = t.obj_id AND b.frame = t.end_frame)
@@ -374,13 +383,24 @@ def filled_gaps(spark, d):
 # Ground truth, matching, trajectories
 
 
+def _in_reach(g, p, reach: int):
+    """Rows of ``g`` (x, y) and ``p`` (px, py) of a frame that may lie within ``reach``: an equi-join on grid cells of twice that.
+
+    Each row of ``g`` goes to the four cells that its reach covers (a pixel more, for rounding), each of ``p`` to its own.
+    """
+    size = 2 * (reach + 1)
+    sides = lambda c: F.explode(F.sequence(F.floor((F.col(c) - reach - 1) / size), F.floor((F.col(c) + reach + 1) / size)))
+    a = g.withColumn("cx", sides("x")).withColumn("cy", sides("y"))
+    return a.join(p.withColumns({"cx": F.floor(F.col("px") / size), "cy": F.floor(F.col("py") / size)}), ["frame", "cx", "cy"])
+
+
 @query("""SELECT g.frame, g.id, p.id AS pred_id, round(sqrt((g.x - p.x) ** 2 + (g.y - p.y) ** 2), 4) AS dist FROM gt g LEFT JOIN pred p ON p.frame = g.frame AND (g.x - p.x) ** 2 + (g.y - p.y) ** 2 <= 25
 QUALIFY row_number() OVER (PARTITION BY g.frame, g.id ORDER BY (g.x - p.x) ** 2 + (g.y - p.y) ** 2, p.id) = 1""", "gt pred")
 def nearest_matches(spark, d):
     """The nearest prediction within 5 pixels of each true object."""
     g, p = S.ground_truth(spark, d), S.predictions(spark, d).select("frame", F.col("id").alias("pred_id"), F.col("x").alias("px"), F.col("y").alias("py"))
     sq = (F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2
-    near = g.join(p, "frame").withColumn("sq", sq).filter("sq <= 25").groupBy("frame", "id").agg(F.min(F.struct("sq", "pred_id")).alias("m"))
+    near = _in_reach(g, p, 5).withColumn("sq", sq).filter("sq <= 25").groupBy("frame", "id").agg(F.min(F.struct("sq", "pred_id")).alias("m"))
     return g.select("frame", "id").join(near, ["frame", "id"], "left").select("frame", "id", "m.pred_id", _r(F.sqrt("m.sq")).alias("dist"))
 
 
@@ -388,14 +408,14 @@ def nearest_matches(spark, d):
 SELECT CASE WHEN n = 0 THEN 'noise' WHEN n = 1 THEN 'single' ELSE 'multi' END AS class, count(*) AS n FROM c GROUP BY 1""", "gt pred")
 def region_cardinalities(spark, d):
     """Predictions by the number of true objects near them."""
-    g = S.ground_truth(spark, d).select("frame", F.col("id").alias("g"), F.col("x").alias("gx"), F.col("y").alias("gy"))
+    g = S.ground_truth(spark, d).select("frame", F.col("x").alias("px"), F.col("y").alias("py"))
     p = S.predictions(spark, d)
-    hit = p.join(g, (p["frame"] == g["frame"]) & ((F.col("gx") - F.col("x")) ** 2 + (F.col("gy") - F.col("y")) ** 2 <= 9), "left")
-    c = hit.groupBy(p["frame"], p["id"]).agg(F.count("g").alias("n"))
+    hit = _in_reach(p, g, 3).filter((F.col("px") - F.col("x")) ** 2 + (F.col("py") - F.col("y")) ** 2 <= 9).groupBy("frame", "id").agg(F.count(F.lit(1)).alias("n"))
+    c = p.select("frame", "id").join(hit, ["frame", "id"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return c.groupBy(F.when(F.col("n") == 0, "noise").when(F.col("n") == 1, "single").otherwise("multi").alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT f.frame, o.obj_id AS id, d.x, d.y FROM (SELECT DISTINCT frame FROM du WHERE frame % 5 = 0) f CROSS JOIN (SELECT DISTINCT obj_id FROM du) o LEFT JOIN du d ON d.frame = f.frame AND d.obj_id = o.obj_id""", "du")
+@query("""SELECT f.frame, o.obj_id AS id, d.x, d.y FROM (SELECT DISTINCT frame FROM du) f CROSS JOIN (SELECT DISTINCT obj_id FROM du) o LEFT JOIN du d ON d.frame = f.frame AND d.obj_id = o.obj_id""", "du")
 def trajectory_grid(spark, d, step=1):
     """The dense grid of frames and identities, missing cells null (X1, D17); every ``step``-th frame for X79.
 
@@ -427,10 +447,8 @@ def _assigned(spark, g, p):
     Spark counts the frames; the assignment is one task over the counts of pairs of identities.
     """
     reach_workers(spark)
-    cell, step = lambda c: F.floor(F.col(c) / 6), F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
-    p = p.select("frame", F.col("id").alias("h"), F.col("x").alias("px"), F.col("y").alias("py")).withColumns({"cx": cell("px"), "cy": cell("py")})
-    g = g.withColumn("i", step).withColumn("j", step).withColumns({"cx": cell("x") + F.col("i"), "cy": cell("y") + F.col("j")})
-    near = g.join(p, ["frame", "cx", "cy"]).filter((F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2 <= 25)
+    p = p.select("frame", F.col("id").alias("h"), F.col("x").alias("px"), F.col("y").alias("py"))
+    near = _in_reach(g, p, 5).filter((F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2 <= 25)
     votes = near.groupBy("id", "h").agg(F.count(F.lit(1)).alias("n"))
 
     def assign(b: pd.DataFrame) -> pd.DataFrame:
@@ -499,7 +517,8 @@ def identity_assignment(spark, d):
     return _assigned(spark, S.ground_truth(spark, d), S.predictions(spark, d))
 
 
-@query("""SELECT a.tracklet_id AS a, b.tracklet_id AS b, count(*) AS n, round(min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)), 4) AS min_dist FROM tre a JOIN tre b ON a.frame = b.frame AND a.obj_id = 1 AND b.obj_id > 1 GROUP BY 1, 2""", "tre")
+@query("""SELECT a, b, n, round(m.dist, 4) AS min_dist, m.frame AS min_frame FROM (SELECT a, b, count(*) AS n, min(struct_pack(dist := dist, frame := frame)) AS m
+FROM (SELECT a.tracklet_id AS a, b.tracklet_id AS b, a.frame, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS dist FROM tre a JOIN tre b ON a.frame = b.frame AND a.tracklet_id < b.tracklet_id) GROUP BY 1, 2)""", "tre")
 def common_frame_distance(spark, d):
     """Least distance of any two tracklets over their common frames, and its first frame (J17); a is the lesser id.
 
@@ -615,12 +634,14 @@ def block_probabilities(spark, d):
     return s.groupBy("obj_id").agg(F.round(F.least(F.lit(0.9999999999), F.avg(1 / (1 + F.pow(F.lit(2.0), F.col("s2") - F.col("s1"))))), 6).alias("p1"))
 
 
-@query("""SELECT CAST(split_part(v, ':', 1) AS INT) + CAST(split_part(v, ':', 2) AS INT) * k AS frame, v AS q FROM (VALUES ('3:4:19'), ('0:10:100'), ('7:1:9')) t(v), (SELECT unnest(range(0, 200)) AS k)
-WHERE CAST(split_part(v, ':', 1) AS INT) + CAST(split_part(v, ':', 2) AS INT) * k <= CAST(split_part(v, ':', 3) AS INT)""")
+@query("""WITH p AS (SELECT q, string_split(w, ':') AS p FROM (SELECT q, unnest(string_split_regex(q, '[ ,]+')) AS w FROM (VALUES ('3:4:19'), ('0:10:100'), ('5:9'), ('1 2 30'), ('4,6,20:22')) t(q))),
+s AS (SELECT q, CAST(p[1] AS INT) AS a, CASE WHEN len(p) = 3 THEN CAST(p[2] AS INT) ELSE 1 END AS step, CAST(p[len(p)] AS INT) AS b FROM p) SELECT CAST(a + step * k AS INT) AS frame, q FROM s, (SELECT unnest(range(0, 200)) AS k) WHERE a + step * k <= b""")
 def frame_ranges(spark, d):
-    """Frame lists written as start:step:end."""
-    part = lambda i: F.element_at(F.split("q", ":"), i).cast("int")
-    return spark.createDataFrame([("3:4:19",), ("0:10:100",), ("7:1:9",)], "q string").select(F.explode(F.sequence(part(1), part(3), part(2))).alias("frame"), "q")
+    """Frame lists written as numbers, start:end or start:step:end, between spaces or commas, ends included."""
+    rows = spark.createDataFrame([("3:4:19",), ("0:10:100",), ("5:9",), ("1 2 30",), ("4,6,20:22",)], "q string")
+    rows = rows.select("q", F.explode(F.split("q", "[ ,]+")).alias("word")).select("q", F.split("word", ":").cast("array<int>").alias("p"))
+    step = F.when(F.size("p") == 3, F.get("p", F.lit(1))).otherwise(1)
+    return rows.select(F.explode(F.sequence(F.element_at("p", 1), F.element_at("p", -1), step)).alias("frame"), "q")
 
 
 @query("""SELECT 0 AS part, region_id FROM det WHERE frame < 50 UNION ALL SELECT 1, region_id + (SELECT count(*) FROM det WHERE frame < 50) FROM det WHERE frame >= 50""", "det")
@@ -640,7 +661,7 @@ def shared_tracks(spark, d):
     return a.intersect(b).select(F.lit("shared").alias("kind"), "obj_id").unionByName(a.subtract(b).select(F.lit("first").alias("kind"), "obj_id"))
 
 
-@query("""SELECT t.region_id FROM du t WHERE NOT EXISTS (SELECT 1 FROM tr WHERE tr.tracklet_id = t.region_id) AND t.frame % 7 = 0""", "tr")
+@query("""SELECT t.region_id FROM du t WHERE NOT EXISTS (SELECT 1 FROM tr WHERE tr.tracklet_id = t.region_id)""", "tr")
 def inner_regions(spark, d):
     """Regions that start no tracklet."""
     r = S.unique_detections(spark, d)

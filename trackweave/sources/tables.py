@@ -66,6 +66,12 @@ def write_mot(rows: DataFrame, path: str) -> None:
     out.sortWithinPartitions("frame", "id").write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_detections(regions: DataFrame, path: str) -> None:
+    """Regions as CSV files of frame, centre and box size, sorted by frame inside each."""
+    out = regions.select("frame", "x", "y", F.col("roi_w").alias("width"), F.col("roi_h").alias("height"))
+    out.sortWithinPartitions("frame").write.mode("overwrite").option("header", True).csv(path)
+
+
 def save_project(tables: dict[str, DataFrame], path: str) -> None:
     """A project folder: one Parquet table for each name."""
     for name, df in tables.items():
