@@ -263,8 +263,8 @@ def _links(docs: DataFrame, classes: DataFrame, shingle: int, k: int, screen: in
     sketches = stored(kept.join(active, "c").select("c", "class", "id", "n", "sketch"), "active-sketches")
     lists = stored(_distinct_lists(stored(_prefix_lists(sketches, k), "all-lists")), "lists")
     size, hub = lists.count(), F.min(F.struct(F.least("n", F.lit(k)) - F.col("left"), "c", "n", "left"))
-    links, tested, inside, idle = None, [], None, False
-    for turn in range(LEADER_ROUNDS + 1):
+    links, tested, inside, idle = classes.select(F.col("c").alias("a"), F.col("c").alias("b")).limit(0), [], None, False
+    for turn in range(LEADER_ROUNDS + 1 if size else 0):
         if turn == 0:
             these, last = lists.withColumn("comp", F.col("c")), False
         else:
@@ -282,8 +282,10 @@ def _links(docs: DataFrame, classes: DataFrame, shingle: int, k: int, screen: in
         for old in tested:
             pairs = pairs.join(old, ["a", "b"], "left_anti")
         tested.append(stored(pairs, "pairs"))
-        new = stored(_confirmed(docs, sketches, tested[-1], shingle, k), "pair-links")
-        links, idle = new if links is None else links.unionByName(new), not new.limit(1).count()
+        idle = not tested[-1].limit(1).count()
+        if not idle:
+            new = stored(_confirmed(docs, sketches, tested[-1], shingle, k), "pair-links")
+            links, idle = links.unionByName(new), not new.limit(1).count()
         if inside is not None:
             dropped(inside)
         inside = these if turn else None
