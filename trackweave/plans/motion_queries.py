@@ -134,12 +134,12 @@ def smoothed_counts(spark, d):
     return spread.join(n.select("frame"), "frame", "left_semi").groupBy("frame").agg(_r(F.sum(F.col("n") * F.col("w")) / F.sum("w")).alias("smooth"))
 
 
-@query("""SELECT event_type, CAST(day AS VARCHAR) AS day, round(m, 4) AS m, round(m - lag(m) OVER (PARTITION BY event_type ORDER BY day), 4) AS delta FROM (SELECT event_type, CAST(ts AS DATE) AS day, avg(value) AS m FROM events GROUP BY 1, 2)""")
+@query("""SELECT event_type, CAST(day AS VARCHAR) AS day, round(m, 9) AS m, round(m - lag(m) OVER (PARTITION BY event_type ORDER BY day), 9) AS delta FROM (SELECT event_type, CAST(ts AS DATE) AS day, avg(value) AS m FROM events GROUP BY 1, 2)""")
 def experiment_deltas(spark, d):
     """A measure of successive experiments (days) of each data set and its change."""
     m = S.table(spark, d, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.avg("value").alias("m"))
     delta = F.col("m") - F.lag("m").over(Window.partitionBy("event_type").orderBy("day"))
-    return m.select("event_type", F.col("day").cast("string").alias("day"), _r(F.col("m")).alias("m"), _r(delta).alias("delta"))
+    return m.select("event_type", F.col("day").cast("string").alias("day"), _r(F.col("m"), 9).alias("m"), _r(delta, 9).alias("delta"))
 
 
 # Regions
@@ -347,17 +347,17 @@ def ground_truth_report(spark, d):
     )
 
 
-@query("SELECT pred_id, count(*) AS n, round(avg(abs(g.x - p.x)), 4) AS mae_x, round(avg(abs(g.y - p.y)), 4) AS mae_y, round(avg(dist), 4) AS mae FROM hits h JOIN gt g ON g.frame = h.frame AND g.id = h.id JOIN pred p ON p.frame = h.frame AND p.id = h.pred_id GROUP BY 1", "hits")
+@query("SELECT pred_id, count(*) AS n, round(avg(abs(g.x - p.x)), 9) AS mae_x, round(avg(abs(g.y - p.y)), 9) AS mae_y, round(avg(dist), 9) AS mae FROM hits h JOIN gt g ON g.frame = h.frame AND g.id = h.id JOIN pred p ON p.frame = h.frame AND p.id = h.pred_id GROUP BY 1", "hits")
 def mean_errors(spark, d):
     """Mean absolute errors of matched places, by predicted id."""
     h = _hits(spark, d)
-    return h.groupBy("pred_id").agg(F.count(F.lit(1)).alias("n"), _r(F.avg(F.abs(F.col("x") - F.col("px")))).alias("mae_x"), _r(F.avg(F.abs(F.col("y") - F.col("py")))).alias("mae_y"), _r(F.avg(F.sqrt("sq"))).alias("mae"))
+    return h.groupBy("pred_id").agg(F.count(F.lit(1)).alias("n"), _r(F.avg(F.abs(F.col("x") - F.col("px"))), 9).alias("mae_x"), _r(F.avg(F.abs(F.col("y") - F.col("py"))), 9).alias("mae_y"), _r(F.avg(F.sqrt("sq")), 9).alias("mae"))
 
 
 @query("SELECT frame, id, pred_id, round(dist, 4) AS dist FROM hits ORDER BY dist DESC, frame, id LIMIT 20", "hits")
 def worst_errors(spark, d):
     """The twenty matches that are farthest off (K7)."""
-    return _hits(spark, d).withColumn("dist", F.sqrt("sq")).orderBy(F.col("dist").desc(), "frame", "id").limit(20).select("frame", "id", "pred_id", _r(F.col("dist")).alias("dist"))
+    return _hits(spark, d).select("frame", "id", "pred_id", _r(F.sqrt("sq")).alias("dist")).orderBy(F.col("dist").desc(), "frame", "id").limit(20)
 
 
 @query("SELECT frame, id, pred_id FROM hits QUALIFY count(*) OVER (PARTITION BY frame, pred_id) = 1", "hits")
