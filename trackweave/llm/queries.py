@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackweave.llm import chat, decontaminate, fingerprint, langid, license_scan, near_dup, packing, secret_scan, sharding, token_count
+from trackweave.llm import chat, collocations, decontaminate, fingerprint, langid, license_scan, near_dup, packing, secret_scan, sharding, token_count, vector_codes
 from trackweave.llm.scratch import shared_dir
 
 
@@ -16,9 +16,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     """All documents. A table of so few row groups that cores would idle is dealt out anew; larger ones are read as they lie."""
-    docs, cores = _table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    docs, cores = _table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
     return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
@@ -69,11 +69,20 @@ def op10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_documents(spark, sf_dir, "embeddings"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_documents(spark, sf_dir).select("text", "lang"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_token_counts, op3_sharding, op4_fingerprints, op5_chat_format,
         op6_secrets, op7_near_duplicates, op8_licenses, op9_packing, op10_languages,
+        op12_vector_codes, op13_collocations,
     )
 }
 
@@ -100,4 +109,35 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM words LEFT JOIN hitwords USING (doc_id) LEFT JOIN hititems USING (doc_id)
 """
 
-SQL = {"op1_decontamination": OP1_SQL}
+
+def _op12_sql(rounds: int = 4) -> str:
+    """Rounds of codebooks as a chain of tables; a floored quotient is written out, as ``//`` cuts towards zero."""
+    steps = ["""v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+    "p AS (SELECT vec_id, part, q[part * len(q) // 4 + 1 : (part + 1) * len(q) // 4] AS x FROM v, range(4) t(part))",
+    "c0 AS (SELECT part, e, x AS c FROM p JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM v ORDER BY vec_id LIMIT 256) USING (vec_id))"]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT vec_id, part, any_value(x) AS x, min([d, e]) AS m FROM (SELECT vec_id, part, x, e, CAST(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM p JOIN c{i} USING (part)) GROUP BY vec_id, part)""")
+        if i < rounds:
+            steps.append(f"""c{i + 1} AS MATERIALIZED (SELECT part, e, coalesce(n.c, o.c) AS c FROM c{i} o LEFT JOIN (SELECT part, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c
+  FROM (SELECT part, m[2] AS e, i, sum(xi) AS s, count(*) AS n FROM (SELECT part, m, unnest(x) AS xi, generate_subscripts(x, 1) AS i FROM a{i}) GROUP BY 1, 2, 3) GROUP BY 1, 2) n USING (part, e))""")
+    steps.append(f"r AS (SELECT vec_id, string_agg(format('{{:02x}}', m[2]), '' ORDER BY part) AS code, CAST(sum(m[1]) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)")
+    steps.append(f"b AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM c{rounds})")
+    return f"WITH {', '.join(steps)}\nSELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM r JOIN v USING (vec_id), b"
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)
+), g AS (SELECT lang, n, array_to_string(w[i + 1 : i + n], ' ') AS phrase, count(*) AS f FROM (SELECT lang, w, n, unnest(range(len(w) - n + 1)) AS i FROM w, range(1, 6) t(n) WHERE len(w) >= n) GROUP BY ALL
+), total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang
+), c AS (SELECT lang, n AS size, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE n > 1 AND f >= 100
+), cut AS (SELECT c.*, k, total.n, p.f AS l, q.f AS r, CAST((CAST(1000 AS HUGEINT) * a * total.n) // (CAST(p.f AS HUGEINT) * q.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM c) c JOIN g p ON p.lang = c.lang AND p.phrase = array_to_string(w[1 : k], ' ') JOIN g q ON q.lang = c.lang AND q.phrase = array_to_string(w[k + 1 : size], ' ') JOIN total ON total.lang = c.lang
+), best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inner_ AS (SELECT DISTINCT lang, phrase FROM (SELECT lang, a AS longer, array_to_string(w[j : j + m - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, size - m + 2)) AS j FROM c, range(2, 5) t(m) WHERE m < size)) JOIN c USING (lang, phrase) WHERE 100 * longer >= 100 * a
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best ANTI JOIN inner_ USING (lang, phrase))
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+SQL = {"op1_decontamination": OP1_SQL, "op12_vector_codes": _op12_sql(), "op13_collocations": OP13_SQL}
