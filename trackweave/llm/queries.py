@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackweave.llm import chat, collocations, decontaminate, fingerprint, langid, license_scan, near_dup, packing, secret_scan, sharding, token_count, vector_codes
+from trackweave.llm import chat, collocations, decontaminate, fingerprint, langid, license_scan, line_dedup, near_dup, packing, secret_scan, sharding, token_count, vector_codes
 from trackweave.llm.scratch import shared_dir
 
 
@@ -69,6 +69,11 @@ def op10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_common_lines(_documents(spark, sf_dir))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(_documents(spark, sf_dir, "embeddings"))
 
@@ -82,7 +87,7 @@ QUERIES = {
     for f in (
         op1_decontamination, op2_token_counts, op3_sharding, op4_fingerprints, op5_chat_format,
         op6_secrets, op7_near_duplicates, op8_licenses, op9_packing, op10_languages,
-        op12_vector_codes, op13_collocations,
+        op11_line_dedup, op12_vector_codes, op13_collocations,
     )
 }
 
@@ -140,4 +145,13 @@ WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
 """
 
-SQL = {"op1_decontamination": OP1_SQL, "op12_vector_codes": _op12_sql(), "op13_collocations": OP13_SQL}
+OP11_SQL = r"""
+WITH l AS (SELECT doc_id, pos, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, unnest(w) AS line, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS w FROM documents))
+), common AS (SELECT key FROM l WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+)
+SELECT doc_id, count(*) AS n_lines, count(c.key) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE c.key IS NULL), '')) AS kept_sha256
+FROM l LEFT JOIN common c USING (key) GROUP BY doc_id
+"""
+
+SQL = {"op1_decontamination": OP1_SQL, "op11_line_dedup": OP11_SQL, "op12_vector_codes": _op12_sql(), "op13_collocations": OP13_SQL}
