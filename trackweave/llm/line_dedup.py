@@ -2,7 +2,7 @@
 
 A batch of documents becomes a run: the hashes of its distinct lines, each with the number of the
 batch's documents that hold it, in buckets and sorted. ``fan`` runs of a level are merged into one of
-the next (full outer merge joins; equal buckets meet without a shuffle), which splits in two: hashes
+the next (full outer merge joins; two tables of equal buckets meet without a shuffle): hashes
 that have reached the limit are ``common``, the others stay ``open``. A new batch is anti-joined with
 the common hashes, which are decided, and adds the rest as its own run. At the end the open runs are
 merged once more: each hash that isn't common yet has all its documents in them, so the sums are exact.
@@ -78,13 +78,9 @@ class LineRuns:
             buckets = f"CLUSTERED BY (h, g) SORTED BY (h, g) INTO {self.buckets} BUCKETS"
             self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name}_{part} (h BIGINT, g BIGINT, n BIGINT) USING parquet {buckets} LOCATION '{path}'")
 
-    def _read(self, part: str) -> list[DataFrame]:
-        return [self.spark.table(f"{name}_{part}") for name in self.names.values()]
-
-    def _write(self, run: tuple[int, int, int], counts: DataFrame) -> None:
-        """``counts``: rows of distinct hashes in the runs' buckets, so each task writes its bucket's file."""
+    def _write(self, run: tuple[int, int, int], opened: DataFrame, common: DataFrame) -> None:
         name = f"line_runs_{uuid.uuid4().hex}"
-        for part, rows in (("open", counts.filter(F.col("n") < self.limit)), ("common", counts.filter(F.col("n") >= self.limit))):
+        for part, rows in (("open", opened), ("common", common)):
             path = f"{self.folder}/{'-'.join(map(str, run))}/{part}"
             rows.write.format("parquet").bucketBy(self.buckets, "h", "g").sortBy("h", "g").option("path", path).saveAsTable(f"{name}_{part}")
         self.names[run] = name
@@ -100,26 +96,31 @@ class LineRuns:
     def add(self, counts: DataFrame) -> None:
         """Add a batch as a run. ``counts``: its distinct lines' ``h`` and ``g``, and their numbers of documents ``n``."""
         fresh = counts.select("h", "g", "n").repartition(self.buckets, "h", "g")
-        for known in self._read("common"):
-            fresh = fresh.join(known.hint("merge"), ["h", "g"], "left_anti")
-        self._write((0, self.batches, self.batches), fresh)
+        for name in self.names.values():
+            fresh = fresh.join(self.spark.table(f"{name}_common").hint("merge"), ["h", "g"], "left_anti")
+        self._write((0, self.batches, self.batches), fresh.filter(F.col("n") < self.limit), fresh.filter(F.col("n") >= self.limit))
         self.batches += 1
         level = 0
         while len(mine := sorted(r for r in self.names if r[0] == level)) >= self.fan:
             self._merge(mine)
             level += 1
 
+    def _files(self, run: tuple[int, int, int], part: str) -> DataFrame:
+        """A run's table read by its path, without its buckets."""
+        return self.spark.read.schema("h bigint, g bigint, n bigint").parquet(f"{self.folder}/{'-'.join(map(str, run))}/{part}")
+
     def _merge(self, runs: list[tuple[int, int, int]]) -> None:
-        """One run of the next level. Common hashes of the parts are common in it, with the documents counted so far."""
-        tables = [self.spark.table(f"{self.names[r]}_{part}") for r in runs for part in ("open", "common")]
-        new = (runs[0][0] + 1, runs[0][1], runs[-1][2])
-        self._write(new, reduce(_added, tables))
+        """One run of the next level. A hash may stay open in it that is common by another run; only those that reach the limit move."""
+        opened = reduce(_added, [self.spark.table(f"{self.names[r]}_open") for r in runs])
+        known = reduce(DataFrame.unionByName, [self._files(r, "common") for r in runs], opened.filter(F.col("n") >= self.limit))
+        self._write((runs[0][0] + 1, runs[0][1], runs[-1][2]), opened.filter(F.col("n") < self.limit), _summed(known))
         self._forget(runs)
 
     def common(self) -> DataFrame:
         """Hashes of all lines that ``limit`` documents hold: ``h``, ``g``, and ``n``, documents counted until that was known."""
-        tables = [*self._read("open"), *self._read("common")]
-        return reduce(_added, tables).filter(F.col("n") >= self.limit) if tables else self.spark.createDataFrame([], "h bigint, g bigint, n bigint")
+        tables = [self._files(r, part) for r in self.names for part in ("open", "common")]
+        none = self.spark.createDataFrame([], "h bigint, g bigint, n bigint")
+        return _summed(reduce(DataFrame.unionByName, tables)).filter(F.col("n") >= self.limit) if tables else none
 
     def drop(self) -> None:
         """Remove all runs and the folder."""
@@ -129,11 +130,15 @@ class LineRuns:
 
 
 def _added(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Two runs merged: hashes of either, their numbers of documents added."""
+    """Two sorted runs merged: hashes of either, their numbers of documents added."""
     both = a.hint("merge").join(b.withColumnRenamed("n", "n2"), ["h", "g"], "full")
     return both.select("h", "g", (F.coalesce("n", F.lit(0)) + F.coalesce("n2", F.lit(0))).alias("n"))
 
 
+def _summed(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("h", "g").agg(F.sum("n").alias("n"))
+
+
 def line_counts(docs: DataFrame, batches: int = 1, least: int = LEAST) -> DataFrame:
     """Distinct lines of each batch of documents (``text``): ``batch``, ``h``, ``g``, and the number of documents ``n``."""
     keys = F.array_distinct(F.filter(line_keys(F.col("text")), lambda x: F.length(x) >= least))
