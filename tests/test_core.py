@@ -355,3 +355,33 @@ def test_orders_are_made_in_ranges(spark, name):
         assert QUERIES[name](spark, d).select(F.spark_partition_id()).distinct().count() > 1
     finally:
         spark.conf.unset(key)
+
+
+def _labels(edges):
+    up = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        lo, hi = sorted((top(a), top(b)))
+        up[hi] = lo
+    return {x: top(x) for x in up}
+
+
+def test_components_equal_union_find(spark, tmp_path):
+    from trackweave.operators.components import bipartite_components, connected_components
+
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    rng = np.random.default_rng(11)
+    chain, star = [(i, i + 1) for i in range(500, 560)], [(900, int(x)) for x in range(901, 1100)]
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 200, (120, 2))] + chain[::-1] + star + [(7, 7), (3, 9), (9, 3)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {r["vertex"]: r["component"] for r in connected_components(df, lambda x: x.checkpoint()).collect()}
+    want = _labels([e for e in edges if e[0] != e[1]])
+    assert got == want
+    assert connected_components(df.limit(0), lambda x: x.checkpoint()).count() == 0
+    two = spark.createDataFrame([(1, 1, 5), (2, 1, 6), (2, 3, 7), (9, 2, 8)], "src int, dst int, w int")
+    assert sorted(map(tuple, bipartite_components(two, "src", "dst", lambda x: x.checkpoint()).collect())) == [(1, 1, 5, 1), (2, 1, 6, 1), (2, 3, 7, 1), (9, 2, 8, 9)]

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from trackweave.functions import geometry as G
 from trackweave.operators import graph, intervals, kernels
+from trackweave.operators.components import bipartite_components
 from trackweave.session import reach_workers
 from trackweave.sources import tables as S
 
@@ -444,34 +445,44 @@ def identity_scores(spark, d):
 def _assigned(spark, g, p):
     """One assignment of predicted to true ids over all frames: ``id``, ``h`` and their common frames within 5 pixels, ``n``.
 
-    Spark counts the frames; the assignment is one task over the counts of pairs of identities.
+    Spark counts the frames. Ids that votes connect, however far, are one component and one group; its
+    assignment holds a square of its own ids.
     """
     reach_workers(spark)
     p = p.select("frame", F.col("id").alias("h"), F.col("x").alias("px"), F.col("y").alias("py"))
     near = _in_reach(g, p, 5).filter((F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2 <= 25)
-    votes = near.groupBy("id", "h").agg(F.count(F.lit(1)).alias("n"))
+    votes = _written(spark)(near.groupBy("id", "h").agg(F.count(F.lit(1)).alias("n")))
 
     def assign(b: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(kernels.best_pairs(b["id"].tolist(), b["h"].tolist(), b["n"].tolist()), columns=["id", "h", "n"])
 
-    return votes.groupBy().applyInPandas(assign, "id int, h int, n bigint")
+    return bipartite_components(votes, "id", "h", _written(spark)).groupBy("component").applyInPandas(assign, "id int, h int, n bigint")
 
 
 @query()
 def clear_mot(spark, d):
     """CLEAR-MOT metrics of the whole sequence, matched frame by frame.
 
-    Each frame needs the one before, so one task reads the sorted frames as a stream and holds a
-    frame and the last pairs; its matches are counted by Spark.
+    Each frame needs the one before, but only for ids that come near each other in some frame: the
+    components of such pairs are matched apart. A task reads its components' sorted frames as a stream and
+    holds a frame and the last pairs; Spark counts the matches. Ids that meet no other are spread by their own.
     """
     reach_workers(spark)
-    g = S.ground_truth(spark, d).selectExpr("frame", "id", "x", "y", "true AS truth")
-    rows = g.unionByName(S.predictions(spark, d).selectExpr("frame", "id", "x", "y", "false AS truth"))
+    g, p = S.ground_truth(spark, d), S.predictions(spark, d)
+    met = _in_reach(g, p.select("frame", F.col("id").alias("h"), F.col("x").alias("px"), F.col("y").alias("py")), 5)
+    met = met.filter((F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2 <= 25).select("id", "h").distinct()
+    parts = _written(spark)(bipartite_components(met, "id", "h", _written(spark)))
+    part = lambda c: parts.select(F.col(c).alias("id"), F.struct(F.lit(1).alias("kind"), F.col("component").alias("of")).alias("part")).distinct()
+    side = lambda t, c, k: t.select("frame", "id", "x", "y", F.lit(k == 2).alias("truth")).join(part(c), "id", "left").withColumn("part", F.coalesce("part", F.struct(F.lit(k).alias("kind"), F.col("id").cast("bigint").alias("of"))))
+    rows = side(g, "id", 2).unionByName(side(p, "h", 3)).select(F.col("part.kind").alias("kind"), F.col("part.of").alias("of"), "frame", "id", "x", "y", "truth")
 
     def match(batches):
-        matcher, rest = kernels.MotMatcher(5.0), None
+        matcher, rest, now = None, None, None
 
-        def step(x: pd.DataFrame) -> pd.DataFrame:
+        def step(part: tuple[int, int], x: pd.DataFrame) -> pd.DataFrame:
+            nonlocal matcher, now
+            if part != now:
+                matcher, now = kernels.MotMatcher(5.0), part
             side = lambda t: {i: (u, v) for i, u, v in x.loc[x["truth"] == t, ["id", "x", "y"]].itertuples(index=False)}
             out = pd.DataFrame(matcher.step(side(True), side(False)), columns=["id", "h", "sq", "switched"])
             return out.assign(frame=x["frame"].iloc[0]).astype({"id": "Int32", "h": "Int32", "sq": "float64"})[["frame", "id", "h", "sq", "switched"]]
@@ -480,14 +491,15 @@ def clear_mot(spark, d):
             b = b if rest is None else pd.concat([rest, b], ignore_index=True)
             if not len(b):
                 continue
-            whole = b["frame"] != b["frame"].iloc[-1]  # the last frame may go on in the next batch
-            for _, x in b[whole].groupby("frame", sort=True):
-                yield step(x)
-            rest = b[~whole]
+            end = b.iloc[-1]  # the last frame may go on in the next batch
+            open_ = (b["kind"] == end["kind"]) & (b["of"] == end["of"]) & (b["frame"] == end["frame"])
+            for (kind, of, _), x in b[~open_].groupby(["kind", "of", "frame"], sort=True):
+                yield step((kind, of), x)
+            rest = b[open_]
         if rest is not None and len(rest):
-            yield step(rest)
+            yield step((rest["kind"].iloc[0], rest["of"].iloc[0]), rest)
 
-    pairs = rows.repartition(1).sortWithinPartitions("frame").mapInPandas(match, "frame int, id int, h int, sq double, switched boolean")
+    pairs = rows.repartition("kind", "of").sortWithinPartitions("kind", "of", "frame").mapInPandas(match, "frame int, id int, h int, sq double, switched boolean")
     # predictions without a partner have no true id; they are spread by their own
     pairs = pairs.withColumn("lone", F.when(F.col("id").isNull(), F.col("h")))
     w, hit = Window.partitionBy("id", "lone").orderBy("frame"), F.col("h").isNotNull()
