@@ -85,3 +85,23 @@ def confirm_greedily(edges: DataFrame, write: Callable[[DataFrame], DataFrame])
         out = best if out is None else out.unionByName(best)
         rest = write(rest.join(best.select("src"), "src", "left_anti").join(best.select("dst"), "dst", "left_anti"))
     return out if out is not None else edges.select("src", "dst", "score").limit(0)
+
+
+def longest_paths(links: DataFrame, weights: DataFrame, write: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The heaviest path that begins at each vertex: ``vertex``, ``total``, ``hops`` behind it and the ``next`` vertex (ties: the least).
+
+    ``links`` (``a``, ``b``) have no cycle; ``weights`` has a positive ``w`` for each ``vertex``. A round
+    looks again at the vertices in front of those that grew, so the rounds are the longest path's links,
+    and one more. ``write`` cuts the lineage of a round.
+    """
+    best = write(weights.select("vertex", "w", F.col("w").alias("total"), F.lit(0).alias("hops"), F.lit(None).cast("bigint").alias("next"), F.lit(True).alias("grew")))
+    links = links.select("a", "b").distinct()
+    while best.filter("grew").limit(1).count():
+        ahead = best.filter("grew").select(F.col("vertex").alias("b"), "total", F.col("hops").alias("h"))
+        offer = links.join(ahead, "b").groupBy("a").agg(F.max(F.struct("total", (-F.col("b")).alias("m"), "h")).alias("o"))
+        j = best.drop("grew").join(offer, best["vertex"] == offer["a"], "left")
+        more, tie = F.col("o.total") + F.col("w"), -F.col("o.m")
+        grew = F.col("o").isNotNull() & ((more > F.col("total")) | ((more == F.col("total")) & (tie < F.col("next"))))
+        pick = lambda new, c: F.when(grew, new).otherwise(F.col(c)).alias(c)
+        best = write(j.select("vertex", "w", pick(more, "total"), pick(F.col("o.h") + 1, "hops"), pick(tie, "next"), F.coalesce(grew, F.lit(False)).alias("grew")))
+    return best.select("vertex", "total", "hops", "next")
