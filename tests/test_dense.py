@@ -121,3 +121,24 @@ def test_dense_subgraphs_equal_closure(spark, tmp_path):
         out = {b for a, b in links if a in inner and label[b] == 0}
         want |= {(min(inner), t, "multi") for t in inner} | {(min(inner), t, "in_out" if t in into & out else "in" if t in into else "out") for t in into | out}
     assert set(map(tuple, got.collect())) == want
+
+
+def test_merged_boxes_equal_a_quadratic_loop(spark, tmp_path):
+    from trackweave.operators.boxes import merged_boxes
+
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    rng = random.Random(7)
+    rows = [(f, f * 1000 + i, x := rng.randrange(-30, 200), y := rng.randrange(200), x + rng.randrange(1, 25), y + rng.randrange(1, 25)) for f in range(4) for i in range((5, 25, 60, 120)[f])]
+    rows += [(9, 9000, 0, 0, 5, 5), (9, 9001, 5, 5, 7, 7), (9, 9002, 8, 8, 9, 9), (9, 9003, 6, 0, 6, 90), (9, 9004, 30, 80, 31, 81)]
+    rows += [(10, 9100 + i, i * 3, 0, i * 3 + 3, 1) for i in range(40)]  # a chain: one box in the end
+    got = merged_boxes(spark.createDataFrame(rows, "frame int, box_id long, x1 int, y1 int, x2 int, y2 int"), lambda x: x.checkpoint())
+    want = set()
+    for f in {r[0] for r in rows}:
+        left = [(r[1], *r[2:], 1) for r in rows if r[0] == f]
+        while hit := next(((a, b) for a in left for b in left if a is not b and a[1] <= b[3] and b[1] <= a[3] and a[2] <= b[4] and b[2] <= a[4]), None):
+            a, b = hit
+            left.remove(a)
+            left.remove(b)
+            left.append((min(a[0], b[0]), min(a[1], b[1]), min(a[2], b[2]), max(a[3], b[3]), max(a[4], b[4]), a[5] + b[5]))
+        want |= {(f, *x) for x in left}
+    assert set(map(tuple, got.select("frame", "box_id", "x1", "y1", "x2", "y2", "n").collect())) == want
