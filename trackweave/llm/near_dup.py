@@ -13,7 +13,9 @@ Documents with the same shingle set are one class. Three steps find all links be
    estimates, and the full sets decide.
 
 Lists yield pairs in rounds: first every member with the list's leader, then, once components are
-known, the members outside of the list's main component with all others. Where sketches aren't whole
+known, the members outside of the list's main component with all others. Those meet by bands of set
+sizes, and only where each side alone has values enough for partners of the other's size, so members
+that share a template without being alike are never joined. Where sketches aren't whole
 sets, bounds are binomial quantiles with a chance below ``TAIL`` to lose a link.
 """
 
@@ -22,7 +24,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
-from math import comb
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,8 @@ SKETCH, SCREEN = 512, 32
 TAIL = 5e-9
 #: Rounds of leaders at most before all remaining pairs are looked at, and the latter at once if they are so many times the lists' rows.
 LEADER_ROUNDS, FEW_PAIRS = 3, 4
+#: Bands of set sizes between a set and the largest that is alike enough.
+BANDS = 8
 #: Ids that are broadcast at most to pick rows; beyond, the join shuffles.
 BROADCAST_IDS = 500_000
 #: Bytes of a text that are hashed at a time.
@@ -241,6 +245,14 @@ def _distinct_lists(lists: DataFrame) -> DataFrame:
     return lists.join(kept, "value", "left_semi").drop("df")
 
 
+def _drawn(k: int, share: Column) -> Column:
+    """Kept values that two sketches share at least if the larger set's are shared with a chance of ``share``, from 3/4 to 6/7."""
+    low, high, steps = PERCENT / 100, 6 / 7, 50
+    least = F.array(*[F.lit(least_shared(k, low + i * (high - low) / steps)) for i in range(steps + 1)])
+    at = F.floor((share - low) / (high - low) * steps - 1e-6)
+    return F.element_at(least, F.greatest(F.lit(0), F.least(F.lit(steps), at)).cast("int") + 1)
+
+
 def _may_reach(k: int) -> Column:
     """Whether two list entries (n, left) and (n2, left2) can share enough if this is the first value they share.
 
@@ -248,12 +260,37 @@ def _may_reach(k: int) -> Column:
     with a chance of at least overlap / larger, and the quantile of that chance is asked for.
     """
     large, both = F.greatest("n", "n2"), F.col("n") + F.col("n2")
-    steps = 50
-    least = F.array(*[F.lit(least_shared(k, PERCENT / 100 + i * (6 / 7 - PERCENT / 100) / steps)) for i in range(steps + 1)])
-    share = (both * 3 / (large * 7) - PERCENT / 100) / (6 / 7 - PERCENT / 100)
-    drawn = F.element_at(least, F.greatest(F.lit(0), F.least(F.lit(steps), F.floor(share * steps - 1e-6))).cast("int") + 1)
     reach = F.least("left", "left2")
-    return (F.least("n", "n2") * 100 >= large * PERCENT) & F.when(large <= k, reach * 7 >= both * 3).otherwise(reach >= drawn)
+    return (F.least("n", "n2") * 100 >= large * PERCENT) & F.when(large <= k, reach * 7 >= both * 3).otherwise(reach >= _drawn(k, both * 3 / (large * 7)))
+
+
+def _banded(entries: DataFrame, k: int, larger: bool) -> DataFrame:
+    """List entries by the band of the smaller set and the bands ``off`` between it and the larger, for all partners that an entry can reach.
+
+    An entry takes part as the smaller or as the larger set if its own values suffice for the least
+    demand of any partner in the other's band.
+    """
+    step, slack = log(100 / PERCENT) / BANDS, 1e-9
+    edge = lambda band: F.exp(band * step)
+    n, own = F.col("n"), F.floor(F.log("n") / step)
+    e = entries.withColumn("off", F.explode(F.sequence(F.lit(0), F.lit(BANDS + 1)))).withColumn("band", (own - F.col("off") if larger else own).cast("int"))
+    if larger:
+        other = F.least(n, edge(F.col("band")) * (1 - slack))  # the smaller set has as many at least
+        need = F.when(n <= k, 3 * (other + n) / 7).otherwise(_drawn(k, 3 / 7 * (1 + other / n)))
+    else:
+        lo = F.greatest(n, edge(F.col("band") + F.col("off")) * (1 - slack))
+        hi = F.greatest(n, edge(F.col("band") + F.col("off") + 1) * (1 + slack))
+        whole, drawn = 3 * (n + lo) / 7, _drawn(k, 3 / 7 * (1 + n / hi)).cast("double")
+        need = F.when(hi <= k, whole).when(lo > k, drawn).otherwise(F.least(whole, drawn))
+    return e.filter(F.col("left") >= need - 1e-6)
+
+
+def _band_pairs(some: DataFrame, others: DataFrame, k: int) -> DataFrame:
+    """Pairs ``a``, ``b`` of one of ``some`` as the smaller set and one of ``others`` as the larger, of other components, that may reach the overlap."""
+    y = _banded(others, k, True).select("value", "band", "off", F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("left").alias("left2"), F.col("comp").alias("comp2"))
+    met = _banded(some, k, False).join(y, ["value", "band", "off"])
+    first = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("c") < F.col("c2")))
+    return met.filter(first & (F.col("comp") != F.col("comp2")) & _may_reach(k)).select(F.least("c", "c2").alias("a"), F.greatest("c", "c2").alias("b"))
 
 
 def _links(docs: DataFrame, classes: DataFrame, shingle: int, k: int, screen: int) -> DataFrame:
@@ -272,13 +309,14 @@ def _links(docs: DataFrame, classes: DataFrame, shingle: int, k: int, screen: in
             these = stored(these, "lists-apart")
             last = turn == LEADER_ROUNDS or idle or work.first()[0] <= FEW_PAIRS * size
         outside = these if turn == 0 else these.filter("comp <> main")
-        if not last:
+        if last:
+            pairs = _band_pairs(outside, these, k).unionByName(_band_pairs(these.filter("comp = main"), outside, k))
+        else:
             # The member with the fewest values of its own comes first: what others were copied from, if it is there.
             lead = outside.groupBy("value").agg(hub.alias("h"), F.min_by("comp", F.struct(F.least("n", F.lit(k)) - F.col("left"), "c", "n", "left")).alias("comp"))
-            outside = lead.select("value", "h.c", "h.n", "h.left", "comp")
-        others = outside.select("value", F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("left").alias("left2"), F.col("comp").alias("comp2"))
-        pairs = these.join(others, "value").filter((F.col("comp") != F.col("comp2")) & _may_reach(k))
-        pairs = pairs.select(F.least("c", "c2").alias("a"), F.greatest("c", "c2").alias("b")).distinct()
+            lead = lead.select("value", F.col("h.c").alias("c2"), F.col("h.n").alias("n2"), F.col("h.left").alias("left2"), F.col("comp").alias("comp2"))
+            pairs = these.join(lead, "value").filter((F.col("comp") != F.col("comp2")) & _may_reach(k)).select(F.least("c", "c2").alias("a"), F.greatest("c", "c2").alias("b"))
+        pairs = pairs.distinct()
         for old in tested:
             pairs = pairs.join(old, ["a", "b"], "left_anti")
         tested.append(stored(pairs, "pairs"))
