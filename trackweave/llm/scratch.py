@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache, wraps
 
 import pyarrow as pa
@@ -33,6 +34,32 @@ def _local_dir(application: str) -> str:
     return tempfile.mkdtemp(prefix="trackweave-")
 
 
+#: Folders written within ``cleared``, innermost last.
+_WRITTEN: list[list[str]] = []
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Remove all tables that ``stored`` writes meanwhile, at the end or after a failure.
+
+    A caller that writes an operator's result out wraps both; what is returned lazily would lose its tables.
+    """
+    mine: list[str] = []
+    _WRITTEN.append(mine)
+    try:
+        yield
+    finally:
+        _WRITTEN.remove(mine)
+        for path in mine:
+            removed(spark, path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Remove a folder, if it is still there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and return the written table.
 
@@ -41,6 +68,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _WRITTEN:
+        _WRITTEN[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -48,10 +77,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def dropped(*tables: DataFrame) -> None:
     """Remove written tables that nothing reads any more."""
     for table in tables:
-        spark = table.sparkSession
         for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            removed(table.sparkSession, folder)
 
 
 #: Rows and bytes of an Arrow batch: texts may be long, and a batch is held by the executor and by its Python worker.
