@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from trackweave.llm import decontaminate, langid, near_dup, packing, secret_scan
-from trackweave.llm.scratch import shared_dir
+from trackweave.llm.scratch import cleared, removed, shared_dir
 
 #: Languages that score less, as a mean over a text's positions, are rejected; four languages share 1.
 LEAST_SCORE = 0.3
@@ -78,9 +78,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each result is written to the shared folder and read again."""
+    """Apply the stages to ``documents``; each result is written to the shared folder and read again.
+
+    A stage's own tables go when it has written its result, and its input when the next has been read;
+    after a failure too. Only the last result stays, for the caller. Defined cases: an empty table gives no
+    rows; a missing ``benchmark`` is an error.
+    """
     docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+        try:
+            with cleared(spark):
+                stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+        finally:
+            if i:
+                removed(spark, f"{folder}/{i - 1}")
         docs = spark.read.parquet(f"{folder}/{i}")
     return docs
