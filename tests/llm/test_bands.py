@@ -43,3 +43,20 @@ def test_template_documents_stay_apart(spark):
     rng.shuffle(rows)
     got = {r["doc_id"]: r["component_id"] for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: i for i in range(300)} | {1000 + i: i for i in range(0, 300, 50)}
+
+
+def test_pipeline_leaves_its_result_only(spark):
+    import os
+
+    import corpus_pipeline
+    from trackweave.llm.scratch import cleared, shared_dir, stored
+
+    at = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(at))
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    left = set(os.listdir(at)) - before
+    assert len(left) == 1 and os.listdir(f"{at}/{left.pop()}") == ["4"] and out.count() > 0
+    with pytest.raises(ZeroDivisionError), cleared(spark):
+        stored(spark.range(3), "gone")
+        1 / 0  # noqa: B018
+    assert len(set(os.listdir(at)) - before) == 1
