@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackweave.operators import intervals
+from trackweave.operators import intervals, kernels, tracks
 from trackweave.operators.propagation import BITS, propagate
 from trackweave.plans import set_queries
 from trackweave.plans.dense_queries import ARENA, NOISE, SINGLE, _classes
 from trackweave.plans.queries import _written, query
+from trackweave.session import reach_workers
 from trackweave.sources import tables as S
 
 
@@ -37,3 +40,37 @@ def propagated_identities(spark, d):
     left = F.col("ids").bitwiseAND(F.bitwise_not(F.col("no")))
     t = s.groupBy("tracklet_id", "decided", "round").agg(F.sum(F.bit_count("no")).alias("excluded"), F.sum(F.bit_count(left)).alias("possible"), F.max(F.when(left != 0, F.col("word") * BITS + F.round(F.log2(left)).cast("int"))).alias("top"))
     return t.select("tracklet_id", "decided", "round", "excluded", "possible", F.when(F.col("possible") == 1, F.col("top")).alias("identity"), (F.col("possible") == 0).alias("conflict"))
+
+
+@query()
+def matched_tracks(spark, d):
+    """Tracks of each arena: complete sets matched in time order (G22), groups matched to the largest (G23), leftovers with prohibited
+    identities (G24), by prototypes of their regions (X32, A15, A16, A18). ``how`` is the step that joined a tracklet, null if none did.
+
+    Matching is ordered within an arena, so an arena is one group: its few objects' tracklets and their regions' descriptors.
+    """
+    reach_workers(spark)
+    rows = intervals.tracklet_regions(S.unique_detections(spark, d)).withColumn("arena", F.expr(f"obj_id DIV {ARENA}").cast("int"))
+    look = S.regions(spark, d).select("region_id", F.array(F.col("area") / 50, F.col("margin") / 3, F.col("min_intensity") / 80).alias("look"))
+    rows = _written(spark)(rows.join(look, "region_id").select("arena", "tracklet_id", "frame", "x", "y", "look"))
+    at = F.array("x", "y")
+    t = rows.groupBy("arena", "tracklet_id").agg(F.min("frame").alias("start"), F.max("frame").alias("end"), F.min_by(at, "frame").alias("head"), F.max_by(at, "frame").alias("tail"), F.sort_array(F.collect_list(F.struct("frame", "look"))).alias("looks"))
+    t = t.select("arena", F.struct("tracklet_id", "start", "end", "head", "tail", F.col("looks.look").alias("looks")).alias("t"))
+    active = rows.groupBy("arena", "frame").agg(F.sort_array(F.collect_set("tracklet_id")).alias("members"))
+    most = active.groupBy("arena").agg(F.max(F.size("members")).alias("k"))
+    sets = active.join(most, "arena").filter(F.size("members") == F.col("k")).groupBy("arena", "members").agg(F.min("frame").alias("frame"))
+    each = t.groupBy("arena").agg(F.collect_list("t").alias("tracklets")).join(sets.groupBy("arena").agg(F.sort_array(F.collect_list(F.struct("frame", "members"))).alias("sets")), "arena")
+
+    def match(batches):
+        for b in batches:
+            out = []
+            for arena, tracklets, sets in zip(b["arena"], b["tracklets"], b["sets"], strict=True):
+                known = [
+                    tracks.Tracklet(x["tracklet_id"], x["start"], x["end"], tuple(x["head"]), tuple(x["tail"]), kernels.prototypes(np.array([list(v) for v in x["looks"]], float)))
+                    for x in tracklets
+                ]
+                got, groups = tracks.solve(known, [list(map(int, s["members"])) for s in sets], reach=set_queries.REACH, neutral=set_queries.NEUTRAL, accepted=set_queries.ACCEPTED)
+                out += [(int(arena), k.id, got.of(k.id), got.how.get(k.id), len(groups)) for k in known]
+            yield pd.DataFrame(out, columns=["arena", "tracklet_id", "track_id", "how", "groups"])
+
+    return each.mapInPandas(match, "arena int, tracklet_id bigint, track_id bigint, how string, groups int")
