@@ -315,13 +315,17 @@ se AS (SELECT pt.id, pt.run, pt.frame, coalesce(h.ids, '') AS ids FROM pt LEFT J
 co AS (SELECT id, min(frame) AS start_frame, count(*) AS n, count(DISTINCT ids) AS sets, arg_min(ids, frame) AS ids FROM se GROUP BY id, run)"""
 
 
-def _consistent(spark, d):
-    """Predicted tracklets with the number of different true id sets over their frames, and the first one."""
+def _id_sets(spark, d):
+    """The set of true ids that match each predicted row, and the row's run of consecutive frames."""
     p = S.predictions(spark, d).select("id", "frame")
     ids = _hits(spark, d).groupBy("frame", F.col("pred_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"))
     run = F.col("frame") - F.row_number().over(Window.partitionBy("id").orderBy("frame"))
-    p = p.withColumn("run", run).join(ids, ["frame", "id"], "left").withColumn("ids", F.coalesce("ids", F.lit("")))
-    return p.groupBy("id", "run").agg(F.min("frame").alias("start_frame"), F.count(F.lit(1)).alias("n"), F.countDistinct("ids").alias("sets"), F.min_by("ids", "frame").alias("ids")).drop("run")
+    return p.withColumn("run", run).join(ids, ["frame", "id"], "left").withColumn("ids", F.coalesce("ids", F.lit("")))
+
+
+def _consistent(spark, d):
+    """Predicted tracklets with the number of different true id sets over their frames, and the first one."""
+    return _id_sets(spark, d).groupBy("id", "run").agg(F.min("frame").alias("start_frame"), F.count(F.lit(1)).alias("n"), F.countDistinct("ids").alias("sets"), F.min_by("ids", "frame").alias("ids")).drop("run")
 
 
 def _size(ids: str):
@@ -377,6 +381,9 @@ def voted_permutation(spark, d):
 
 # Files
 
+#: Objects that a line of a wide file holds.
+WIDE = 50
+
 
 def _folder(spark, name: str) -> str:
     """A new folder among those that the session's checkpoints share."""
@@ -402,20 +409,39 @@ def project_round_trip(spark, d):
     return got["regions"].groupBy("obj_id").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(missing))
 
 
-@query("SELECT frame, obj_id AS obj, x, y FROM du WHERE obj_id < 5", "du")
+@query("SELECT frame, obj_id AS obj, x, y FROM du", "du")
 def wide_round_trip(spark, d):
-    """Objects as columns ``<object>_<property>``, written as CSV and read again as rows (SRC9). A wide file has few objects by its form."""
-    path, r = _folder(spark, "wide"), S.unique_detections(spark, d).filter("obj_id < 5")
-    cells = [F.max(F.when(F.col("obj_id") == i, F.col(c))).alias(f"{i}_{c}") for i in range(5) for c in ("x", "y")]
-    r.groupBy("frame").agg(*cells).withColumn("5_frame", F.col("frame").cast("double")).drop("frame").write.option("header", True).csv(path)
+    """Objects as columns ``<object>_<property>``, written as CSV and read again as rows (SRC9). A wide file has few objects by its form: each line holds a block of them."""
+    path, r = _folder(spark, "wide"), S.unique_detections(spark, d).withColumns({"block": F.expr(f"obj_id DIV {WIDE}").cast("int"), "i": F.col("obj_id") % WIDE})
+    cells = [F.max(F.when(F.col("i") == i, F.col(c))).alias(f"{i}_{c}") for i in range(WIDE) for c in ("x", "y")]
+    lines = r.groupBy("block", "frame").agg(*cells).withColumnsRenamed({"frame": f"{WIDE}_frame", "block": f"{WIDE}_block"})
+    lines.write.option("header", True).csv(path)
     rows = S.read_wide(spark, path)
-    frames = rows.filter("obj = 5").select("row", F.col("frame").cast("int").alias("f"))
-    return rows.filter("obj < 5 AND x IS NOT NULL").join(frames, "row").select(F.col("f").alias("frame"), "obj", "x", "y")
+    of = rows.filter(F.col("obj") == WIDE).select("row", F.col("frame").cast("int").alias("f"), F.col("block").cast("int").alias("b"))
+    got = rows.filter((F.col("obj") < WIDE) & F.col("x").isNotNull()).join(of, "row")
+    return got.select(F.col("f").alias("frame"), (F.col("b") * WIDE + F.col("obj")).cast("int").alias("obj"), "x", "y")
 
 
-@query("SELECT frame, x, y, 1 + region_id % 20 AS width, 1 + region_id % 15 AS height FROM det WHERE frame < 20", "det")
+@query("SELECT frame, x, y, 1 + region_id % 20 AS width, 1 + region_id % 15 AS height FROM det", "det")
 def detection_files(spark, d):
-    """Detections of a range of frames as CSV files of frame, place and size, read again (SNK3, SNK12)."""
+    """Detections as CSV files of frame, place and size, read again (SNK3, SNK12)."""
     path = _folder(spark, "detections")
-    S.write_detections(S.regions(spark, d).filter("frame < 20"), path)
+    S.write_detections(S.regions(spark, d), path)
     return spark.read.option("header", True).schema("frame int, x double, y double, width bigint, height bigint").csv(path)
+
+
+@query("SELECT frame, CAST(tracklet_id AS INT) AS id, x, y FROM tre", "tre")
+def tracklet_mot_round_trip(spark, d):
+    """Tracklets as a MOT table, each under its own id, written and read again."""
+    path = _folder(spark, "tracklets")
+    S.write_mot(intervals.tracklet_regions(S.unique_detections(spark, d)).select("frame", F.col("tracklet_id").alias("id"), "x", "y"), path)
+    return S.read_mot(spark, path).select("frame", "id", "x", "y")
+
+
+@query(f"""WITH {_CONSISTENT}, v AS (SELECT id, run, ids, count(*) AS m FROM se GROUP BY 1, 2, 3), b AS (SELECT id, run, CAST(sum(m) AS BIGINT) AS n, max(m) AS most, count(*) AS sets FROM v GROUP BY 1, 2)
+SELECT sets, count(*) AS tracklets, CAST(sum(n) AS BIGINT) AS frames, round(sum(n - most) / sum(n), 6) AS minority FROM b GROUP BY sets""", "hits")
+def identity_minorities(spark, d):
+    """Predicted tracklets by the number of different true id sets over their frames, and the share of frames that aren't the most frequent set's."""
+    v = _id_sets(spark, d).groupBy("id", "run", "ids").agg(F.count(F.lit(1)).alias("m"))
+    b = v.groupBy("id", "run").agg(F.sum("m").alias("n"), F.max("m").alias("most"), F.count(F.lit(1)).alias("sets"))
+    return b.groupBy("sets").agg(F.count(F.lit(1)).alias("tracklets"), F.sum("n").alias("frames"), _r(F.sum(F.col("n") - F.col("most")) / F.sum("n"), 6).alias("minority"))

@@ -328,18 +328,6 @@ def identity_conflicts(spark, d):
     return intervals.conflicts(S.detections(spark, d))
 
 
-@query("""WITH pn AS (SELECT tracklet_id, [tracklet_id % 3] AS p, list_sort(list_distinct([tracklet_id % 5, (tracklet_id + 1) % 5])) AS n FROM tr)
-SELECT tracklet_id, len(p) = 1 AS decided, len(list_distinct(list_concat(p, n))) <> 5 AS undecided, len(list_intersect(p, n)) > 0 AS conflict, len(list_filter([0, 1, 2, 3, 4], lambda x: NOT list_contains(p, x))) AS n_absent FROM pn""", "tr")
-def identity_sets(spark, d):
-    """Decided, undecided and conflicting identity sets."""
-    ids = F.array(*[F.lit(i).cast("bigint") for i in range(5)])
-    t = intervals.islands(S.unique_detections(spark, d)).selectExpr("tracklet_id", "array(tracklet_id % 3) AS p", "array_sort(array_distinct(array(tracklet_id % 5, (tracklet_id + 1) % 5))) AS n")
-    return t.select(
-        "tracklet_id", (F.size("p") == 1).alias("decided"), (F.size(F.array_union("p", "n")) != 5).alias("undecided"), (F.size(F.array_intersect("p", "n")) > 0).alias("conflict"),
-        F.size(F.array_except(ids, "p")).cast("bigint").alias("n_absent"),
-    )
-
-
 @query("SELECT a.tracklet_id, count(b.tracklet_id) AS n_before, min(b.tracklet_id) AS first_before FROM tr a LEFT JOIN tr b ON b.end_frame + 1 = a.start_frame GROUP BY 1", "tr")
 def predecessors(spark, d):
     """Tracklets that end just before each one starts."""

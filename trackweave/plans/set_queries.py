@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from trackweave.functions import geometry as G
 from trackweave.operators import graph, intervals, kernels
+from trackweave.operators.propagation import BITS
 from trackweave.plans.queries import _SWEEP, CTE, NEEDS, _edges, _r, _written, query
 from trackweave.session import reach_workers
 from trackweave.sources import tables as S
@@ -162,17 +163,27 @@ ex AS (SELECT DISTINCT t.tracklet_id, c.obj_id FROM tr t JOIN dec c ON t.start_f
 
 
 def _excluded(spark, d):
-    """Identities that each tracklet can't have: those of decided tracklets which it meets in a frame."""
+    """Identities that each tracklet can't have, those of decided tracklets which it meets in a frame: ``tracklet_id``, ``obj_id``, ``word``, ``bits``.
+
+    A frame's decided identities are put together as bits first, and each tracklet takes those of its frames: as many
+    rows as a tracklet has frames and words, whatever the pairs. A frame has an object once, so the own bit is its own.
+    """
     rows = intervals.tracklet_regions(S.unique_detections(spark, d)).select("tracklet_id", "obj_id", "frame")
     sizes = rows.groupBy("tracklet_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= DECIDED).select("tracklet_id")
-    decided = rows.join(sizes, "tracklet_id").select("frame", F.col("tracklet_id").alias("other"), F.col("obj_id").alias("id"))
-    return rows.join(decided, "frame").filter("tracklet_id <> other").select("tracklet_id", "id").distinct()
+    word, bit = F.expr(f"obj_id DIV {BITS}").cast("int"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("obj_id") % BITS)
+    decided = rows.join(sizes, "tracklet_id").groupBy("frame", word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    met = rows.join(decided, "frame").groupBy("tracklet_id", "obj_id", "word").agg(F.bit_or("bits").alias("bits"))
+    own = F.when(F.col("word") == word, bit).otherwise(F.lit(0).cast("bigint"))
+    return met.withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(own))).filter("bits <> 0")
 
 
 @query(f"WITH {_EXCLUDED} SELECT tracklet_id, count(*) AS n, min(obj_id) AS lo, max(obj_id) AS hi FROM ex GROUP BY 1", "tr")
 def excluded_identities(spark, d):
     """Negative identity sets: decided identities go to all tracklets that overlap them."""
-    return _excluded(spark, d).groupBy("tracklet_id").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+    at = lambda bits: F.col("word") * BITS + F.round(F.log2(bits)).cast("int")  # noqa: E731  of one bit
+    low = F.col("bits").bitwiseAND(-F.col("bits"))
+    high = F.col("word") * BITS + F.length(F.conv(F.col("bits").cast("string"), 10, 2)) - 1
+    return _excluded(spark, d).groupBy("tracklet_id").agg(F.sum(F.bit_count("bits")).cast("bigint").alias("n"), F.min(at(low)).alias("lo"), F.max(high).alias("hi"))
 
 
 @query(f"""WITH {_EXCLUDED}, pre AS (SELECT b, count(DISTINCT a) AS m FROM tl GROUP BY b)
@@ -181,8 +192,40 @@ def inherited_exclusions(spark, d):
     """Identities excluded for all predecessors of a tracklet, and so for it (U4)."""
     links = _links(spark, d).select("a", "b").distinct()
     m = links.groupBy("b").agg(F.count(F.lit(1)).alias("m"))
-    k = links.join(_excluded(spark, d).select(F.col("tracklet_id").alias("a"), "id"), "a").groupBy("b", "id").agg(F.count(F.lit(1)).alias("k"))
-    return k.join(m, "b").filter("k = m").groupBy(F.col("b").alias("tracklet_id")).agg(F.count(F.lit(1)).alias("n"))
+    k = links.join(_excluded(spark, d).select(F.col("tracklet_id").alias("a"), "word", "bits"), "a").groupBy("b", "word").agg(F.count(F.lit(1)).alias("k"), F.bit_and("bits").alias("bits"))
+    both = k.join(m, "b").filter("k = m AND bits <> 0")  # a predecessor without the word excludes none of it
+    return both.groupBy(F.col("b").alias("tracklet_id")).agg(F.sum(F.bit_count("bits")).cast("bigint").alias("n"))
+
+
+@query(f"""WITH {_EXCLUDED}, k AS (SELECT count(DISTINCT obj_id) AS k FROM tr), nn AS (SELECT tracklet_id, count(*) AS n FROM ex GROUP BY 1)
+SELECT t.tracklet_id, t.n >= {DECIDED} AS decided, coalesce(nn.n, 0) AS n_excluded, k - coalesce(nn.n, 0) AS n_possible, t.n < {DECIDED} AND k - coalesce(nn.n, 0) > 1 AS undecided, k - coalesce(nn.n, 0) = 0 AS conflict, CASE WHEN t.n >= {DECIDED} THEN k - 1 ELSE k END AS n_absent
+FROM tr t LEFT JOIN nn USING (tracklet_id), k""", "tr")
+def identity_sets(spark, d):
+    """Each tracklet's positive and negative identities: decided, undecided or in conflict, and how many are left and absent."""
+    t = intervals.islands(S.unique_detections(spark, d))
+    k = t.agg(F.countDistinct("obj_id").alias("k"))
+    n = _excluded(spark, d).groupBy("tracklet_id").agg(F.sum(F.bit_count("bits")).cast("bigint").alias("x"))
+    j = t.select("tracklet_id", (F.col("n") >= DECIDED).alias("decided")).join(n, "tracklet_id", "left").crossJoin(F.broadcast(k))
+    x = F.coalesce("x", F.lit(0).cast("bigint"))
+    left = F.col("k") - x
+    return j.select(
+        "tracklet_id", "decided", x.alias("n_excluded"), left.alias("n_possible"), (~F.col("decided") & (left > 1)).alias("undecided"), (left == 0).alias("conflict"),
+        F.when(F.col("decided"), F.col("k") - 1).otherwise(F.col("k")).alias("n_absent"),
+    )
+
+
+@query(f"""SELECT u.tracklet_id, count(*) AS n FROM tr u JOIN tr c ON u.n < {DECIDED} AND c.n >= {DECIDED} AND u.start_frame <= c.end_frame AND c.start_frame <= u.end_frame
+JOIN (SELECT tracklet_id, label FROM (SELECT tracklet_id, region_id % 5 AS label, count(*) AS m FROM tre GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY tracklet_id ORDER BY m DESC, label) = 1) l ON l.tracklet_id = u.tracklet_id AND l.label < 2 GROUP BY 1""", "tr tre")
+def affected_undecided(spark, d):
+    """Undecided single or merged tracklets that decided ones overlap, and how many (J5): those active at its start, and those that start later within it."""
+    rows = intervals.tracklet_regions(S.unique_detections(spark, d)).select("tracklet_id", "frame", "pos", "region_id")
+    count = rows.join(S.regions(spark, d).select("region_id", "label"), "region_id").groupBy("tracklet_id", "label").agg(F.count(F.lit(1)).alias("m"))
+    size = count.groupBy("tracklet_id").agg(F.sum("m").alias("n"), F.min(F.struct((-F.col("m")).alias("m"), "label")).alias("b"))
+    rows = rows.join(size.select("tracklet_id", (F.col("n") >= DECIDED).alias("decided"), F.col("b.label").alias("label")), "tracklet_id")
+    per = rows.filter("decided").groupBy("frame").agg(F.count(F.lit(1)).alias("active"), F.count_if(F.col("pos") == 0).alias("starts"))
+    met = rows.filter("NOT decided AND label < 2").join(per, "frame")
+    n = F.sum(F.when(F.col("pos") == 0, F.col("active")).otherwise(F.col("starts")))
+    return met.groupBy("tracklet_id").agg(n.alias("n")).filter("n > 0")
 
 
 _VOTES = "pr AS (SELECT tracklet_id, start_frame, end_frame, least(0.9999999999, 1 / (1 + pow(2, s2 - s1))) AS p0, least(0.9999999999, 1 / (1 + pow(2, s1 - s2))) AS p1 FROM (SELECT tracklet_id, min(frame) AS start_frame, max(frame) AS end_frame, sum(y / 100) AS s1, sum(1 - y / 100) AS s2 FROM tre GROUP BY 1))"
@@ -213,6 +256,37 @@ def identity_certainty(spark, d):
     return t.select("tracklet_id", F.when(first, 0).otherwise(1).alias("best"), _r(1 / (1 + odds)).alias("certainty"))
 
 
+#: Centres of the identities that a region's y stands for, and the width of their likeness.
+_CENTRES, _WIDTH = (10, 30, 50, 70, 90), 20
+_SHARES = ", ".join(f"exp(-abs(y - {c}) / {_WIDTH}) AS e{i}" for i, c in enumerate(_CENTRES))
+_ALL = range(len(_CENTRES))
+
+
+@query(f"""WITH f AS (SELECT tracklet_id, frame, {_SHARES} FROM tre), s AS (SELECT tracklet_id, min(frame) AS start_frame, max(frame) AS end_frame, {", ".join(f"sum(e{i} / ({' + '.join(f'e{j}' for j in _ALL)})) AS s{i}" for i in _ALL)} FROM f GROUP BY 1),
+pr AS (SELECT tracklet_id, start_frame, end_frame, i, least(0.9999999999, 1 / list_sum(list_transform(s, lambda x: pow(2, x - s[i + 1])))) AS p FROM (SELECT *, [{", ".join(f"s{i}" for i in _ALL)}] AS s FROM s), range({len(_CENTRES)}) t(i)),
+c AS (SELECT a.tracklet_id, a.i, a.p, coalesce(sum(ln(1 - b.p)), 0) AS l FROM pr a LEFT JOIN pr b ON a.i = b.i AND a.start_frame <= b.end_frame AND b.start_frame <= a.end_frame AND a.tracklet_id <> b.tracklet_id GROUP BY 1, 2, 3),
+m AS (SELECT *, max(ln(p) + l) OVER (PARTITION BY tracklet_id) AS top FROM c)
+SELECT tracklet_id, CAST(i AS INT) AS identity, round(exp(ln(p) + l - top) / sum(exp(ln(p) + l - top)) OVER (PARTITION BY tracklet_id), 4) AS certainty FROM m""", "tre")
+def identity_certainties(spark, d):
+    """How sure each identity of each tracklet is, given what overlapping tracklets claim, for any number of identities (M9, M8).
+
+    Logarithms are added up by frame: the claims of overlapping ones are those active at a tracklet's start and those that start later within it.
+    """
+    rows = intervals.tracklet_regions(S.unique_detections(spark, d)).select("tracklet_id", "frame", "pos", "y")
+    e = [F.exp(-F.abs(F.col("y") - c) / _WIDTH) for c in _CENTRES]
+    total = sum(e[1:], e[0])
+    s = rows.groupBy("tracklet_id").agg(*[F.sum(x / total).alias(f"s{i}") for i, x in enumerate(e)])
+    each = F.array(*[F.struct(F.lit(i).alias("identity"), F.least(F.lit(0.9999999999), 1 / sum((F.pow(F.lit(2.0), F.col(f"s{j}") - F.col(f"s{i}")) for j in _ALL), F.lit(0.0))).alias("p")) for i in _ALL])
+    own = s.select("tracklet_id", F.inline(each)).withColumn("l", F.log(1 - F.col("p")))
+    met = rows.select("tracklet_id", "frame", "pos").join(own, "tracklet_id")
+    per = met.groupBy("frame", "identity").agg(F.sum("l").alias("active"), F.sum(F.when(F.col("pos") == 0, F.col("l")).otherwise(0.0)).alias("begun"))
+    claims = met.join(per, ["frame", "identity"]).groupBy("tracklet_id", "identity", "p", "l").agg(F.sum(F.when(F.col("pos") == 0, F.col("active")).otherwise(F.col("begun"))).alias("t"))
+    w = Window.partitionBy("tracklet_id")
+    v = F.log("p") + F.col("t") - F.col("l")
+    share = F.exp(v - F.max(v).over(w))
+    return claims.select("tracklet_id", "identity", _r(share / F.sum(share).over(w)).alias("certainty"))
+
+
 @query("""SELECT tracklet_id, n, frame, active FROM (SELECT t.tracklet_id, t.n, c.frame, c.active, row_number() OVER (PARTITION BY t.tracklet_id ORDER BY c.active DESC, c.frame) AS k
 FROM tr t JOIN (SELECT frame, count(*) AS active FROM du GROUP BY frame) c ON c.frame BETWEEN t.start_frame AND t.end_frame) WHERE k = 1""", "tr")
 def biggest_sets(spark, d):
