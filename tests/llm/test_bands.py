@@ -60,3 +60,20 @@ def test_pipeline_leaves_its_result_only(spark):
         stored(spark.range(3), "gone")
         1 / 0  # noqa: B018
     assert len(set(os.listdir(at)) - before) == 1
+
+
+def test_next_texts_with_many_null_and_repeated_ids(spark, monkeypatch):
+    """Half of the ids null, a third of the rest one id: each row's next is the one behind it in the order of ids and texts."""
+    from collections import Counter
+
+    from trackweave.llm import fingerprint
+
+    monkeypatch.setattr(fingerprint, "DOCS_PER_BUCKET", 10)
+    rng = random.Random(3)
+    rows = [(None if i % 2 else 50 if i % 6 == 0 else i, f"t{rng.randrange(1000)}") for i in range(300)]
+    got = fingerprint.with_next(spark.createDataFrame(rows, "doc_id int, text string").repartition(5), "doc_id", "text")
+    ghosts = got.filter("ghost").groupBy("bucket").count().collect()
+    assert len(ghosts) > 5 and all(r["count"] == 1 for r in ghosts)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    want = Counter((*r, order[(i + 1) % len(order)][1]) for i, r in enumerate(order))
+    assert Counter((r["id"], r["text"], r["next_text"]) for r in got.filter("NOT ghost").collect()) == want

@@ -43,7 +43,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     Rows go to ranges of ids once; each range also gets a copy of the next range's first row,
     so that no range needs another and no task holds the whole order. Null ids come first;
-    rows of one id follow in the order of their texts.
+    rows of one id follow in the order of their texts. An empty table has no rows; other columns are ignored.
     """
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n, nulls, least = base.agg(F.count(F.lit(1)), F.count_if(F.col("id").isNull()), F.min("id")).first()
@@ -70,7 +70,9 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     is_first = F.col("id").isin(firsts) if firsts else F.lit(False)
     if nulls:
         is_first = is_first | F.col("id").isNull()
-    ghosts = own.filter(F.coalesce(is_first, F.lit(False))).withColumn("ghost", F.lit(True))
+    # One row for each range, however many have its first id or none; each task finds its least first.
+    first = own.filter(F.coalesce(is_first, F.lit(False))).groupBy("bucket").agg(F.min(F.struct(F.col("id").isNotNull().alias("named"), "id", "text")).alias("r"))
+    ghosts = first.select("r.id", "r.text", "bucket", F.lit(True).alias("ghost"))
     ghosts = ghosts.withColumn("bucket", F.when(F.col("bucket") == 0, F.lit(len(cuts))).otherwise(F.col("bucket") - 1))
     order = Window.partitionBy("bucket").orderBy("ghost", F.col("id").asc_nulls_first(), "text")
     return own.unionByName(ghosts).select("*", F.lead("text").over(order).alias("next_text"))
@@ -81,7 +83,7 @@ def edit_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     The edited text has its last quarter (rounded down) replaced by the first as many characters
     of the next document. Null texts count as empty; a single document is its own next one;
-    repeated rows each get a row.
+    repeated rows each get a row; an empty table gives none; other columns are ignored.
     """
     df = with_next(docs, id_col, text_col)
     order = Window.partitionBy("bucket").orderBy("ghost", F.col("id").asc_nulls_first(), "text")
