@@ -27,9 +27,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cache begins empty, so that each run counts all texts."""
-    cache = f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}"
-    counts = token_count.count_tokens(_documents(spark, sf_dir), cache, public_tokenizers.path("byte_bpe_50k.json"))
+    """Two arrivals: the cache begins empty and is filled by half of the texts; the whole table then meets their counts and adds the rest."""
+    cache, tokenizer = f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}", public_tokenizers.path("byte_bpe_50k.json")
+    docs = _documents(spark, sf_dir)
+    token_count.count_tokens(docs.filter(F.xxhash64(F.coalesce("text", F.lit(""))) > 0), cache, tokenizer)
+    counts = token_count.count_tokens(docs, cache, tokenizer)
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
