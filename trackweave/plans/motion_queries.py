@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from trackweave.functions import geometry as G
 from trackweave.operators import graph, intervals
-from trackweave.plans.queries import CTE, NEEDS, _edges, _in_reach, _r, _written, query
+from trackweave.plans.queries import CTE, NEEDS, QUERIES, SQL, _edges, _in_reach, _r, _written, query
 from trackweave.sources import tables as S
 
 CTE |= {
@@ -445,3 +445,22 @@ def identity_minorities(spark, d):
     v = _id_sets(spark, d).groupBy("id", "run", "ids").agg(F.count(F.lit(1)).alias("m"))
     b = v.groupBy("id", "run").agg(F.sum("m").alias("n"), F.max("m").alias("most"), F.count(F.lit(1)).alias("sets"))
     return b.groupBy("sets").agg(F.count(F.lit(1)).alias("tracklets"), F.sum("n").alias("frames"), _r(F.sum(F.col("n") - F.col("most")) / F.sum("n"), 6).alias("minority"))
+
+
+_SCORED = SQL["identity_scores"]
+
+
+@query(f"""SELECT experiment, make_timestamp(2024, 1, CAST(day AS BIGINT), 12, 30, 0) AS datetime, n_gt, n_pred, idtp, idf1, round(idf1 - lag(idf1) OVER (ORDER BY day), 6) AS gain
+FROM (VALUES ('240101_1230_all', 1), ('240102_1230_again', 2)) e(experiment, day), ({_SCORED}) s""")
+def evaluation_round_trip(spark, d):
+    """Metrics of two experiments saved as files and discovered again below their folder, tagged by name and date, in the order of dates (SNK5, SRC10, SRC11, W21)."""
+    path = _folder(spark, "experiments")
+    scores = _written(spark)(QUERIES["identity_scores"](spark, d))
+    for name in ("240102_1230_again", "240101_1230_all"):
+        S.write_evaluation(scores, f"{path}/{name}")
+    rows = S.read_evaluations(spark, path)
+    w = Window.orderBy("datetime")  # a row for each experiment
+    return rows.select(
+        "experiment", "datetime", *[F.col(c).cast("bigint").alias(c) for c in ("n_gt", "n_pred", "idtp")], F.col("idf1").cast("double").alias("idf1"),
+        _r(F.col("idf1").cast("double") - F.lag(F.col("idf1").cast("double")).over(w), 6).alias("gain"),
+    )

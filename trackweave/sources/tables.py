@@ -101,6 +101,17 @@ def read_wide(spark: SparkSession, path: str, separator: str = ",") -> DataFrame
     return wide.select("row", F.inline(cells))
 
 
+def write_evaluation(metrics: DataFrame, folder: str) -> None:
+    """Metrics as ``evaluation.csv`` in an experiment's folder: one file by its form, of a row or a few."""
+    spark = metrics.sparkSession
+    metrics.coalesce(1).write.option("header", True).csv(f"{folder}/written")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(s.getPath() for s in fs.listStatus(path(f"{folder}/written")) if s.getPath().getName().startswith("part-"))
+    fs.rename(part, path(f"{folder}/evaluation.csv"))
+    fs.delete(path(f"{folder}/written"), True)
+
+
 def read_evaluations(spark: SparkSession, folder: str) -> DataFrame:
     """All evaluation CSVs below a folder, tagged by data set, experiment and the date in its name."""
     rows = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "evaluation.csv").csv(folder)
