@@ -100,12 +100,79 @@ def pair_features(spark, d):
 SELECT least(9, CAST(floor((d - d0) / (d1 - d0) * 10) AS INT)) AS bd, least(9, CAST(floor((a - a0) / (a1 - a0) * 10) AS INT)) AS ba, least(9, CAST(floor((c - c0) / (c1 - c0) * 10) AS INT)) AS bc, count(*) AS n FROM moves, e GROUP BY 1, 2, 3""", "moves")
 def movement_histogram(spark, d):
     """Three-dimensional histogram of movement descriptors, ten bins each, the last one closed."""
+    return _histogram(spark, d)[0]
+
+
+def _histogram(spark, d):
+    """Bins of movement descriptors with their numbers, and the ends of the three axes (one row)."""
     w = Window.partitionBy("tracklet_id").orderBy("frame")
     t = _steps(spark, d).withColumns({"p": F.lead("dx").over(w), "q": F.lead("dy").over(w), "s": _length()}).filter("s > 0 AND p IS NOT NULL")
-    t = t.selectExpr("sqrt(p * p + q * q) AS d", "(dx * p + dy * q) / s AS a", "(dx * q - dy * p) / s AS c")
+    t = t.selectExpr(*_SEEN)
     ends = t.agg(*[f(c).alias(f"{c}{i}") for c in "dac" for i, f in enumerate((F.min, F.max))])
-    part = lambda c: F.least(F.lit(9), F.floor((F.col(c) - F.col(f"{c}0")) / (F.col(f"{c}1") - F.col(f"{c}0")) * 10).cast("int")).alias(f"b{c}")
-    return t.crossJoin(F.broadcast(ends)).groupBy(*map(part, "dac")).agg(F.count(F.lit(1)).alias("n"))
+    return t.crossJoin(F.broadcast(ends)).groupBy(*map(_bin, "dac")).agg(F.count(F.lit(1)).alias("n")), ends
+
+
+#: A step (p, q) seen along the one before (dx, dy) of length s: its length, the part along that and across.
+_SEEN = ("sqrt(p * p + q * q) AS d", "(dx * p + dy * q) / s AS a", "(dx * q - dy * p) / s AS c")
+
+
+def _bin(c: str):
+    return F.least(F.lit(9), F.floor((F.col(c) - F.col(f"{c}0")) / (F.col(f"{c}1") - F.col(f"{c}0")) * 10).cast("int")).alias(f"b{c}")
+
+
+_BINS = ", ".join(f"least(9, CAST(floor(({c} - {c}0) / ({c}1 - {c}0) * 10) AS INT)) AS b{c}" for c in "dac")
+_DENSITY = f"""ax AS (SELECT {", ".join(f"{f}({c}) AS {c}{i}" for c in "dac" for i, f in enumerate(("min", "max")))} FROM moves),
+h AS (SELECT {_BINS}, count(*) AS n FROM moves, ax GROUP BY 1, 2, 3), top AS (SELECT max(n) AS most FROM h),
+ed AS (SELECT e.src, e.dst, e.score, s.tracklet_id, sqrt(s.dx * s.dx + s.dy * s.dy) AS s, s.dx, s.dy, q.x - s.x AS p, q.y - s.y AS q FROM edges e JOIN steps s ON s.region_id = e.src JOIN du q ON q.region_id = e.dst WHERE s.dx IS NOT NULL),
+el AS (SELECT src, dst, score, tracklet_id, sqrt(p * p + q * q) AS d, (dx * p + dy * q) / s AS a, (dx * q - dy * p) / s AS c FROM ed WHERE s > 0),
+den AS (SELECT src, dst, score, tracklet_id, coalesce(n, 0) / most AS density FROM (SELECT src, dst, score, tracklet_id, {_BINS} FROM el, ax WHERE {" AND ".join(f"{c} BETWEEN {c}0 AND {c}1" for c in "dac")}) LEFT JOIN h USING (bd, ba, bc), top
+  UNION ALL SELECT src, dst, score, tracklet_id, 0 FROM el, ax WHERE NOT ({" AND ".join(f"{c} BETWEEN {c}0 AND {c}1" for c in "dac")}))"""
+#: From this ratio of the best to the second-best density on a way is sure, and below this density no way is usual.
+SURE_RATIO, RARE = 100.0, 0.01
+
+
+def _densities(spark, d):
+    """Edges whose source has a step behind it, with how usual the next step would be: the density of its bin, the densest being 1; 0 outside."""
+    bins, ends = _histogram(spark, d)
+    s = _steps(spark, d).withColumn("s", _length()).filter("dx IS NOT NULL AND s > 0").select(F.col("region_id").alias("src"), "tracklet_id", "x", "y", "dx", "dy", "s")
+    q = S.unique_detections(spark, d).select(F.col("region_id").alias("dst"), F.col("x").alias("qx"), F.col("y").alias("qy"))
+    e = _edges(spark, d).select("src", "dst", "score").join(s, "src").join(q, "dst").withColumns({"p": F.col("qx") - F.col("x"), "q": F.col("qy") - F.col("y")})
+    e = e.selectExpr("src", "dst", "score", "tracklet_id", *_SEEN).crossJoin(F.broadcast(ends))
+    inside = F.expr(" AND ".join(f"{c} BETWEEN {c}0 AND {c}1" for c in "dac"))
+    e = e.select("src", "dst", "score", "tracklet_id", *[F.when(inside, _bin(c)).alias(f"b{c}") for c in "dac"])
+    # at most a thousand bins
+    bins = bins.crossJoin(F.broadcast(bins.agg(F.max("n").alias("most")))).select("bd", "ba", "bc", (F.col("n") / F.col("most")).alias("density"))
+    return e.join(F.broadcast(bins), ["bd", "ba", "bc"], "left").select("src", "dst", "score", "tracklet_id", F.coalesce("density", F.lit(0.0)).alias("density"))
+
+
+@query(f"WITH {_DENSITY} SELECT src, dst, round(density, 6) AS density, round(greatest(score, density), 6) AS score FROM den", "du tre edges moves steps")
+def histogram_scores(spark, d):
+    """Edges scored by how usual their movement is, looked up in the histogram of all movements; the better of both scores."""
+    return _densities(spark, d).select("src", "dst", _r(F.col("density"), 6).alias("density"), _r(F.greatest("score", "density"), 6).alias("score"))
+
+
+@query(f"WITH {_DENSITY} SELECT src, count(*) AS ways, round(max(density), 6) AS best FROM den GROUP BY src HAVING max(density) < {RARE}", "du tre edges moves steps")
+def unusual_passings(spark, d):
+    """Regions none of whose ways on is a usual movement: cases to look at."""
+    return _densities(spark, d).groupBy("src").agg(F.count(F.lit(1)).alias("ways"), F.max("density").alias("best")).filter(F.col("best") < RARE).withColumn("best", _r(F.col("best"), 6))
+
+
+@query(f"""WITH {_DENSITY}, w2 AS (SELECT tracklet_id, src, dst, density, row_number() OVER (PARTITION BY src ORDER BY density DESC, dst) AS k, lead(density) OVER (PARTITION BY src ORDER BY density DESC, dst) AS second FROM den),
+gl AS (SELECT w2.tracklet_id AS a, t.tracklet_id AS b FROM w2 JOIN tre t ON t.region_id = w2.dst AND t.pos = 0 JOIN tre e ON e.region_id = w2.src WHERE k = 1 AND density > {SURE_RATIO} * coalesce(second, 0) AND density > 0
+  AND NOT EXISTS (SELECT 1 FROM tre n WHERE n.tracklet_id = e.tracklet_id AND n.pos = e.pos + 1) QUALIFY count(*) OVER (PARTITION BY t.tracklet_id) = 1),
+walk AS (SELECT a AS head, a AS v, 0 AS hops FROM gl WHERE a NOT IN (SELECT b FROM gl) UNION ALL SELECT w.head, gl.b, w.hops + 1 FROM walk w JOIN gl ON gl.a = w.v)
+SELECT head, count(*) AS tracklets, max(v) AS last FROM walk GROUP BY head""", "du tre edges moves steps", recursive=True)
+def grown_tracklets(spark, d):
+    """Tracklets put together where one way on from an end is by far the most usual and no other end claims it (X57); paths are contracted."""
+    by = Window.partitionBy("src").orderBy(F.col("density").desc(), "dst")
+    e = _densities(spark, d).withColumns({"k": F.row_number().over(by), "second": F.lead("density").over(by)}).filter("k = 1")
+    e = e.filter((F.col("density") > SURE_RATIO * F.coalesce("second", F.lit(0.0))) & (F.col("density") > 0))
+    t = intervals.tracklet_regions(S.unique_detections(spark, d))
+    end = t.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("tracklet_id"))).filter("pos = n - 1").select(F.col("region_id").alias("src"))
+    first = t.filter("pos = 0").select(F.col("region_id").alias("dst"), F.col("tracklet_id").alias("b"))
+    links = e.join(end, "src").join(first, "dst").select(F.col("tracklet_id").alias("src"), F.col("b").alias("dst"))
+    links = _written(spark)(links.withColumn("claims", F.count(F.lit(1)).over(Window.partitionBy("dst"))).filter("claims = 1").drop("claims"))
+    return graph.contract_paths(links, _written(spark)).groupBy("head").agg(F.count(F.lit(1)).alias("tracklets"), F.max("vertex").alias("last"))
 
 
 @query("""SELECT l AS level, block, least(9, CAST(floor((y - lo) / greatest(hi - lo, 1e-12) * 10) AS INT)) AS bin, count(*) AS n FROM (SELECT *, min(y) OVER (PARTITION BY l, block) AS lo, max(y) OVER (PARTITION BY l, block) AS hi
