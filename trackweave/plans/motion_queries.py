@@ -497,6 +497,37 @@ def detection_files(spark, d):
     return spark.read.option("header", True).schema("frame int, x double, y double, width bigint, height bigint").csv(path)
 
 
+@query("SELECT tracklet_id, CAST(pos AS INT) AS pos, region_id FROM tre", "tre")
+def tracklet_json_round_trip(spark, d):
+    """Tracklets as JSON lines of their regions in order, written and read again (SRC4)."""
+    path = _folder(spark, "tracklets-json")
+    S.write_tracklets_json(intervals.tracklet_regions(S.unique_detections(spark, d)), path)
+    return S.read_tracklets_json(spark, path)
+
+
+@query("SELECT d.region_id, count(e.dst) AS n_out, min(e.dst) AS first_dst, round(sum(e.score), 6) AS score FROM du d LEFT JOIN edges e ON e.src = d.region_id GROUP BY 1", "du edges")
+def graph_json_round_trip(spark, d):
+    """The region graph as JSON lines, written and read again: each vertex with the number, first and summed score of its edges (SRC3)."""
+    path = _folder(spark, "graph-json")
+    S.write_graph_json(_edges(spark, d), S.unique_detections(spark, d), path)
+    vertices, edges = S.read_graph_json(spark, path)
+    out = edges.groupBy(F.col("src").alias("region_id")).agg(F.count("dst").alias("n"), F.min("dst").alias("first_dst"), _r(F.sum("score"), 6).alias("score"))
+    return vertices.join(out, "region_id", "left").select("region_id", F.coalesce("n", F.lit(0)).alias("n_out"), "first_dst", "score")
+
+
+@query("SELECT frame, obj_id // 8 AS sequence, CAST(obj_id % 8 AS INT) AS id, x, y FROM du", "du")
+def position_text_round_trip(spark, d):
+    """Positions in the text form of other trackers, one file for each sequence of eight objects, written and read again (SRC8)."""
+    path, n = _folder(spark, "positions"), 8
+    r = S.unique_detections(spark, d).withColumns({"sequence": F.expr(f"obj_id DIV {n}").cast("int"), "i": F.col("obj_id") % n})
+    cell = lambda i, c: F.max(F.when(F.col("i") == i, F.col(c)))
+    nan = F.lit(float("nan"))
+    cells = [x for i in range(n) for x in (F.coalesce(cell(i, "x"), nan).alias(f"x{i}"), F.coalesce(cell(i, "y"), nan).alias(f"y{i}"), F.lit(1.0).alias(f"p{i}"))]
+    r.groupBy("sequence", "frame").agg(*cells).write.partitionBy("sequence").option("sep", "\t").option("header", True).csv(path)
+    rows = S.read_position_text(spark, path, n, ["sequence"])
+    return rows.select("frame", F.col("sequence").cast("int").alias("sequence"), "id", "x", "y")
+
+
 @query("SELECT frame, CAST(tracklet_id AS INT) AS id, x, y FROM tre", "tre")
 def tracklet_mot_round_trip(spark, d):
     """Tracklets as a MOT table, each under its own id, written and read again."""

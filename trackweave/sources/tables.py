@@ -72,6 +72,46 @@ def write_detections(regions: DataFrame, path: str) -> None:
     out.sortWithinPartitions("frame").write.mode("overwrite").option("header", True).csv(path)
 
 
+TRACKLETS_JSON = "tracklet_id bigint, nodes array<bigint>"
+GRAPH_JSON = "vertex bigint, out array<struct<dst:bigint,score:double>>"
+
+
+def write_tracklets_json(rows: DataFrame, path: str) -> None:
+    """Tracklets as JSON lines, each with its regions in order. ``rows``: ``tracklet_id``, ``pos``, ``region_id``."""
+    nodes = F.sort_array(F.collect_list(F.struct("pos", "region_id")))["region_id"].alias("nodes")
+    rows.groupBy("tracklet_id").agg(nodes).write.mode("overwrite").json(path)
+
+
+def read_tracklets_json(spark: SparkSession, path: str) -> DataFrame:
+    """``tracklet_id``, ``pos`` and ``region_id`` of JSON lines; a tracklet without regions has no row."""
+    rows = spark.read.schema(TRACKLETS_JSON).json(path)
+    return rows.select("tracklet_id", F.posexplode("nodes").alias("pos", "region_id"))
+
+
+def write_graph_json(edges: DataFrame, vertices: DataFrame, path: str) -> None:
+    """The region graph as JSON lines: each vertex (``region_id``) with its edges (``src``, ``dst``, ``score``) in order of their targets."""
+    out = edges.groupBy(F.col("src").alias("vertex")).agg(F.sort_array(F.collect_list(F.struct("dst", "score"))).alias("out"))
+    vertices.select(F.col("region_id").alias("vertex")).join(out, "vertex", "left").write.mode("overwrite").json(path)
+
+
+def read_graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Vertices (``region_id``) and edges of a graph's JSON lines."""
+    rows = spark.read.schema(GRAPH_JSON).json(path)
+    return rows.select(F.col("vertex").alias("region_id")), rows.select(F.col("vertex").alias("src"), F.inline("out"))
+
+
+def read_position_text(spark: SparkSession, path: str, objects: int, folders: list[str] | None = None) -> DataFrame:
+    """Another tracker's text: tab-separated lines of a frame number and x, y and certainty of each object; missing places (NaN) give no row.
+
+    ``folders`` names the columns that the folders of the files stand for.
+    """
+    cells = ", ".join(f"x{i} double, y{i} double, p{i} double" for i in range(objects))
+    more = "".join(f", {c} string" for c in folders or [])
+    rows = spark.read.schema(f"frame int, {cells}{more}").option("sep", "\t").option("nanValue", "NaN").option("header", True).csv(path)
+    each = F.array(*[F.struct(F.lit(i).alias("id"), F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y"), F.col(f"p{i}").alias("certainty")) for i in range(objects)])
+    return rows.select("frame", *(folders or []), F.inline(each)).filter("x IS NOT NULL AND NOT isnan(x)")
+
+
 def save_project(tables: dict[str, DataFrame], path: str) -> None:
     """A project folder: one Parquet table for each name."""
     for name, df in tables.items():
