@@ -446,6 +446,20 @@ def voted_permutation(spark, d):
     return v.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("m"), "pred_id")).alias("b")).selectExpr("id", "b.pred_id", "-b.m AS n")
 
 
+@query(f"""WITH {_CONSISTENT}, k AS (SELECT * FROM co WHERE sets = 1 AND ids <> ''), st AS (SELECT DISTINCT frame, ids FROM se)
+SELECT k.id, k.start_frame, k.n, EXISTS (SELECT 1 FROM st WHERE st.frame = k.start_frame - 1 AND st.ids = k.ids) AS before, EXISTS (SELECT 1 FROM st WHERE st.frame = k.start_frame + k.n AND st.ids = k.ids) AS after FROM k""", "hits")
+def extendable_tracklets(spark, d):
+    """Predicted tracklets of one true id set throughout, and whether a prediction of the frame before or behind holds exactly that set: those that could be longer."""
+    rows = _written(spark)(_id_sets(spark, d))
+    sets = rows.select("frame", "ids").distinct()
+    t = rows.groupBy("id", "run").agg(F.min("frame").alias("start_frame"), F.count(F.lit(1)).alias("n"), F.countDistinct("ids").alias("sets"), F.min("ids").alias("ids")).filter("sets = 1 AND ids <> ''")
+    side = lambda step, name: sets.select((F.col("frame") + step).alias(f"{name}_frame"), "ids", F.lit(True).alias(name))
+    t = t.withColumns({"before_frame": F.col("start_frame"), "after_frame": (F.col("start_frame") + F.col("n")).cast("int")})
+    t = t.join(side(1, "before"), ["before_frame", "ids"], "left").join(side(0, "after"), ["after_frame", "ids"], "left")
+    there = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    return t.select("id", "start_frame", "n", there("before"), there("after"))
+
+
 # Files
 
 #: Objects that a line of a wide file holds.
