@@ -12,6 +12,7 @@ Lines are known by 128 bits of hash: two of a million million distinct lines mee
 
 from __future__ import annotations
 
+import re
 import uuid
 from functools import reduce
 
@@ -66,10 +67,12 @@ class LineRuns:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def _complete(self) -> list[tuple[int, int, int]]:
+        """Runs in the folder both of whose tables were written to the end."""
         fs, at = self._fs(self.folder)
         names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
-        done = [n for n in names if n != "counts" and all(self._fs(f"{self.folder}/{n}/{part}/_SUCCESS")[0].exists(self._fs(f"{self.folder}/{n}/{part}/_SUCCESS")[1]) for part in ("open", "common"))]
-        return [tuple(map(int, n.split("-"))) for n in done]
+        runs = [n for n in names if re.fullmatch(r"\d+-\d+-\d+", n)]
+        done = lambda n, part: fs.exists(self._fs(f"{self.folder}/{n}/{part}/_SUCCESS")[1])
+        return [tuple(map(int, n.split("-"))) for n in runs if done(n, "open") and done(n, "common")]
 
     def _register(self, run: tuple[int, int, int]) -> None:
         name = self.names[run] = f"line_runs_{uuid.uuid4().hex}"

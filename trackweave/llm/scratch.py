@@ -49,7 +49,7 @@ def cleared(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        _WRITTEN.remove(mine)
+        _WRITTEN.pop()
         for path in mine:
             removed(spark, path)
 
