@@ -42,7 +42,7 @@ def merged_boxes(boxes: DataFrame, write: Callable[[DataFrame], DataFrame], size
     ``boxes``: ``frame``, ``box_id`` (unique) and the corners ``x1``, ``y1``, ``x2``, ``y2``; edges count, so boxes that
     share a corner touch. Merging only grows boxes, so any order ends at the same ones. A round finds the
     components of touching boxes: first those that share a lattice point (crowds, without pairs), from a
-    coarse lattice to a fine one, then the rest in pairs. The rounds end when none touch, at most with one box a frame.
+    coarse lattice to a fine one, then the rest in pairs. The rounds end when no pair touches, at most with one box a frame.
     """
     b = write(boxes.select("frame", "box_id", "x1", "y1", "x2", "y2", F.lit(1).cast("bigint").alias("n")))
     steps = [lambda x: _at_points(x, size), lambda x: _at_points(x, max(1, size // 4)), lambda x: _in_pairs(x, size)]
@@ -55,5 +55,4 @@ def merged_boxes(boxes: DataFrame, write: Callable[[DataFrame], DataFrame], size
         found = connected_components(links, write)
         named = b.join(found, b["box_id"] == found["vertex"], "left").withColumn("box_id", F.coalesce("component", "box_id"))
         b = write(named.groupBy("frame", "box_id").agg(*[f(c).alias(c) for f, c in ((F.min, "x1"), (F.min, "y1"), (F.max, "x2"), (F.max, "y2"), (F.sum, "n"))]))
-        at = 0 if at == len(steps) - 1 else at
     return b

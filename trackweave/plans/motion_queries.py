@@ -433,7 +433,7 @@ def worst_errors(spark, d):
 
 @query("SELECT frame, id, pred_id FROM hits QUALIFY count(*) OVER (PARTITION BY frame, pred_id) = 1", "hits")
 def single_matches(spark, d):
-    """Predictions that exactly one true object matches."""
+    """Predictions that exactly one true object matches."""
     h = _hits(spark, d)
     one = h.groupBy("frame", "pred_id").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).filter("n = 1")
     return one.select("frame", "id", "pred_id")

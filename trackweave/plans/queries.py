@@ -118,7 +118,7 @@ def touching_boxes(spark, d):
 @query("""SELECT region_id, greatest(0, roi_x - 3) AS ex, greatest(0, roi_y - 3) AS ey, roi_w + 6 AS ew, roi_h + 6 AS eh, least(greatest(region_id % 100, roi_x), roi_x + roi_w - 1) AS cx,
 CAST(roi_w * roi_h AS BIGINT) AS n_points, roi_x * roi_h * roi_w + roi_h * roi_w * (roi_w - 1) // 2 AS sum_x FROM reg""", "reg")
 def box_arithmetic(spark, d):
-    """Expanded and clamped boxes, and boxes as runs decoded to points."""
+    """Expanded and clamped boxes, and boxes as runs decoded to points."""
     r = S.regions(spark, d)
     runs = F.transform(F.sequence(F.col("roi_y"), F.col("roi_y") + F.col("roi_h") - 1), lambda v: F.struct(v.alias("line"), F.col("roi_x").alias("col1"), (F.col("roi_x") + F.col("roi_w") - 1).alias("col2")))
     r = r.withColumn("pts", G.runs_to_points(runs))
@@ -551,7 +551,7 @@ def extreme_tracklets(spark, d):
 
 @query("""SELECT round(quantile_cont(value, 0.8), 4) AS p80, round(max(value), 4) AS top, event_type FROM events GROUP BY event_type""")
 def background_levels(spark, d):
-    """80th percentile and maximum of each group, as for background pixels."""
+    """80th percentile and maximum of each group, as for background pixels."""
     return S.table(spark, d, "events").groupBy("event_type").agg(_r(F.percentile("value", 0.8)).alias("p80"), _r(F.max("value")).alias("top"))
 
 
@@ -595,7 +595,7 @@ def movement_descriptors(spark, d):
 
 @query("SELECT label, CAST(i - 1 AS INT) AS dim, round(avg(v), 5) AS mean, count(*) AS n FROM ev GROUP BY label, i", "ev")
 def mean_descriptors(spark, d):
-    """Mean descriptor of each identity."""
+    """Mean descriptor of each identity."""
     e = S.table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("dim", "v"))
     return e.groupBy("label", "dim").agg(F.round(F.avg(F.col("v").cast("double")), 5).alias("mean"), F.count(F.lit(1)).alias("n"))
 

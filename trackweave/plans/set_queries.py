@@ -150,7 +150,7 @@ def tracklet_links(spark, d):
 @query("""SELECT coalesce(i.b, o.a) AS tracklet_id, coalesce(n_in, 0) AS n_in, coalesce(n_out, 0) AS n_out, i.ids AS before, o.ids AS after
 FROM (SELECT b, count(*) AS n_in, array_to_string(list_sort(list(a)), ',') AS ids FROM tl GROUP BY b) i FULL JOIN (SELECT a, count(*) AS n_out, array_to_string(list_sort(list(b)), ',') AS ids FROM tl GROUP BY a) o ON i.b = o.a""", "tl")
 def neighbour_maps(spark, d):
-    """Predecessors and successors of each tracklet in the region graph, as maps."""
+    """Predecessors and successors of each tracklet in the region graph, as maps."""
     links = _links(spark, d)
     ids = lambda c: F.array_join(F.array_sort(F.collect_list(c)), ",")
     i = links.groupBy(F.col("b").alias("tracklet_id")).agg(F.count(F.lit(1)).alias("n_in"), ids("a").alias("before"))
@@ -344,7 +344,7 @@ def track_spans(spark, d):
 
 @query("""SELECT track, count(*) AS tracklets, count(*) FILTER (WHERE start_frame <= before) AS overlaps FROM (SELECT obj_id // 2 AS track, start_frame, max(end_frame) OVER (PARTITION BY obj_id // 2 ORDER BY start_frame, tracklet_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM tr) GROUP BY track""", "tr")
 def track_consistency(spark, d):
-    """Tracks put together of two objects each: tracklets that begin before an earlier one has ended."""
+    """Tracks put together of two objects each: tracklets that begin before an earlier one has ended."""
     t = intervals.islands(S.unique_detections(spark, d)).withColumn("track", F.expr("obj_id DIV 2").cast("int"))
     before = F.max("end_frame").over(Window.partitionBy("track").orderBy("start_frame", "tracklet_id").rowsBetween(Window.unboundedPreceding, -1))
     t = t.withColumn("before", before)
