@@ -89,6 +89,17 @@ def runs_to_points(runs: Column) -> Column:
     return F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(r["col1"], r["col2"]), lambda c: F.struct(r["line"].alias("y"), c.alias("x")))))
 
 
+def in_ellipse(px: Column, py: Column, x: Column, y: Column, major: Column, minor: Column, theta: Column) -> Column:
+    """Whether a pixel lies inside an ellipse, its edge included."""
+    dx, dy, c, s = px - x, py - y, F.cos(theta), F.sin(theta)
+    return (dx * c - dy * s) ** 2 / major**2 + (dx * s + dy * c) ** 2 / minor**2 <= 1 + 1e-9
+
+
+def turned_by(a: Column, b: Column) -> Column:
+    """Degrees between two directions, up to 180."""
+    return F.least(F.abs(a - b) % 360, 360 - F.abs(a - b) % 360)
+
+
 def rotate(points: Column, angle: Column, cx: Column, cy: Column) -> Column:
     """Points turned around a centre, rounded to whole pixels."""
     s, c = F.sin(angle), F.cos(angle)

@@ -460,6 +460,60 @@ def extendable_tracklets(spark, d):
     return t.select("id", "start_frame", "n", there("before"), there("after"))
 
 
+# Pixels of regions, as their ellipses fill them
+
+_AXES = """sqrt((sxx + syy) / 2 + sqrt(4 * sxy * sxy + (sxx - syy) * (sxx - syy)) / 2) AS major, sqrt(greatest(0.0, (sxx + syy) / 2 - sqrt(4 * sxy * sxy + (sxx - syy) * (sxx - syy)) / 2)) AS minor,
+CASE WHEN -0.5 * atan2(2 * sxy, sxx - syy) < 0 THEN -0.5 * atan2(2 * sxy, sxx - syy) + pi() ELSE -0.5 * atan2(2 * sxy, sxx - syy) END AS theta"""
+_PIXELS = f"""el AS (SELECT region_id, x, y, {_AXES} FROM reg), ln AS (SELECT *, unnest(range(CAST(ceil(y - major) AS INT), CAST(floor(y + major) AS INT) + 1)) AS py FROM el),
+gr AS (SELECT *, unnest(range(CAST(ceil(x - major) AS INT), CAST(floor(x + major) AS INT) + 1)) AS px FROM ln),
+pix AS (SELECT * FROM gr WHERE ((px - x) * cos(theta) - (py - y) * sin(theta)) ** 2 / major ** 2 + ((px - x) * sin(theta) + (py - y) * cos(theta)) ** 2 / minor ** 2 <= 1 + 1e-9)"""
+
+
+def _pixels(spark, d):
+    """A row for each pixel (``px``, ``py``) of a region's ellipse; regions whose ellipse lies between pixels have none."""
+    major, minor = G.ellipse_axes(F.col("sxx"), F.col("syy"), F.col("sxy"))
+    r = S.regions(spark, d).select("region_id", "x", "y", major.alias("major"), minor.alias("minor"), G.orientation(F.col("sxx"), F.col("syy"), F.col("sxy")).alias("theta"))
+    span = lambda c: F.explode(F.sequence(F.ceil(F.col(c) - F.col("major")).cast("int"), F.greatest(F.ceil(F.col(c) - F.col("major")), F.floor(F.col(c) + F.col("major"))).cast("int")))
+    r = r.withColumn("py", span("y")).withColumn("px", span("x"))
+    return r.filter(G.in_ellipse(*[F.col(c) for c in ("px", "py", "x", "y", "major", "minor", "theta")]))
+
+
+@query(f"""WITH {_PIXELS}, st AS (SELECT region_id, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM tre WINDOW w AS (PARTITION BY tracklet_id ORDER BY frame)),
+b AS (SELECT region_id, count(*) AS n, min(px) AS bx, min(py) AS by_, max(px) - min(px) + 1 AS bw, max(py) - min(py) + 1 AS bh, round(avg(px), 6) AS mx, round(avg(py), 6) AS my FROM pix GROUP BY 1),
+h AS (SELECT region_id, bool_or(abs(px - round(nx)) <= 2 AND abs(py - round(ny)) <= 2) AS holds_next FROM pix JOIN st USING (region_id) WHERE nx IS NOT NULL GROUP BY 1)
+SELECT b.*, h.holds_next FROM b LEFT JOIN h USING (region_id)""", "reg tre")
+def pixel_boxes(spark, d):
+    """Each region's pixels: their number, box (F14) and centroid (F19), and whether they hold the tracklet's next centre within two pixels."""
+    w = Window.partitionBy("tracklet_id").orderBy("frame")
+    nxt = intervals.tracklet_regions(S.unique_detections(spark, d)).select("region_id", F.lead("x").over(w).alias("nx"), F.lead("y").over(w).alias("ny"))
+    r = _pixels(spark, d).join(nxt, "region_id", "left")
+    near = (F.abs(F.col("px") - F.round("nx")) <= 2) & (F.abs(F.col("py") - F.round("ny")) <= 2)
+    size = lambda c: (F.max(c) - F.min(c) + 1).cast("bigint")
+    return r.groupBy("region_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("px").alias("bx"), F.min("py").alias("by_"), size("px").alias("bw"), size("py").alias("bh"), _r(F.avg("px"), 6).alias("mx"), _r(F.avg("py"), 6).alias("my"),
+        F.bool_or(F.when(F.col("nx").isNotNull(), near)).alias("holds_next"),
+    )
+
+
+@query(f"""WITH {_PIXELS}, v AS (SELECT *, round(sqrt((px - x) ** 2 + (py - y) ** 2), 6) AS far, degrees(atan2(py - y, px - x)) AS angle FROM pix),
+f AS (SELECT *, first_value(angle) OVER (PARTITION BY region_id ORDER BY far DESC, py, px) AS a1, row_number() OVER (PARTITION BY region_id ORDER BY far DESC, py, px) AS k FROM v),
+g AS (SELECT * FROM f WHERE k > 1 AND least(fmod(abs(angle - a1), 360), 360 - fmod(abs(angle - a1), 360)) > 90 QUALIFY row_number() OVER (PARTITION BY region_id ORDER BY far DESC, py, px) = 1),
+t AS (SELECT f.region_id, f.px AS x1, f.py AS y1, g.px AS x2, g.py AS y2, round(least(fmod(abs(f.angle + degrees(f.theta)), 360), 360 - fmod(abs(f.angle + degrees(f.theta)), 360)), 6) < round(least(fmod(abs(g.angle + degrees(f.theta)), 360), 360 - fmod(abs(g.angle + degrees(f.theta)), 360)), 6) AS straight FROM f JOIN g USING (region_id) WHERE f.k = 1)
+SELECT region_id, CASE WHEN straight THEN x1 ELSE x2 END AS head_x, CASE WHEN straight THEN y1 ELSE y2 END AS head_y, CASE WHEN straight THEN x2 ELSE x1 END AS tail_x, CASE WHEN straight THEN y2 ELSE y1 END AS tail_y FROM t""", "reg")
+def extreme_pixels(spark, d):
+    """Head and tail of each region: its two extreme pixels on different sides."""
+    far = F.round(F.sqrt((F.col("px") - F.col("x")) ** 2 + (F.col("py") - F.col("y")) ** 2), 6)
+    seen = F.struct(far.alias("far"), (-F.col("py")).alias("ny"), (-F.col("px")).alias("nx"), F.degrees(F.atan2(F.col("py") - F.col("y"), F.col("px") - F.col("x"))).alias("angle"))
+    r = _pixels(spark, d).select("region_id", "theta", seen.alias("p"))
+    one = r.groupBy("region_id").agg(F.max("p").alias("one"))
+    other = r.join(one, "region_id").filter(G.turned_by(F.col("p.angle"), F.col("one.angle")) > 90)
+    e = other.groupBy("region_id").agg(F.first("theta").alias("theta"), F.first("one").alias("one"), F.max("p").alias("two"))
+    axis = -F.degrees("theta")
+    straight = F.round(G.turned_by(F.col("one.angle"), axis), 6) < F.round(G.turned_by(F.col("two.angle"), axis), 6)
+    pick = lambda a, b, c: F.when(straight, -F.col(f"{a}.n{c}")).otherwise(-F.col(f"{b}.n{c}"))
+    return e.select("region_id", *[pick(*ends, c).alias(f"{name}_{c}") for name, ends in (("head", ("one", "two")), ("tail", ("two", "one"))) for c in ("x", "y")])
+
+
 # Files
 
 #: Objects that a line of a wide file holds.
