@@ -45,21 +45,21 @@ def test_template_documents_stay_apart(spark):
     assert got == {i: i for i in range(300)} | {1000 + i: i for i in range(0, 300, 50)}
 
 
-def test_pipeline_leaves_its_result_only(spark):
+def test_pipeline_leaves_its_result_only(spark, tmp_path, monkeypatch):
     import os
 
     import corpus_pipeline
-    from trackweave.llm.scratch import cleared, shared_dir, stored
+    from trackweave.llm import scratch
 
-    at = shared_dir(spark).removeprefix("file:")
-    before = set(os.listdir(at))
+    for module in (scratch, corpus_pipeline):
+        monkeypatch.setattr(module, "shared_dir", lambda _: str(tmp_path))
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    left = set(os.listdir(at)) - before
-    assert len(left) == 1 and os.listdir(f"{at}/{left.pop()}") == ["4"] and out.count() > 0
-    with pytest.raises(ZeroDivisionError), cleared(spark):
-        stored(spark.range(3), "gone")
+    (left,) = os.listdir(tmp_path)
+    assert os.listdir(tmp_path / left) == ["4"] and out.count() > 0
+    with pytest.raises(ZeroDivisionError), scratch.cleared(spark):
+        scratch.stored(spark.range(3), "gone")
         1 / 0  # noqa: B018
-    assert len(set(os.listdir(at)) - before) == 1
+    assert os.listdir(tmp_path) == [left]
 
 
 def test_next_texts_with_many_null_and_repeated_ids(spark, monkeypatch):
