@@ -77,3 +77,19 @@ def test_next_texts_with_many_null_and_repeated_ids(spark, monkeypatch):
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     want = Counter((*r, order[(i + 1) % len(order)][1]) for i, r in enumerate(order))
     assert Counter((r["id"], r["text"], r["next_text"]) for r in got.filter("NOT ghost").collect()) == want
+
+
+def test_copies_with_the_same_changes_make_one_pair(spark):
+    """Members of a family that share 30 changed values each make one row, in the first list that holds both, not one in each list."""
+    rng = random.Random(5)
+    rows = []
+    for c in range(60):
+        held = sorted(rng.sample(range(60), 30))
+        rows += [(v, c, 512, 500 - i, c, -1) for i, v in enumerate(held)]
+    e = spark.createDataFrame(rows, ENTRY)
+    every = N._band_pairs(e, e, 512)
+    once = N._band_pairs(N._with_before(e), N._with_before(e), 512)
+    want = set(map(tuple, every.collect()))
+    assert len(want) == 60 * 59 // 2 and every.count() > 5 * len(want)
+    got = list(map(tuple, once.collect()))
+    assert set(got) == want and len(got) < 1.05 * len(want)

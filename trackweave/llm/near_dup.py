@@ -15,8 +15,9 @@ Documents with the same shingle set are one class. Three steps find all links be
 Lists yield pairs in rounds: first every member with the list's leader, then, once components are
 known, the members outside of the list's main component with all others. Those meet by bands of set
 sizes, and only where each side alone has values enough for partners of the other's size, so members
-that share a template without being alike are never joined. Where sketches aren't whole
-sets, bounds are binomial quantiles with a chance below ``TAIL`` to lose a link.
+that share a template without being alike are never joined; and at the first list that holds both, so
+copies with the same changes make one pair, not one for each value of these changes. Where sketches aren't
+whole sets, bounds are binomial quantiles with a chance below ``TAIL`` to lose a link.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from math import comb, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackweave.llm.components import components
@@ -43,6 +44,8 @@ TAIL = 5e-9
 LEADER_ROUNDS, FEW_PAIRS = 3, 4
 #: Bands of set sizes between a set and the largest that is alike enough.
 BANDS = 8
+#: Values before its own that a list entry carries. Pairs that met at one of both sides' aren't made again; a longer way back only makes a pair twice.
+BEFORE = 16
 #: Ids that are broadcast at most to pick rows; beyond, the join shuffles.
 BROADCAST_IDS = 500_000
 #: Bytes of a text that are hashed at a time.
@@ -285,11 +288,27 @@ def _banded(entries: DataFrame, k: int, larger: bool) -> DataFrame:
     return e.filter(F.col("left") >= need - 1e-6)
 
 
+def _with_before(lists: DataFrame) -> DataFrame:
+    """List entries with ``before``: the last values of their class's other entries that precede theirs.
+
+    All classes have their values in one order, so a value that is in two of these was shared first, where
+    more values are left for both: what may reach the overlap here may reach it there.
+    """
+    back = Window.partitionBy("c").orderBy(F.desc("left"), "value").rowsBetween(-BEFORE, -1)
+    return lists.withColumn("before", F.collect_list("value").over(back))
+
+
 def _band_pairs(some: DataFrame, others: DataFrame, k: int) -> DataFrame:
-    """Pairs ``a``, ``b`` of one of ``some`` as the smaller set and one of ``others`` as the larger, of other components, that may reach the overlap."""
-    y = _banded(others, k, True).select("value", "band", "off", F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("left").alias("left2"), F.col("comp").alias("comp2"))
+    """Pairs ``a``, ``b`` of one of ``some`` as the smaller set and one of ``others`` as the larger, of other components, that may reach the overlap.
+
+    With ``before`` on both sides, a pair is made where it meets first.
+    """
+    y = _banded(others, k, True)
+    y = y.select("value", "band", "off", *[F.col(x).alias(f"{x}2") for x in ("c", "n", "left", "comp", "before") if x in y.columns])
     met = _banded(some, k, False).join(y, ["value", "band", "off"])
     first = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("c") < F.col("c2")))
+    if "before" in some.columns and "before" in others.columns:
+        first &= ~F.arrays_overlap("before", "before2")
     return met.filter(first & (F.col("comp") != F.col("comp2")) & _may_reach(k)).select(F.least("c", "c2").alias("a"), F.greatest("c", "c2").alias("b"))
 
 
@@ -306,8 +325,8 @@ def _links(docs: DataFrame, classes: DataFrame, shingle: int, k: int, screen: in
             these, last = lists.withColumn("comp", F.col("c")), False
         else:
             these, work = _apart(lists, components(links))
-            these = stored(these, "lists-apart")
             last = turn == LEADER_ROUNDS or idle or work.first()[0] <= FEW_PAIRS * size
+            these = stored(_with_before(these) if last else these, "lists-apart")
         outside = these if turn == 0 else these.filter("comp <> main")
         if last:
             pairs = _band_pairs(outside, these, k).unionByName(_band_pairs(these.filter("comp = main"), outside, k))
