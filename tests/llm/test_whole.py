@@ -303,3 +303,19 @@ def test_the_pipeline_keeps_and_drops_what_it_should(spark, tmp_path):
     assert "correcthorsebattery" not in "".join(r["text"] for r in steps["secret scan"].collect())
     packed = steps["packing"].groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).collect()
     assert {r["doc_id"] for r in packed} == set(ids("secret scan")) and all(r["n"] >= r["t"] for r in packed)
+
+
+def test_a_word_is_remembered_in_one_form():
+    """Capitals and marks behind a word add nothing to the memo; signs, special strings and other letters have the library's ids."""
+    t = token_memo.tokenizer(WORDS)
+    token_memo._memo.cache_clear()
+    words = [f"gr{a}{b}nt" for a in "abcdefghij" for b in "klmnopqrst"]
+    forms = " ".join(f"{w} {w.title()} {w}, {w}. {w.upper()}; {w}! {w}? {w}:" for w in words)
+    odd = [
+        "a, b", "a,b, c", "x's, y'S. z", 'say ("word"), "no". (yes). end.', "a.. b ... c., d", "_, a_, b", "1, 2. 3; \u00b2, \u00bd.", "a\t, b", " , a", "a ,", "A.\nB,\n\nC",
+        "<|endoftext|>, a", "<|ENDOFTEXT|>, A.", "\u00c9t\u00e9, STRA\u00dfE. \u00b5; \u00aa, \u00ba.", "\u03a3\u0391\u03a3, \u03a3. a", "e\u0301t\u00e9, A\u030a.", "\u0130, I.", "a\u00a0, b", "a\x1c, b\x85. c", "",
+    ]
+    for text in [forms, *odd]:
+        assert list(memoryview(token_memo.dropped_space_ids(WORDS, text)).cast("I")) == t.encode(text, add_special_tokens=False).ids, text
+        if text is forms:
+            assert len(token_memo._memo(WORDS, "", token_memo._packed, True)) <= len(words) + 10

@@ -26,6 +26,10 @@ BYTES = dict(zip((b for b in range(256) if b not in PLAIN), range(0x100, 0x200),
 #: A space between two characters that nobody counts as white space.
 CUT = re.compile(r"(?<=\S)(?= \S)")
 RUN = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
+#: Marks that end a word before a space, and those behind another sign, with which they are one pre-token.
+ENDS = ".,;:!?"
+SIGN_END = re.compile(r"(?:[^\w ]|_)[.,;:!?] ")
+WORD_END = re.compile(r"(?<=[^\W_])([.,;:!?])(?= )")
 
 
 @lru_cache(maxsize=4)
@@ -70,7 +74,8 @@ class _Memo(dict):
             head = piece.rstrip(MARKS)
             if piece.isalpha() and max(piece) < "\u0100":
                 word = piece.lower() if self.folds else piece
-                got = self.value([t.id for t in self.model(self.letter + word.encode().decode("latin-1").translate(BYTES))])
+                word = word if word.isascii() else word.encode().decode("latin-1").translate(BYTES)
+                got = self.value([t.id for t in self.model(self.letter + word)])
             elif head != piece and _stays_letters(head):
                 got = self[head] + _memo(self.path, "", self.value, self.folds)[piece[len(head) :]]
             else:
@@ -92,10 +97,30 @@ def _packed(ids: list[int]) -> bytes:
     return array("I", ids).tobytes()
 
 
+def _folded(text: str) -> str:
+    """Lower-case, with a space before marks that end a word: the memo meets a word in one form instead of many.
+
+    Only for Latin-1, which lower-cases letter by letter and has nothing to compose, and without
+    special strings, which count in their own case only.
+    """
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    if "<|" in text:
+        return text
+    text = f"{text.lower()} "
+    if SIGN_END.search(text):
+        return WORD_END.sub(r" \1", text)
+    for mark in ENDS:
+        text = text.replace(f"{mark} ", f" {mark} ")
+    return text
+
+
 def dropped_space_ids(path: str, text: str) -> bytes:
     """Ids, as unsigned 32-bit numbers, for a tokenizer that drops white space (word_bpe_49k)."""
     memo = _memo(path, "", _packed, True)
-    return b"".join(map(memo.__getitem__, text.replace("\n", " ").split(" ")))
+    return b"".join(map(memo.__getitem__, _folded(text.replace("\n", " ")).split(" ")))
 
 
 def byte_level_count(path: str, text: str) -> int:
