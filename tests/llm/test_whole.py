@@ -319,3 +319,15 @@ def test_a_word_is_remembered_in_one_form():
         assert list(memoryview(token_memo.dropped_space_ids(WORDS, text)).cast("I")) == t.encode(text, add_special_tokens=False).ids, text
         if text is forms:
             assert len(token_memo._memo(WORDS, "", token_memo._packed, True)) <= len(words) + 10
+
+
+def test_texts_are_counted_from_compressed_copies(spark, tmp_path):
+    """What is shuffled of long texts is less than half of them, and counts are the library's."""
+    t = token_memo.tokenizer(BYTES)
+    texts = [*(" ".join(f"word{(i * j) % 97}" for j in range(900)) for i in range(20)), "", "\u00e9\u4f60 \U0001f600\x00 a", "a"]
+    rows = [(i, x) for i, x in enumerate([*texts, *texts[:5], None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    packed = token_count.packed_texts(docs.filter("text IS NOT NULL").selectExpr("sha2(text, 256) AS digest", "text")).collect()
+    assert len(packed) == len(rows) - 1 and sum(len(r["packed"]) for r in packed) * 2 < sum(len((x or "").encode()) for _, x in rows)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_tokens"]) for r in token_count.count_tokens(docs, str(tmp_path / "cache"), BYTES).collect()}
+    assert got == {i: (len((x or "").encode()), len(t.encode(x or "", add_special_tokens=False).ids)) for i, x in rows}

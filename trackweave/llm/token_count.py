@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import zstandard
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,18 @@ def cached_counts(spark: SparkSession, cache: str, version: str) -> DataFrame:
     return rows.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))  # two runs may have added the same text
 
 
+def packed_texts(texts: DataFrame) -> DataFrame:
+    """Texts (``digest``, ``text``) as zstandard frames: ``digest``, ``packed``. They are shuffled so, as each is read at most once behind it."""
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            packed = [press.compress(t.as_py().encode()) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(packed, pa.binary())], ["digest", "packed"])
+
+    return texts.mapInArrow(lean(squeeze), "digest string, packed binary")
+
+
 def count_tokens(docs: DataFrame, cache: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Count each text's tokens; one row for each input row: the id, ``n_bytes``, ``n_tokens``.
 
@@ -38,7 +51,7 @@ def count_tokens(docs: DataFrame, cache: str, tokenizer_path: str, *, id_col: st
 
     Defined cases: a null text counts as empty (0 bytes, 0 tokens); repeated rows each get a row;
     an empty table gives none; other columns are ignored. Copies are dropped before the shuffle
-    in each task, and a hot digest's rows are only ids and numbers when they meet its count.
+    in each task, texts are shuffled compressed, and a hot digest's rows are only ids and numbers when they meet its count.
     """
     spark = docs.sparkSession
     reach_workers(spark)
@@ -48,12 +61,14 @@ def count_tokens(docs: DataFrame, cache: str, tokenizer_path: str, *, id_col: st
     digest = F.sha2(text, 256).alias("digest")
     rows = docs.select(F.col(id_col), F.octet_length(text).cast("bigint").alias("n_bytes"), digest)
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdDecompressor()
         for b in batches:
-            yield pd.DataFrame({"digest": b["digest"], "n_tokens": [token_memo.byte_level_count(tokenizer_path, t) for t in b["text"]]})
+            counts = [token_memo.byte_level_count(tokenizer_path, press.decompress(t.as_py()).decode()) for t in b.column("packed")]
+            yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
 
-    texts = docs.select(digest, text.alias("text")).dropDuplicates(["digest"])
+    texts = packed_texts(docs.select(digest, text.alias("text"))).dropDuplicates(["digest"])
     misses = texts.join(cached_counts(spark, cache, version), "digest", "left_anti")
-    new = misses.mapInPandas(lean(encode), "digest string, n_tokens bigint")
+    new = misses.mapInArrow(lean(encode), "digest string, n_tokens bigint")
     new.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").partitionBy("tokenizer").parquet(cache)
     return rows.join(cached_counts(spark, cache, version), "digest").select(id_col, "n_bytes", "n_tokens")
