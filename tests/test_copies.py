@@ -36,3 +36,7 @@ def test_excluded_identities_of_copies(spark, con, copies):
     n = spans.select("start_frame", "end_frame").distinct().count()
     words = spans.agg({"obj_id": "max"}).first()[0] // set_queries.BITS + 1
     assert set_queries._excluded(spans).count() <= n * words < spans.count() * words / 2
+
+
+def test_identity_sets_of_copies(spark, con, copies):
+    assert not equal_to_sql(spark, con, copies, "identity_sets")
