@@ -40,3 +40,7 @@ def test_excluded_identities_of_copies(spark, con, copies):
 
 def test_identity_sets_of_copies(spark, con, copies):
     assert not equal_to_sql(spark, con, copies, "identity_sets")
+
+
+def test_inherited_exclusions_of_copies(spark, con, copies):
+    assert not equal_to_sql(spark, con, copies, "inherited_exclusions")
