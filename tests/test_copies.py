@@ -44,3 +44,7 @@ def test_identity_sets_of_copies(spark, con, copies):
 
 def test_inherited_exclusions_of_copies(spark, con, copies):
     assert not equal_to_sql(spark, con, copies, "inherited_exclusions")
+
+
+def test_conflict_report_of_copies(spark, con, copies):
+    assert not equal_to_sql(spark, con, copies, "conflict_report")

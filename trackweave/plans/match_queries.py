@@ -5,9 +5,9 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from trackweave.operators import intervals, kernels
-from trackweave.operators.propagation import BITS
 from trackweave.plans import set_queries
 from trackweave.plans.dense_queries import tracking_ranges
 from trackweave.plans.queries import QUERIES, SQL, _r, _written, query
@@ -72,23 +72,21 @@ UNION ALL SELECT 'identity twice in a frame', (SELECT count(*) FROM (SELECT 1 FR
 def conflict_report(spark, d):
     """Three kinds of conflicts, counted: decided tracklets that exclude their own identity, identities that no tracklet of a frame can have, identities twice in a frame.
 
-    What tracklets of a frame leave possible is put together as bits, so frames and identities make no pairs.
+    What tracklets of a frame leave possible is put together as bits, once for each span of frames, so frames and identities make no pairs.
     """
     write = _written(spark)
-    ex = write(set_queries._excluded(spark, d))
-    rows = write(intervals.tracklet_regions(S.unique_detections(spark, d)).select("tracklet_id", "obj_id", "frame"))
-    n = rows.groupBy("tracklet_id").agg((F.count(F.lit(1)) >= DECIDED).alias("decided"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("obj_id") % BITS)
-    word = F.expr(f"obj_id DIV {BITS}").cast("int").alias("word")
-    words = rows.select("obj_id").distinct().groupBy(word).agg(F.bit_or(bit).alias("ids"))
-    at = rows.join(n, "tracklet_id")
-    own = at.filter("decided").groupBy("frame", word).agg(F.bit_or(bit).alias("open"))
+    spans = write(set_queries._spans(spark, d))
+    words = spans.select("obj_id").distinct().groupBy(set_queries._word()).agg(F.bit_or(set_queries._bit()).alias("ids"))
     # words are as many as identities / 62; all tasks have them
-    free = at.filter("NOT decided").crossJoin(F.broadcast(words)).join(ex.select("tracklet_id", "word", "bits"), ["tracklet_id", "word"], "left")
-    free = free.groupBy("frame", "word").agg(F.bit_or(F.col("ids").bitwiseAND(F.bitwise_not(F.coalesce("bits", F.lit(0).cast("bigint"))))).alias("open"))
-    open_ = own.unionByName(free).groupBy("frame", "word").agg(F.bit_or("open").alias("open")).agg(F.coalesce(F.sum(F.bit_count("open")), F.lit(0)).alias("open"))
-    all_ = rows.agg(F.countDistinct("frame").alias("f"), F.countDistinct("obj_id").alias("k")).crossJoin(open_).select(F.lit("identity impossible in a frame").alias("kind"), (F.col("f") * F.col("k") - F.col("open")).alias("n"))
-    against = ex.join(n.filter("decided"), "tracklet_id").filter((F.expr(f"obj_id DIV {BITS}") == F.col("word")) & (F.col("bits").bitwiseAND(bit) != 0))
+    each = spans.filter("NOT decided").select("start_frame", "end_frame").distinct().crossJoin(F.broadcast(words))
+    free = each.join(set_queries._excluded(spans), ["start_frame", "end_frame", "word"], "left").withColumn("frame", F.explode(F.sequence("start_frame", "end_frame")))
+    free = free.select("frame", "word", F.col("ids").bitwiseAND(F.bitwise_not(F.coalesce("bits", F.lit(0).cast("bigint")))).alias("bits"))
+    open_ = set_queries._decided_bits(spans).unionByName(free).groupBy("frame", "word").agg(F.bit_or("bits").alias("open")).agg(F.coalesce(F.sum(F.bit_count("open")), F.lit(0)).alias("open"))
+    frames = S.detections(spark, d).select("frame").distinct().agg(F.count(F.lit(1)).alias("f"))
+    all_ = frames.crossJoin(words.agg(F.coalesce(F.sum(F.bit_count("ids")), F.lit(0)).alias("k"))).crossJoin(open_).select(F.lit("identity impossible in a frame").alias("kind"), (F.col("f") * F.col("k") - F.col("open")).alias("n"))
+    w = Window.partitionBy("obj_id").orderBy("start_frame", "tracklet_id")
+    met = (F.max("end_frame").over(w.rowsBetween(Window.unboundedPreceding, -1)) >= F.col("start_frame")) | (F.lead("start_frame").over(w) <= F.col("end_frame"))
+    against = spans.filter("decided").withColumn("met", met).filter("met")
     twice = intervals.conflicts(S.detections(spark, d))
     count = lambda t, kind: t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
     return count(against, "own identity excluded").unionByName(all_).unionByName(count(twice, "identity twice in a frame"))
