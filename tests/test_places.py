@@ -69,3 +69,14 @@ def test_dense_frames_keep_no_edges(spark, tmp_path, monkeypatch):
     graph.only_edges(rows, counted).count()
     graph.confirm_near(rows, counted).count()
     assert most[0] <= rows.count() < edges / 10
+
+
+def test_components_by_place_equal_those_of_all_edges(spark, monkeypatch):
+    from trackweave.operators.components import bipartite_components
+
+    rows = scene(spark, places=15)
+    want = {(r["frame"], r["src"]): r["component"] for r in bipartite_components(graph.candidate_edges(rows), "src", "dst", _written(spark)).collect()}
+    for first in (10.0, 1.25):  # in one step, and with farther pairs that join components
+        monkeypatch.setattr(graph, "reaches", lambda *a, first=first: [first, 10.0] if first < 10 else [10.0])
+        got = graph.place_components(rows, _written(spark)).filter("side = 0").withColumnRenamed("f", "frame").drop("side")
+        assert {(r["frame"], r["region_id"]): r["component"] for r in got.join(rows, ["frame", "x", "y"]).collect()} == want
