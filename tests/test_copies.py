@@ -48,3 +48,14 @@ def test_inherited_exclusions_of_copies(spark, con, copies):
 
 def test_conflict_report_of_copies(spark, con, copies):
     assert not equal_to_sql(spark, con, copies, "conflict_report")
+
+
+def test_symmetric_matchings_make_the_edges_of_small_components_only(spark, copies):
+    from trackweave.operators.components import bipartite_components
+    from trackweave.plans import rule_queries
+    from trackweave.plans.queries import _edges
+
+    rows, places = rule_queries._place_components(spark, copies)
+    got = rule_queries._component_edges(rule_queries._component_rows(rows, places)).select("frame", "component", "src", "dst")
+    want = bipartite_components(_edges(spark, copies), "src", "dst", _written(spark)).select("frame", "component", "src", "dst")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
