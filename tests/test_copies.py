@@ -59,3 +59,21 @@ def test_symmetric_matchings_make_the_edges_of_small_components_only(spark, copi
     got = rule_queries._component_edges(rule_queries._component_rows(rows, places)).select("frame", "component", "src", "dst")
     want = bipartite_components(_edges(spark, copies), "src", "dst", _written(spark)).select("frame", "component", "src", "dst")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_dense_paths_of_copies_equal_those_over_all_links(spark, copies):
+    from pyspark.sql import functions as F
+
+    from trackweave.operators import graph, intervals
+    from trackweave.plans import dense_queries
+    from trackweave.sources import tables as S
+
+    write = _written(spark)
+    label = write(dense_queries._classes(spark, copies))
+    of = lambda k, c: label.filter(F.col("label") == k).select(F.col("tracklet_id").alias(c))
+    links = write(set_queries._links(spark, copies).select("a", "b"))
+    size = intervals.islands(S.unique_detections(spark, copies)).join(of(1, "tracklet_id"), "tracklet_id").select(F.col("tracklet_id").alias("vertex"), F.col("n").alias("w"))
+    best = graph.longest_paths(links.join(of(1, "a"), "a").join(of(1, "b"), "b").select("a", "b"), size, write)
+    want = links.join(of(0, "a"), "a").join(best.select(F.col("vertex").alias("b"), "total"), "b").groupBy("a").agg(F.max("total").alias("regions"))
+    got = entry.queries()["dense_paths"](spark, copies)
+    assert sorted(map(tuple, got.select("tracklet_id", "regions").collect())) == sorted(map(tuple, want.collect()))
