@@ -77,3 +77,13 @@ def test_dense_paths_of_copies_equal_those_over_all_links(spark, copies):
     want = links.join(of(0, "a"), "a").join(best.select(F.col("vertex").alias("b"), "total"), "b").groupBy("a").agg(F.max("total").alias("regions"))
     got = entry.queries()["dense_paths"](spark, copies)
     assert sorted(map(tuple, got.select("tracklet_id", "regions").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_arena_links_of_copies_are_the_links_within_an_arena(spark, copies):
+    from trackweave.plans import dense_queries
+
+    ends = _written(spark)(set_queries._ends(spark, copies))
+    arena = {r["tracklet_id"]: r["obj_id"] // dense_queries.ARENA for r in ends.collect()}
+    links = set_queries._links(spark, copies).select("a", "b").collect()
+    want = sorted((a, b) for a, b in links if arena[a] == arena[b])
+    assert sorted(map(tuple, dense_queries._arena_links(ends).collect())) == want and len(want) < len(links) / 10
