@@ -87,3 +87,7 @@ def test_arena_links_of_copies_are_the_links_within_an_arena(spark, copies):
     links = set_queries._links(spark, copies).select("a", "b").collect()
     want = sorted((a, b) for a, b in links if arena[a] == arena[b])
     assert sorted(map(tuple, dense_queries._arena_links(ends).collect())) == want and len(want) < len(links) / 10
+
+
+def test_neighbour_cardinalities_of_copies(spark, con, copies):
+    assert not equal_to_sql(spark, con, copies, "neighbour_cardinalities")
