@@ -91,3 +91,15 @@ def test_arena_links_of_copies_are_the_links_within_an_arena(spark, copies):
 
 def test_neighbour_cardinalities_of_copies(spark, con, copies):
     assert not equal_to_sql(spark, con, copies, "neighbour_cardinalities")
+
+
+def test_identities_of_copies_are_propagated_by_few_links(spark, copies, monkeypatch):
+    from trackweave.plans import identity_queries
+
+    seen, run = [], identity_queries.propagate
+    monkeypatch.setattr(identity_queries, "propagate", lambda t, rows, links, write, back: seen.extend([links.count(), back.count()]) or run(t, rows, links, write, back))
+    got = sorted(map(tuple, identity_queries._propagated(spark, copies).collect()), key=repr)
+    links = set_queries._links(spark, copies)
+    assert sum(seen) < links.count() / 10
+    monkeypatch.setattr(identity_queries, "propagate", lambda t, rows, some, write, back: run(t, rows, links, write))
+    assert got == sorted(map(tuple, identity_queries._propagated(spark, copies).collect()), key=repr)

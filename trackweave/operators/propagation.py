@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackweave.operators.written import forget
+
 #: Identities of a word: sets are bits of whole numbers, by (tracklet, word).
 BITS = 62
 
@@ -15,12 +17,12 @@ def _bit(place: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), (place % BITS).cast("int"))
 
 
-def propagate(tracklets: DataFrame, frames: DataFrame, links: DataFrame, write: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def propagate(tracklets: DataFrame, frames: DataFrame, links: DataFrame, write: Callable[[DataFrame], DataFrame], back: DataFrame | None = None) -> DataFrame:
     """Identity sets at their fixpoint: ``tracklet_id``, ``arena``, ``word``, ``no`` (bits excluded), ``ids`` (bits of all), ``decided``, ``round``.
 
     ``tracklets``: ``tracklet_id``, ``arena``, ``identity`` (from 0, null: undecided), ``single``, ``noise``, and
     ``total`` identities of the arena. ``frames``: a row for each frame of a tracklet. ``links`` (``a``, ``b``): the
-    region graph. A decided tracklet excludes all identities but its own, for itself, and its own for the
+    region graph; with ``back``, ``links`` carry forward only and those backward. A decided tracklet excludes all identities but its own, for itself, and its own for the
     undecided ones that share a frame with it. What all tracklets before one (noise left out) exclude, it can't
     have either, nor what all behind it exclude. An undecided single tracklet that one identity is left to is
     decided. Rounds look at the neighbours of tracklets that changed, and at the frames of those decided anew,
@@ -40,11 +42,12 @@ def propagate(tracklets: DataFrame, frames: DataFrame, links: DataFrame, write:
     state = write(state.withColumns({"decided": given, "round": F.when(given, 0), "fresh": given, "changed": given}).select(columns))
     frames = write(frames.select("tracklet_id", "frame").join(tracklets.select("tracklet_id", "arena"), "tracklet_id"))
     links = write(links.select("a", "b").distinct())
+    back = links if back is None else write(back.select("a", "b").distinct())
     turn = 0
     while state.filter("changed").limit(1).count():
         turn += 1
         moved = state.filter("changed").select("tracklet_id").distinct()
-        add = _along(state, links, moved, "a", "b").unionByName(_along(state, links, moved, "b", "a")).unionByName(_beside(state, frames))
+        add = _along(state, links, moved, "a", "b").unionByName(_along(state, back, moved, "b", "a")).unionByName(_beside(state, frames))
         add = add.groupBy("tracklet_id", "word").agg(F.bit_or("add").alias("add"))
         j = state.join(add, ["tracklet_id", "word"], "left")
         grown = F.when(F.col("decided") | F.col("add").isNull(), F.col("no")).otherwise(F.col("no").bitwiseOR(F.col("add")))
@@ -53,10 +56,11 @@ def propagate(tracklets: DataFrame, frames: DataFrame, links: DataFrame, write:
         open_ = left.groupBy("tracklet_id").agg(F.sum("open").alias("possible"))
         j = left.drop("open").join(open_, "tracklet_id")
         fresh = ~F.col("decided") & F.col("single") & (F.col("possible") == 1)
-        state = write(j.select(
+        last, state = state, write(j.select(
             "tracklet_id", "arena", "single", "noise", "word", "ids", F.col("new").alias("no"), (F.col("decided") | fresh).alias("decided"),
             F.when(fresh, turn).otherwise(F.col("round")).alias("round"), fresh.alias("fresh"), (fresh | (F.col("new") != F.col("no"))).alias("changed"),
         ))
+        forget(last, left)
     return state.select("tracklet_id", "arena", "word", "no", "ids", "decided", "round")
 
 

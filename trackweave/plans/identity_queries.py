@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackweave.operators import intervals, kernels, tracks
+from trackweave.operators import graph, intervals, kernels, tracks
 from trackweave.operators.propagation import BITS, propagate
 from trackweave.plans import set_queries
 from trackweave.plans.dense_queries import ARENA, NOISE, SINGLE, _classes
@@ -27,7 +27,23 @@ def _propagated(spark, d) -> DataFrame:
         "tracklet_id", "arena", single.alias("single"), (F.col("label") == NOISE).alias("noise"), F.lit(ARENA).alias("total"),
         F.when(F.col("n") >= set_queries.DECIDED, F.col("obj_id") % ARENA).alias("identity"),
     )
-    return propagate(t, rows.select("tracklet_id", "frame"), set_queries._links(spark, d), write)
+    t = write(t)
+    ends = write(set_queries._ends(spark, d).join(t.select("tracklet_id", "arena", "noise"), "tracklet_id"))
+    first = ends.select("arena", "noise", (F.col("start_frame") - 1).alias("f"), F.col("x1").alias("x"), F.col("y1").alias("y"), F.col("tracklet_id").alias("b"))
+    last = ends.select("arena", "noise", F.col("end_frame").alias("f"), F.col("x2").alias("x"), F.col("y2").alias("y"), F.col("tracklet_id").alias("a"))
+    return propagate(t, rows.select("tracklet_id", "frame"), _telling_links(last, first), write, _telling_links(first, last))
+
+
+def _telling_links(near: DataFrame, far: DataFrame) -> DataFrame:
+    """Links (``a``, ``b``) to tracklets ``far`` whose neighbours ``near``, noise left out, are all of their own arena.
+
+    One neighbour of another arena excludes nothing, and then all together don't; such tracklets need no links. Ends are compared by place.
+    """
+    there = near.filter("NOT noise").withColumnsRenamed({"x": "u", "y": "v"}).drop("noise")
+    at = there.groupBy("f", "u", "v").agg(F.min("arena").alias("lo"), F.max("arena").alias("hi"))
+    seen = graph.around(far.select("f", "x", "y").distinct(), at, F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    own = far.join(seen, ["f", "x", "y"]).filter("lo = arena AND hi = arena").drop("lo", "hi", "noise")
+    return graph.near(own, there, on=["arena"]).select("a", "b")
 
 
 @query()
