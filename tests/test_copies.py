@@ -103,3 +103,9 @@ def test_identities_of_copies_are_propagated_by_few_links(spark, copies, monkeyp
     assert sum(seen) < links.count() / 10
     monkeypatch.setattr(identity_queries, "propagate", lambda t, rows, some, write, back: run(t, rows, links, write))
     assert got == sorted(map(tuple, identity_queries._propagated(spark, copies).collect()), key=repr)
+
+
+def test_similar_nodes_of_copies(spark, con, copies):
+    assert not equal_to_sql(spark, con, copies, "similar_nodes")
+    plan = entry.queries()["similar_nodes"](spark, copies)._jdf.queryExecution().analyzed().toString()
+    assert "row_number" in plan  # places of several regions need no search
