@@ -109,3 +109,8 @@ def test_similar_nodes_of_copies(spark, con, copies):
     assert not equal_to_sql(spark, con, copies, "similar_nodes")
     plan = entry.queries()["similar_nodes"](spark, copies)._jdf.queryExecution().analyzed().toString()
     assert "row_number" in plan  # places of several regions need no search
+
+
+@pytest.mark.parametrize("name", ["nearest_matches", "mean_errors", "tracklet_cardinalities"])
+def test_matches_of_copies(spark, con, copies, name):
+    assert not equal_to_sql(spark, con, copies, name)
